@@ -7,6 +7,7 @@ thread pool. Only counts per (label, prediction) come back.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
@@ -22,6 +23,9 @@ from accountscope.config import ClassifyConfig
 from accountscope.operators import boost, metrics, splits
 from accountscope.session import materialise
 
+#: Rows below which one more task costs an iterative fit more than it gains.
+ROWS_PER_TASK = 20_000
+
 OUTCOMES = "cluster INT, model STRING, split INT, label INT, prediction INT, n BIGINT"
 
 
@@ -89,10 +93,12 @@ def model_outcomes(
     cached, tasks, found = {}, [], []
     for c in sizes if spark_models else ():
         table = assemble(flagged.where(F.col("cluster") == c), features[c], label)
-        cached[c] = table.select("label", "features", "is_test").persist()
+        narrow = table.select("label", "features", "is_test")
+        # A small cluster in few tasks: an iterative fit pays for every task in every round.
+        cached[c] = narrow.coalesce(math.ceil(sizes[c] / ROWS_PER_TASK)).persist()
         tasks += [(c, name, s) for name in spark_models for s in range(cfg.folds)]
 
-    @inheritable_thread_target
+    @inheritable_thread_target(df.sparkSession)
     def run(task: tuple[int, str, int]) -> list[tuple]:
         c, name, s = task
         train, test = (cached[c].where(~F.col("is_test")[s]), cached[c].where(F.col("is_test")[s]))
@@ -110,11 +116,13 @@ def model_outcomes(
             table.unpersist()
     outcomes = df.sparkSession.createDataFrame(found, OUTCOMES)
     if "adaboosted_dt" in cfg.models:
-        outcomes = outcomes.unionByName(_boosted_outcomes(flagged, features, cfg, label))
+        outcomes = outcomes.unionByName(_boosted_outcomes(flagged, sizes, features, cfg, label))
     return outcomes
 
 
-def _boosted_outcomes(flagged: DataFrame, features: dict[int, list[str]], cfg: ClassifyConfig, label: str) -> DataFrame:
+def _boosted_outcomes(
+    flagged: DataFrame, sizes: dict[int, int], features: dict[int, list[str]], cfg: ClassifyConfig, label: str
+) -> DataFrame:
     """All clusters that share a feature list are boosted together."""
     by_list: dict[tuple, list[int]] = {}
     for c, names in features.items():
@@ -124,7 +132,8 @@ def _boosted_outcomes(flagged: DataFrame, features: dict[int, list[str]], cfg: C
     for names, clusters in by_list.items():
         part = flagged.where(F.col("cluster").isin(clusters))
         table = boost.bin_table(part, list(names), label, classes, "cluster", "is_test", cfg.folds)
-        table.rows = table.rows.persist()
+        rows = sum(n for c, n in sizes.items() if c in clusters)
+        table.rows = table.rows.coalesce(math.ceil(rows / ROWS_PER_TASK)).persist()
         try:
             models = boost.boost(table, cfg.boosting_rounds)
             found += [tuple(r) for r in boost.test_outcomes(table, models).collect()]

@@ -37,6 +37,16 @@ def rename_tweets(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(TWEET_RENAMES)
 
 
+def type_posts(df: DataFrame) -> DataFrame:
+    """Order columns of posts in comparable types: text ids as numbers, text dates as timestamps."""
+    types = dict(df.dtypes)
+    if types.get("tweet_id") == "string":
+        df = df.withColumn("tweet_id", F.col("tweet_id").try_cast("bigint"))
+    if types.get("creation_date") == "string":
+        df = df.withColumn("creation_date", F.try_to_timestamp("creation_date"))
+    return df
+
+
 def drop_cols(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
