@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -22,9 +23,13 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accountscope.session import compact
+
 #: Split flags travel as the bits of one BIGINT.
 MAX_SPLITS = 62
 PERCENTILE_ACCURACY = 10_000
+#: Up to this many partial histograms are added on the driver instead of by a shuffle.
+MERGE_TASKS = 4
 
 
 @dataclass(frozen=True)
@@ -82,6 +87,10 @@ class BinnedTable:
     thresholds: dict[int, list[np.ndarray]]
     n_splits: int
 
+    @cached_property
+    def tasks(self) -> int:
+        return self.rows.rdd.getNumPartitions()
+
     @property
     def width(self) -> int:
         return 1 + max((len(t) for per in self.thresholds.values() for t in per), default=0)
@@ -174,12 +183,14 @@ def _histograms(table: BinnedTable, models: dict[tuple[int, int], list[Stump]])
             parts.append(pd.DataFrame({"model": np.int32(i), "cell": used.astype("int32"), "w": sums[m][used]}))
         yield pd.concat(parts, ignore_index=True)
 
-    merged = table.rows.mapInPandas(partial, "model INT, cell INT, w DOUBLE").groupBy("model", "cell").agg(F.sum("w").alias("w"))
+    merged = table.rows.mapInPandas(partial, "model INT, cell INT, w DOUBLE")
+    if table.tasks > MERGE_TASKS:
+        merged = merged.groupBy("model", "cell").agg(F.sum("w").alias("w"))
     result = {m: np.zeros(f * b * k) for m in open_models}
-    # Model-sized: at most models × features × bins × classes rows.
+    # Model-sized: at most (a few times) models × features × bins × classes rows.
     pdf = merged.toPandas()
     for i, part in pdf.groupby("model"):
-        result[open_models[i]][part["cell"].to_numpy()] = part["w"].to_numpy()
+        np.add.at(result[open_models[i]], part["cell"].to_numpy(), part["w"].to_numpy())
     return {m: h.reshape(f, b, k) for m, h in result.items()}
 
 
@@ -299,7 +310,7 @@ class AdaBoostClassifier(Estimator, _BoostParams):
         columns = [f"x{i}" for i in range(width)]
         wide = values.select("cluster", label, *[F.col("v")[i].alias(c) for i, c in enumerate(columns)])
         table = bin_table(wide, columns, label, classes, "cluster", None, 1, self.getOrDefault(self.maxBins))
-        table.rows = table.rows.persist()
+        table.rows = compact(table.rows, df.count()).persist()
         try:
             return boost(table, rounds, rate)[(0, 0)]
         finally:

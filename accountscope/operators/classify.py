@@ -7,7 +7,6 @@ thread pool. Only counts per (label, prediction) come back.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
@@ -21,10 +20,7 @@ from pyspark.sql import types as T
 
 from accountscope.config import ClassifyConfig
 from accountscope.operators import boost, metrics, splits
-from accountscope.session import materialise
-
-#: Rows below which one more task costs an iterative fit more than it gains.
-ROWS_PER_TASK = 20_000
+from accountscope.session import compact, materialise
 
 OUTCOMES = "cluster INT, model STRING, split INT, label INT, prediction INT, n BIGINT"
 
@@ -94,8 +90,7 @@ def model_outcomes(
     for c in sizes if spark_models else ():
         table = assemble(flagged.where(F.col("cluster") == c), features[c], label)
         narrow = table.select("label", "features", "is_test")
-        # A small cluster in few tasks: an iterative fit pays for every task in every round.
-        cached[c] = narrow.coalesce(math.ceil(sizes[c] / ROWS_PER_TASK)).persist()
+        cached[c] = compact(narrow, sizes[c]).persist()
         tasks += [(c, name, s) for name in spark_models for s in range(cfg.folds)]
 
     @inheritable_thread_target(df.sparkSession)
@@ -133,7 +128,7 @@ def _boosted_outcomes(
         part = flagged.where(F.col("cluster").isin(clusters))
         table = boost.bin_table(part, list(names), label, classes, "cluster", "is_test", cfg.folds)
         rows = sum(n for c, n in sizes.items() if c in clusters)
-        table.rows = table.rows.coalesce(math.ceil(rows / ROWS_PER_TASK)).persist()
+        table.rows = compact(table.rows, rows).persist()
         try:
             models = boost.boost(table, cfg.boosting_rounds)
             found += [tuple(r) for r in boost.test_outcomes(table, models).collect()]

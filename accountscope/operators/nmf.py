@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from accountscope.session import compact
+
 SWEEPS = 60
+DOCUMENTS_PER_TASK = 5_000
 
 
 @dataclass
@@ -119,7 +122,8 @@ def nmf_fit(
 ) -> NmfModel:
     """Alternate exact row solutions with a component update until the objective settles."""
     l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
-    data = sparse_rows(weights, vocabulary, key).persist()
+    rows = sparse_rows(weights, vocabulary, key)
+    data = compact(rows, weights.select(key).distinct().count(), DOCUMENTS_PER_TASK).persist()
     try:
         squares = F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x)
         sums = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)

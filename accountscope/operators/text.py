@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accountscope.functions import text as tx
-from accountscope.session import BROADCAST_ROWS, broadcast_if_small, materialise
+from accountscope.session import BROADCAST_ROWS, broadcast_if_small
 
 #: Largest vocabulary a driver-side model may hold.
 MAX_TERMS = 1_000_000
@@ -31,8 +31,8 @@ def _hot_keys(df: DataFrame, key: str) -> DataFrame | None:
     """Keys whose document has several parts, or None when there are none."""
     if "part" not in df.columns:
         return None
-    hot = materialise(df.where("part > 0").select(key).distinct(), "multi-part-keys")
-    return None if hot.isEmpty() else broadcast_if_small(hot)
+    hot = broadcast_if_small(df.where("part > 0").select(key).distinct())
+    return None if hot.isEmpty() else hot
 
 
 def tokenize(
@@ -83,7 +83,7 @@ def ngrams(tokens: DataFrame, low: int = 1, high: int = 2, key: str = "user_id")
     carried = tails.select(*group, earlier.alias("earlier")).select(
         *group, F.slice("earlier", F.greatest(F.size("earlier") - (high - 2), F.lit(1)), high - 1).alias("carried")
     )
-    joined = several.join(broadcast_if_small(materialise(carried, "part-borders")), group, "left")
+    joined = several.join(broadcast_if_small(carried), group, "left")
     made = tx.ngrams(F.col("tokens"), low, high, F.coalesce("carried", nothing)).alias("terms")
     return single.unionByName(joined.select(*group, made))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accountscope.operators import boost, splits
+from accountscope.session import compact
 
 # The searched grids.
 CRITERIA = ["gini", "entropy"]
@@ -70,7 +71,7 @@ def grid_search(
     ``df`` carries ``features`` and ``label``.
     """
     folded = splits.stratified_kfold(df.select(key, "features", "label"), key, "label", folds, seed)
-    cached = folded.withColumn("fold", F.col("fold").cast("int")).persist()
+    cached = compact(folded.withColumn("fold", F.col("fold").cast("int")), df.count()).persist()
     try:
         search = CrossValidator(
             estimator=estimator,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from accountscope.functions import text as tx
 from accountscope.operators import scores, text
+from accountscope.session import spread_scan
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
@@ -19,6 +20,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents spread by id, so that counting terms per document needs no further shuffle."""
+    return spread_scan(table(spark, folder, "documents"), "doc_id")
+
+
 def event_shares(spark: SparkSession, folder: str) -> DataFrame:
     return scores.share_distribution(table(spark, folder, "events"), "user_id", "event_type", EVENT_TYPES)
 
@@ -63,7 +69,7 @@ def cohorts_raw(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
 
 
 def clean_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return text.tokenize(table(spark, folder, "documents"), "doc_id", "text")
+    return text.tokenize(documents(spark, folder), "doc_id", "text")
 
 
 def document_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,7 +78,7 @@ def document_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 def account_features(spark: SparkSession, folder: str) -> DataFrame:
     """Numeric features of labelled documents: ``user_id, user_type`` and measurements, ``cluster`` by language."""
-    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    docs, labels = documents(spark, folder), table(spark, folder, "labels")
     words = tx.wordpunct(F.col("text"))
     measured = docs.select(
         F.col("doc_id").alias("user_id"),

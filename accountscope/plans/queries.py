@@ -16,7 +16,7 @@ from accountscope.operators import (
 )
 from accountscope.plans import bindings as b
 from accountscope.plans import stages
-from accountscope.session import materialise, scratch_path, tune
+from accountscope.session import compact, materialise, scratch_path, tune
 from accountscope.sources import arff, csv, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,15 +129,19 @@ def _label_outcomes(spark, folder) -> DataFrame:
     )
 
 
-_SPLIT_SQL = """ranked AS (
+def _split_sql(label: str) -> str:
+    return f"""ranked AS (
   SELECT split, doc_id, quality, toxic,
-         row_number() OVER (PARTITION BY split, toxic ORDER BY md5((42 + split) || ':' || doc_id), doc_id) AS r
+         row_number() OVER (PARTITION BY split, {label} ORDER BY md5((42 + split) || ':' || doc_id), doc_id) AS r
   FROM labels, (SELECT unnest(range(10))::INTEGER AS split)),
-classes AS (SELECT toxic, count(*) AS n, count(*) * ceil(0.4 * sum(count(*)) OVER ()) / sum(count(*)) OVER () AS exact,
-                   ceil(0.4 * sum(count(*)) OVER ()) AS total FROM labels GROUP BY toxic),
-quota AS (SELECT toxic, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, toxic)
+classes AS (SELECT {label}, count(*) AS n, count(*) * ceil(0.4 * sum(count(*)) OVER ()) / sum(count(*)) OVER () AS exact,
+                   ceil(0.4 * sum(count(*)) OVER ()) AS total FROM labels GROUP BY {label}),
+quota AS (SELECT {label}, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, {label})
                  <= total - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS quota FROM classes),
-parts AS (SELECT split, doc_id, quality, toxic, r <= quota AS is_test FROM ranked JOIN quota USING (toxic))"""
+parts AS (SELECT split, doc_id, quality, toxic, r <= quota AS is_test FROM ranked JOIN quota USING ({label}))"""
+
+
+_SPLIT_SQL = _split_sql("toxic")
 
 _PRF_SQL = """sides AS (
   SELECT g, toxic AS class, (toxic = quality)::INT AS hit, 1 AS sup, 0 AS pred FROM base
@@ -431,7 +435,7 @@ def mean_sd(spark, folder):
 
 def _token_query(name: str, sql_tokens: str, tokens: Callable[[Column], Column]) -> None:
     def run(spark, folder):
-        made = b.table(spark, folder, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
+        made = b.documents(spark, folder).select("doc_id", tokens(F.col("text")).alias("t"))
         return made.select(
             "doc_id", F.size("t").cast("bigint").alias("n"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"),
             _joined_md5("t").alias("tokens_md5"),
@@ -684,7 +688,8 @@ def kmeans_fit(spark, folder):
 def _flagged_account_table(spark, folder) -> DataFrame:
     features = b.account_features(spark, folder)
     assembled = classify.assemble(features, classify.xy_split_cols(features))
-    return materialise(splits.strat_split(assembled.select("user_id", "features", "label"), "user_id", "label"), "accounts")
+    flagged = materialise(splits.strat_split(assembled.select("user_id", "features", "label"), "user_id", "label"), "accounts")
+    return compact(flagged, flagged.count())
 
 
 def _model_query(key: str, model: str) -> None:
@@ -701,16 +706,13 @@ for _key, _model in zip(("decision_tree", "random_forest", "adaboost", "linear_s
     _model_query(_key, _model)
 
 
-@query(f"""WITH c AS (SELECT quality AS y, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY quality)
-SELECT sum(n)::BIGINT AS scored, ceil(0.4 * sum(n))::BIGINT AS wanted FROM c""".replace("sum(n)::BIGINT AS scored", "ceil(0.4 * sum(n))::BIGINT AS scored"))
+@query(f"""WITH {_split_sql("quality")}
+SELECT doc_id AS user_id, quality AS label, true AS predicted FROM parts WHERE is_test AND split = 0""")
 def fit_predict(spark, folder):
-    """A fitted model scores exactly the test quota."""
+    """A fitted model scores every row of the test part and no other."""
     accounts = _flagged_account_table(spark, folder)
-    _, predicted = classify.fit_predict(classify.make_model("decision_tree", accounts.count()), accounts.where("NOT is_test"), accounts.where("is_test"))
-    return predicted.agg(
-        F.count("prediction").alias("scored"),
-        F.lit(sum(splits.test_quotas({0: accounts.count()}, 0.4).values())).cast("bigint").alias("wanted"),
-    )
+    _, scored = classify.fit_predict(classify.make_model("decision_tree", accounts.count()), accounts.where("NOT is_test"), accounts.where("is_test"))
+    return scored.select("user_id", F.col("label").cast("int").alias("label"), F.col("prediction").isin(0, 1).alias("predicted"))
 
 
 _BY_LANGUAGE = "SELECT lang AS g, quality, toxic FROM labels JOIN documents USING (doc_id)"
@@ -798,7 +800,7 @@ def stage_preprocess(spark, folder):
 
 
 def _document_scores(spark, folder) -> DataFrame:
-    docs = b.table(spark, folder, "documents").select(F.col("doc_id").alias("user_id"), F.col("text").alias("tweet"))
+    docs = b.documents(spark, folder).select(F.col("doc_id").alias("user_id"), F.col("text").alias("tweet"))
     return stages.build_dynamic_features(docs)
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Largest table (in rows) that is ever sent to every executor.
 BROADCAST_ROWS = 200_000
+#: Rows below which one more task costs an iterative fit more than it gains.
+ROWS_PER_TASK = 20_000
 
 _LOCAL_SCRATCH: tempfile.TemporaryDirectory | None = None
 
@@ -83,7 +85,27 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when a count proves ``df`` has at most ``limit`` rows.
 
-    Larger tables are returned untouched: the join is then a shuffle join whose
-    skewed partitions adaptive execution splits.
+    ``df`` is written down first, so that it is computed once and what was
+    counted is what gets joined. A larger table comes back without the hint: the
+    join is then a shuffle join whose skewed partitions adaptive execution splits.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    written = materialise(df, "join-side")
+    return F.broadcast(written) if written.count() <= limit else written
+
+
+def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan of few, dense file splits over all cores before heavy per-row work.
+
+    A scan that already has a split per core is left as it is. Only for plain
+    scans: asking a shuffled plan for its partitions would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def compact(df: DataFrame, rows: int, per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Few tasks for few rows: an iterative fit pays for every task in every round.
+
+    Only ever merges partitions, so a large table keeps the ones it has.
+    """
+    return df.coalesce(max(1, -(-rows // per_task)))

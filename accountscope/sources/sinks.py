@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +13,19 @@ def write_partitioned(df: DataFrame, path: str, by: str = "cluster", file_format
     writer.option("header", True).format(file_format).save(path)
 
 
+def _two_decimals(values: pd.Series) -> pd.Series:
+    # The JVM rounds the shortest decimal text of a double, which turns 0.215 into 0.22;
+    # here the double itself is rounded.
+    return values.map("{:.2f}".format)
+
+
 def nested_report(report: DataFrame) -> DataFrame:
     """``<cluster, document>``: the long metric report as one JSON document per cluster.
 
     Values become two-decimal text here and nowhere earlier. The report is a
     result table (clusters × models × metrics), so the groups are small.
     """
-    shown = F.format_string("%.2f", "value")
+    shown = F.pandas_udf(_two_decimals, "string")("value")
     name = F.when(F.col("class").isNull(), F.col("metric")).otherwise(F.concat_ws("_", "metric", "class"))
     metrics = report.groupBy("cluster", "model").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(name.alias("k"), shown.alias("v"))))).alias("metrics")
