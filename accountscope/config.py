@@ -91,6 +91,8 @@ class ClassifyConfig:
     boosting_rounds: int = 50
     forest_trees: int = 10
     max_depth: int = 30
+    #: Scale columns before fitting margins.
+    standardise: bool = True
     #: Feature names for every cluster, or per cluster id; None takes all numeric columns.
     features: tuple[str, ...] | dict[int, tuple[str, ...]] | None = None
 

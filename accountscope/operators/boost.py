@@ -2,16 +2,14 @@
 
 The training table is binned once and never rewritten: a row's weight follows
 from the stumps found so far, so each round ships the small model out and brings
-weighted class histograms back. All clusters and splits share the same rounds:
-one job per round, whatever the number of models.
+weighted class histograms back. One job per round, whatever the number of models.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import cached_property
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -23,13 +21,11 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accountscope.operators import many
+from accountscope.operators.many import ModelId, ModelTable
 from accountscope.session import compact
 
-#: Split flags travel as the bits of one BIGINT.
-MAX_SPLITS = 62
 PERCENTILE_ACCURACY = 10_000
-#: Up to this many partial histograms are added on the driver instead of by a shuffle.
-MERGE_TASKS = 4
 
 
 @dataclass(frozen=True)
@@ -79,78 +75,46 @@ class BoostedStumps:
 
 @dataclass
 class BinnedTable:
-    """``<cluster, label (class position), test (bit mask), b0..>`` with the thresholds behind the bins."""
+    """A model table whose values are bin numbers, with the thresholds behind them."""
 
-    rows: DataFrame
-    features: int
-    classes: list[int]
+    table: ModelTable
     thresholds: dict[int, list[np.ndarray]]
-    n_splits: int
-
-    @cached_property
-    def tasks(self) -> int:
-        return self.rows.rdd.getNumPartitions()
 
     @property
     def width(self) -> int:
         return 1 + max((len(t) for per in self.thresholds.values() for t in per), default=0)
 
 
-def feature_thresholds(df: DataFrame, cluster: str, columns: list[str], max_bins: int) -> dict[int, list[np.ndarray]]:
+def feature_thresholds(table: ModelTable, max_bins: int) -> dict[int, list[np.ndarray]]:
     """Candidate thresholds per cluster and feature: midpoints between quantiles (mergeable sketches)."""
     shares = F.array(*[F.lit(i / max_bins) for i in range(max_bins + 1)])
-    wanted = [F.percentile_approx(F.col(c).cast("double"), shares, PERCENTILE_ACCURACY).alias(f"q{i}") for i, c in enumerate(columns)]
+    wanted = [F.percentile_approx(c, shares, PERCENTILE_ACCURACY).alias(c) for c in table.columns]
     found = {}
-    for row in df.groupBy(cluster).agg(*wanted).collect():
-        per = []
-        for i in range(len(columns)):
-            values = np.unique(np.asarray(row[f"q{i}"] or [], dtype=float))
-            per.append((values[:-1] + values[1:]) / 2)
-        found[row[cluster]] = per
+    for row in table.rows.groupBy("cluster").agg(*wanted).collect():
+        quantiles = [np.unique(np.asarray(row[c] or [], dtype=float)) for c in table.columns]
+        found[row["cluster"]] = [(q[:-1] + q[1:]) / 2 for q in quantiles]
     return found
 
 
-def bin_table(
-    df: DataFrame,
-    columns: list[str],
-    label: str,
-    classes: list[int],
-    cluster: str,
-    flags: str | None,
-    n_splits: int,
-    max_bins: int = 32,
-) -> BinnedTable:
-    """Replace feature values by bin numbers, once; the result is all integers."""
-    if n_splits > MAX_SPLITS:
-        raise ValueError(f"at most {MAX_SPLITS} splits")
-    thresholds = feature_thresholds(df, cluster, columns, max_bins)
-    bit = lambda s: F.when(F.col(flags)[s], F.lit(1 << s)).otherwise(F.lit(0)).cast("bigint")
-    mask = F.lit(0).cast("bigint")
-    for s in range(n_splits if flags else 0):
-        mask = mask.bitwiseOR(bit(s))
-    position = F.array_position(F.array(*map(F.lit, classes)), F.col(label).cast("int")) - 1
-    narrow = df.select(
-        F.col(cluster).cast("int").alias("cluster"),
-        position.cast("int").alias("label"),
-        mask.alias("test"),
-        *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(columns)],
-    )
-    names = [f"b{i}" for i in range(len(columns))]
+def bin_table(table: ModelTable, max_bins: int = 32) -> BinnedTable:
+    """Replace values by bin numbers, once; the result is all integers."""
+    thresholds = feature_thresholds(table, max_bins)
+    columns = table.columns
 
     def to_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = {c: pdf[c] for c in ("cluster", "label", "test")}
             clusters = pdf["cluster"].to_numpy()
-            for i, name in enumerate(names):
-                values, bins = pdf[f"f{i}"].to_numpy(), np.zeros(len(pdf), dtype="int32")
+            for i, name in enumerate(columns):
+                values, bins = pdf[name].to_numpy(), np.zeros(len(pdf), dtype="int32")
                 for c in np.unique(clusters):
                     here = clusters == c
                     bins[here] = np.searchsorted(thresholds[int(c)][i], values[here], side="left")
                 out[name] = bins
             yield pd.DataFrame(out)
 
-    schema = "cluster INT, label INT, test BIGINT, " + ", ".join(f"{n} INT" for n in names)
-    return BinnedTable(narrow.mapInPandas(to_bins, schema), len(columns), classes, thresholds, n_splits)
+    schema = "cluster INT, label INT, test BIGINT, " + ", ".join(f"{n} INT" for n in columns)
+    return BinnedTable(replace(table, rows=table.rows.mapInPandas(to_bins, schema)), thresholds)
 
 
 def _weights(stumps: list[Stump], bins: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -160,38 +124,21 @@ def _weights(stumps: list[Stump], bins: np.ndarray, labels: np.ndarray) -> np.nd
     return np.exp(power)
 
 
-def _histograms(table: BinnedTable, models: dict[tuple[int, int], list[Stump]]) -> dict[tuple[int, int], np.ndarray]:
+def _histograms(binned: BinnedTable, models: dict[ModelId, list[Stump]]) -> dict[ModelId, np.ndarray]:
     """Weighted class histograms ``[feature, bin, class]`` of every open model's training rows."""
-    f, b, k = table.features, table.width, len(table.classes)
-    names = [f"b{i}" for i in range(f)]
-    open_models = sorted(models)
+    columns = binned.table.columns
+    f, b, k = len(columns), binned.width, len(binned.table.classes)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {m: np.zeros(f * b * k) for m in open_models}
-        for pdf in batches:
-            cluster, label, test = (pdf[c].to_numpy() for c in ("cluster", "label", "test"))
-            bins = pdf[names].to_numpy()
-            cells = ((np.arange(f) * b + bins) * k + label[:, None])
-            for m in open_models:
-                rows = (cluster == m[0]) & ((test >> m[1]) & 1 == 0)
-                if rows.any():
-                    w = _weights(models[m], bins[rows], label[rows])
-                    sums[m] += np.bincount(cells[rows].ravel(), weights=np.repeat(w, f), minlength=f * b * k)
-        parts = []
-        for i, m in enumerate(open_models):
-            used = np.flatnonzero(sums[m])
-            parts.append(pd.DataFrame({"model": np.int32(i), "cell": used.astype("int32"), "w": sums[m][used]}))
-        yield pd.concat(parts, ignore_index=True)
-
-    merged = table.rows.mapInPandas(partial, "model INT, cell INT, w DOUBLE")
-    if table.tasks > MERGE_TASKS:
-        merged = merged.groupBy("model", "cell").agg(F.sum("w").alias("w"))
-    result = {m: np.zeros(f * b * k) for m in open_models}
-    # Model-sized: at most (a few times) models × features × bins × classes rows.
-    pdf = merged.toPandas()
-    for i, part in pdf.groupby("model"):
-        np.add.at(result[open_models[i]], part["cell"].to_numpy(), part["w"].to_numpy())
-    return {m: h.reshape(f, b, k) for m, h in result.items()}
+    def add(sums: dict[ModelId, np.ndarray], pdf: pd.DataFrame) -> None:
+        cluster, label, test, bins = many.split_batch(pdf, columns)
+        cells = (np.arange(f) * b + bins) * k + label[:, None]
+        for m, stumps in models.items():
+            rows = many.in_training(m, cluster, test)
+            if rows.any():
+                w = _weights(stumps, bins[rows], label[rows])
+                sums[m] += np.bincount(cells[rows].ravel(), weights=np.repeat(w, f), minlength=f * b * k)
+
+    return {m: h.reshape(f, b, k) for m, h in many.summed(binned.table, sorted(models), f * b * k, add).items()}
 
 
 def _gini_mass(w: np.ndarray) -> np.ndarray:
@@ -217,68 +164,39 @@ def best_stump(histogram: np.ndarray, thresholds: list[np.ndarray]) -> tuple[int
     return int(feature), int(cut), int(sides[0].argmax()), int(sides[1].argmax()), float(max(0.0, 1 - hits / whole.sum()))
 
 
-def boost(table: BinnedTable, rounds: int = 50, learning_rate: float = 1.0) -> dict[tuple[int, int], BoostedStumps]:
-    """One boosted model per ``(cluster, split)``, trained on the rows outside that split's test part."""
-    k = len(table.classes)
-    models = {(c, s): BoostedStumps(table.classes) for c in sorted(table.thresholds) for s in range(table.n_splits)}
+def boost(binned: BinnedTable, rounds: int = 50, learning_rate: float = 1.0) -> dict[ModelId, BoostedStumps]:
+    """One boosted model per ``(cluster, split)``.
+
+    A model stops early when a stump is perfect or no better than chance.
+    """
+    k = len(binned.table.classes)
+    models = {m: BoostedStumps(binned.table.classes) for m in binned.table.models}
     still_open = set(models)
     for _ in range(rounds):
         if not still_open:
             break
-        found = _histograms(table, {m: models[m].stumps for m in still_open})
+        found = _histograms(binned, {m: models[m].stumps for m in still_open})
         for m, histogram in found.items():
             model = models[m]
             if histogram.sum() <= 0:
                 still_open.discard(m)
                 continue
-            per = table.thresholds[m[0]]
+            per = binned.thresholds[m[0]]
             feature, cut, left, right, error = best_stump(histogram, per)
             threshold = float(per[feature][cut]) if len(per[feature]) > cut else math.inf
-            if error <= 1e-12:
-                model.stumps.append(Stump(feature, cut, threshold, left, right, 1.0))
-                model.errors.append(0.0)
-                still_open.discard(m)
-                continue
-            if error >= 1 - 1 / k - 1e-12:
-                if not model.stumps:
-                    model.stumps.append(Stump(feature, cut, threshold, left, right, 1.0))
-                    model.errors.append(error)
+            perfect, hopeless = error <= 1e-12, error >= 1 - 1 / k - 1e-12
+            if perfect or hopeless:
                 still_open.discard(m)
-                continue
-            alpha = learning_rate * (math.log((1 - error) / error) + math.log(k - 1))
+                if hopeless and model.stumps:
+                    continue
+                alpha = 1.0
+            else:
+                alpha = learning_rate * (math.log((1 - error) / error) + math.log(k - 1))
             model.stumps.append(Stump(feature, cut, threshold, left, right, alpha))
-            model.errors.append(error)
+            model.errors.append(0.0 if perfect else error)
     return models
 
 
-def test_outcomes(table: BinnedTable, models: dict[tuple[int, int], BoostedStumps]) -> DataFrame:
-    """``<cluster, split, label, prediction, n>`` on the test rows of every model, in one pass."""
-    names = [f"b{i}" for i in range(table.features)]
-    classes = np.asarray(table.classes)
-    k = len(classes)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {m: np.zeros(k * k, dtype="int64") for m in models}
-        for pdf in batches:
-            cluster, label, test = (pdf[c].to_numpy() for c in ("cluster", "label", "test"))
-            bins = pdf[names].to_numpy()
-            for m, model in models.items():
-                rows = (cluster == m[0]) & ((test >> m[1]) & 1 == 1)
-                if rows.any():
-                    sums[m] += np.bincount(label[rows] * k + model.vote(bins[rows]), minlength=k * k)
-        out = [
-            (m[0], m[1], int(classes[cell // k]), int(classes[cell % k]), int(n))
-            for m, counts in sums.items()
-            for cell, n in enumerate(counts)
-            if n
-        ]
-        yield pd.DataFrame(out, columns=["cluster", "split", "label", "prediction", "n"])
-
-    schema = "cluster INT, split INT, label INT, prediction INT, n BIGINT"
-    counted = table.rows.mapInPandas(partial, schema)
-    return counted.groupBy("cluster", "split", "label", "prediction").agg(F.sum("n").alias("n"))
-
-
 class _BoostParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     rounds = Param(Params._dummy(), "rounds", "boosting rounds (>= 1)", TypeConverters.toInt)
     learningRate = Param(Params._dummy(), "learningRate", "shrinks every stump's vote", TypeConverters.toFloat)
@@ -300,29 +218,24 @@ class AdaBoostClassifier(Estimator, _BoostParams):
         super().__init__()
         self._set(**self._input_kwargs)
 
-    def _train(self, df: DataFrame, rounds: int, rate: float) -> BoostedStumps:
-        label = self.getLabelCol()
-        classes = [int(r[0]) for r in df.select(label).distinct().orderBy(label).limit(1001).collect()]
-        if len(classes) > 1000:
-            raise ValueError(f"{label!r} has more than 1000 distinct values")
-        width = len(df.select(self.getFeaturesCol()).first()[0])
-        values = df.select(F.col(label), vector_to_array(self.getFeaturesCol()).alias("v"), F.lit(0).alias("cluster"))
-        columns = [f"x{i}" for i in range(width)]
-        wide = values.select("cluster", label, *[F.col("v")[i].alias(c) for i, c in enumerate(columns)])
-        table = bin_table(wide, columns, label, classes, "cluster", None, 1, self.getOrDefault(self.maxBins))
-        table.rows = compact(table.rows, df.count()).persist()
+    def _train(self, df: DataFrame, wanted: dict[float, int]) -> dict[float, BoostedStumps]:
+        """The longest model wanted for each learning rate."""
+        table = many.vector_table(df, self.getFeaturesCol(), self.getLabelCol())
+        binned = bin_table(table, self.getOrDefault(self.maxBins))
+        binned.table.rows = compact(binned.table.rows, df.count()).persist()
         try:
-            return boost(table, rounds, rate)[(0, 0)]
+            return {rate: boost(binned, rounds, rate)[(0, 0)] for rate, rounds in wanted.items()}
         finally:
-            table.rows.unpersist()
+            binned.table.rows.unpersist()
 
     def _model(self, stumps: BoostedStumps) -> AdaBoostModel:
         return self._copyValues(AdaBoostModel(stumps))
 
     def _fit(self, df: DataFrame) -> AdaBoostModel:
-        return self._model(self._train(df, self.getOrDefault(self.rounds), self.getOrDefault(self.learningRate)))
+        rate = self.getOrDefault(self.learningRate)
+        return self._model(self._train(df, {rate: self.getOrDefault(self.rounds)})[rate])
 
-    def fitMultiple(self, dataset: DataFrame, paramMaps):
+    def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[dict]):
         """Fit one long model per learning rate; shorter ones are its first rounds."""
         if not all(set(pm) <= {self.rounds, self.learningRate} for pm in paramMaps):
             return super().fitMultiple(dataset, paramMaps)
@@ -330,8 +243,7 @@ class AdaBoostClassifier(Estimator, _BoostParams):
             (pm.get(self.learningRate, self.getOrDefault(self.learningRate)), pm.get(self.rounds, self.getOrDefault(self.rounds)))
             for pm in paramMaps
         ]
-        longest = {rate: max(n for r, n in wanted if r == rate) for rate, _ in wanted}
-        trained = {rate: self._train(dataset, n, rate) for rate, n in longest.items()}
+        trained = self._train(dataset, {rate: max(n for r, n in wanted if r == rate) for rate, _ in wanted})
         return iter([(i, self.copy(paramMaps[i])._model(trained[rate].staged(n))) for i, (rate, n) in enumerate(wanted)])
 
 

@@ -1,8 +1,9 @@
 """Per-cluster classifiers over stratified splits.
 
-The assembled table is written once; every (cluster, model, split) is an
-independent distributed fit on a filter of it, submitted from a small driver
-thread pool. Only counts per (label, prediction) come back.
+The assembled table is written once. Trees and forests are independent Spark ML
+fits per (cluster, split), submitted from a small driver thread pool; boosting
+and margins train all clusters and splits in shared passes. Only counts per
+(label, prediction) come back.
 """
 
 from __future__ import annotations
@@ -12,14 +13,14 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accountscope.config import ClassifyConfig
-from accountscope.operators import boost, metrics, splits
+from accountscope.operators import boost, many, metrics, splits, svm
 from accountscope.session import compact, materialise
 
 OUTCOMES = "cluster INT, model STRING, split INT, label INT, prediction INT, n BIGINT"
@@ -39,8 +40,8 @@ def assemble(df: DataFrame, features: Sequence[str], label: str = "user_type", o
     return vectors.withColumn("label", F.col(label).cast("double"))
 
 
-def make_model(name: str, rows: int, cfg: ClassifyConfig = ClassifyConfig(), standardise: bool = True, c: float = 1.0) -> Estimator:
-    """The estimator behind a model name; ``rows`` turns the margin penalty C into Spark's regParam."""
+def make_model(name: str, cfg: ClassifyConfig = ClassifyConfig()) -> Estimator:
+    """The estimator behind a model name."""
     if name == "decision_tree":
         return DecisionTreeClassifier(maxDepth=cfg.max_depth, seed=cfg.seed)
     if name == "random_forest":
@@ -50,7 +51,7 @@ def make_model(name: str, rows: int, cfg: ClassifyConfig = ClassifyConfig(), sta
     if name == "adaboosted_dt":
         return boost.AdaBoostClassifier(rounds=cfg.boosting_rounds)
     if name == "linear_svc":
-        return LinearSVC(regParam=1.0 / (c * max(rows, 1)), standardization=standardise)
+        return svm.SquaredHingeSVC(standardise=cfg.standardise)
     raise ValueError(f"unknown model {name!r}")
 
 
@@ -85,7 +86,7 @@ def model_outcomes(
     flagged = materialise(splits.split_flags(df, key, label, cfg.folds, cfg.test_share, cfg.seed, within="cluster"), "split-table")
     sizes = _cluster_sizes(flagged)
     features = {c: _features_of(cfg, df, c, label) for c in sizes}
-    spark_models = [m for m in cfg.models if m != "adaboosted_dt"]
+    spark_models = [m for m in cfg.models if m in ("decision_tree", "random_forest")]
     cached, tasks, found = {}, [], []
     for c in sizes if spark_models else ():
         table = assemble(flagged.where(F.col("cluster") == c), features[c], label)
@@ -97,8 +98,7 @@ def model_outcomes(
     def run(task: tuple[int, str, int]) -> list[tuple]:
         c, name, s = task
         train, test = (cached[c].where(~F.col("is_test")[s]), cached[c].where(F.col("is_test")[s]))
-        model = make_model(name, round(sizes[c] * cfg.train), cfg)
-        _, predicted = fit_predict(model, train, test)
+        _, predicted = fit_predict(make_model(name, cfg), train, test)
         counts = metrics.outcome_counts(predicted.withColumn("label", F.col("label").cast("int"))).collect()
         return [(c, name, s, r["label"], r["prediction"], r["n"]) for r in counts]
 
@@ -109,33 +109,45 @@ def model_outcomes(
     finally:
         for table in cached.values():
             table.unpersist()
-    outcomes = df.sparkSession.createDataFrame(found, OUTCOMES)
-    if "adaboosted_dt" in cfg.models:
-        outcomes = outcomes.unionByName(_boosted_outcomes(flagged, sizes, features, cfg, label))
-    return outcomes
+    found += _shared_outcomes(flagged, sizes, features, cfg, label)
+    return df.sparkSession.createDataFrame(found, OUTCOMES)
 
 
-def _boosted_outcomes(
+def _shared_outcomes(
     flagged: DataFrame, sizes: dict[int, int], features: dict[int, list[str]], cfg: ClassifyConfig, label: str
-) -> DataFrame:
-    """All clusters that share a feature list are boosted together."""
+) -> list[tuple]:
+    """Models that train together; clusters are grouped by feature list."""
+    wanted = [m for m in ("adaboosted_dt", "linear_svc") if m in cfg.models]
+    if not wanted:
+        return []
     by_list: dict[tuple, list[int]] = {}
     for c, names in features.items():
         by_list.setdefault(tuple(names), []).append(c)
-    classes = [int(r[0]) for r in flagged.select(label).distinct().orderBy(label).limit(splits.MAX_CLASSES).collect()]
+    classes = many.distinct_classes(flagged, label)
     found = []
     for names, clusters in by_list.items():
         part = flagged.where(F.col("cluster").isin(clusters))
-        table = boost.bin_table(part, list(names), label, classes, "cluster", "is_test", cfg.folds)
-        rows = sum(n for c, n in sizes.items() if c in clusters)
-        table.rows = compact(table.rows, rows).persist()
+        table = many.model_table(part, [F.col(n) for n in names], label, classes, "cluster", clusters, "is_test", cfg.folds)
+        table.rows = compact(table.rows, sum(sizes[c] for c in clusters)).persist()
         try:
-            models = boost.boost(table, cfg.boosting_rounds)
-            found += [tuple(r) for r in boost.test_outcomes(table, models).collect()]
+            for name in wanted:
+                found += [(c, name, s, y, p, n) for c, s, y, p, n in _train_together(name, table, cfg)]
         finally:
             table.rows.unpersist()
-    rows = [(c, "adaboosted_dt", s, y, p, n) for c, s, y, p, n in found]
-    return flagged.sparkSession.createDataFrame(rows, OUTCOMES)
+    return found
+
+
+def _train_together(name: str, table: many.ModelTable, cfg: ClassifyConfig) -> list[tuple]:
+    if name == "linear_svc":
+        margins = svm.fit_margins(table, standardise=cfg.standardise)
+        return many.test_outcomes(table, {m: margin.vote for m, margin in margins.items()})
+    binned = boost.bin_table(table)
+    binned.table.rows = binned.table.rows.persist()
+    try:
+        models = boost.boost(binned, cfg.boosting_rounds)
+        return many.test_outcomes(binned.table, {m: model.vote for m, model in models.items()})
+    finally:
+        binned.table.rows.unpersist()
 
 
 def cv_accuracy(outcomes: DataFrame) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accountscope.operators import boost, splits
+from accountscope.operators import boost, splits, svm
 from accountscope.session import compact
 
 # The searched grids.
@@ -42,11 +42,9 @@ def grid_ada(rounds=ROUNDS, rates=RATES) -> tuple[Estimator, list[dict]]:
     return ada, ParamGridBuilder().addGrid(ada.rounds, rounds).addGrid(ada.learningRate, rates).build()
 
 
-def grid_svc(rows: int, penalties=PENALTIES, iterations=ITERATIONS) -> tuple[Estimator, list[dict]]:
-    """``rows`` is the training size of one fold; it turns each penalty C into a regParam."""
-    svc = LinearSVC()
-    grid = ParamGridBuilder().addGrid(svc.regParam, [1.0 / (c * rows) for c in penalties])
-    return svc, grid.addGrid(svc.maxIter, iterations).build()
+def grid_svc(penalties=PENALTIES, iterations=ITERATIONS) -> tuple[Estimator, list[dict]]:
+    svc = svm.SquaredHingeSVC()
+    return svc, ParamGridBuilder().addGrid(svc.c, penalties).addGrid(svc.maxIter, iterations).build()
 
 
 @dataclass

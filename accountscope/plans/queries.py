@@ -696,7 +696,7 @@ def _model_query(key: str, model: str) -> None:
     def run(spark, folder):
         accounts = _flagged_account_table(spark, folder)
         train, test = accounts.where("NOT is_test"), accounts.where("is_test")
-        _, predicted = classify.fit_predict(classify.make_model(model, train.count()), train, test)
+        _, predicted = classify.fit_predict(classify.make_model(model), train, test)
         return predicted.select("user_id", F.col("label").cast("int").alias("label"), "prediction")
 
     query(None, key)(run)
@@ -711,7 +711,7 @@ SELECT doc_id AS user_id, quality AS label, true AS predicted FROM parts WHERE i
 def fit_predict(spark, folder):
     """A fitted model scores every row of the test part and no other."""
     accounts = _flagged_account_table(spark, folder)
-    _, scored = classify.fit_predict(classify.make_model("decision_tree", accounts.count()), accounts.where("NOT is_test"), accounts.where("is_test"))
+    _, scored = classify.fit_predict(classify.make_model("decision_tree"), accounts.where("NOT is_test"), accounts.where("is_test"))
     return scored.select("user_id", F.col("label").cast("int").alias("label"), F.col("prediction").isin(0, 1).alias("predicted"))
 
 
@@ -780,7 +780,7 @@ _grid_query("grid_search", lambda data: tuning.grid_dt(criteria=["gini", "entrop
 _grid_query("grid_dt", lambda data: tuning.grid_dt(criteria=["gini"], depths=[3, 5], leaves=[20, 50]))
 _grid_query("grid_rf", lambda data: tuning.grid_rf(trees=[1, 5], criteria=["gini"], depths=[4], leaves=[20]))
 _grid_query("grid_ada", lambda data: tuning.grid_ada(rounds=[1, 3, 9], rates=[0.1, 1.0]))
-_grid_query("grid_svc", lambda data: tuning.grid_svc(data.count() * 2 // 3, penalties=[0.01, 1.0], iterations=[30]))
+_grid_query("grid_svc", lambda data: tuning.grid_svc(penalties=[0.01, 1.0], iterations=[300]))
 
 
 # ---------------------------------------------------------------- stages
