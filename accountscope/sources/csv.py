@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_OVER = "_over"
-# A value no file holds: keeps "empty" and "missing" apart while surplus fields are looked for.
-_ABSENT = "\u0000"
+# A last field added to every record: where it ends up tells how many fields came before it.
+_END = "\u0001"
+_END_COLUMN = "_end"
 
 
 def _schema(schema: T.StructType | str) -> T.StructType:
@@ -82,20 +82,22 @@ def _read(spark: SparkSession, path: str, schema: T.StructType | str, multi_line
     records = _glue(lines) if multi_line else lines
     records = records.withColumn("value", F.regexp_replace("value", "\r$", ""))
     names = wanted.fieldNames()
-    text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _OVER]])
-    options = {"escape": '"', "nullValue": _ABSENT, "emptyValue": "", "maxCharsPerColumn": "-1"}
+    ddl = ", ".join(f"`{n}` STRING" for n in [*names, _END_COLUMN])
+    marked = F.concat("value", F.lit("," + _END))
     parsed = records.where(F.col("value") != "").select(
-        F.from_csv("value", F.lit(text.simpleString()[7:-1].replace(":", " ")), options).alias("r"), F.col("name").alias("__file")
+        F.from_csv(marked, F.lit(ddl), {"escape": '"', "maxCharsPerColumn": "-1"}).alias("r"), F.col("name").alias("__file")
     )
-    is_header = F.lit(True)
+    field = {n: F.col(f"r.`{n}`") for n in [*names, _END_COLUMN]}
+    complete, is_header = F.lit(False), F.lit(True)
+    for n in field:
+        complete = complete | F.coalesce(field[n] == _END, F.lit(False))
     for n in names:
-        is_header = is_header & F.col(f"r.{n}").eqNullSafe(F.lit(n))
-    kept = parsed.where(F.col(f"r.{_OVER}").isNull() & ~is_header)
+        is_header = is_header & field[n].eqNullSafe(F.lit(n))
     typed = []
-    for field in wanted.fields:
-        value = F.when(F.col(f"r.{field.name}") != "", F.col(f"r.{field.name}"))
-        typed.append((value if field.dataType == T.StringType() else value.try_cast(field.dataType)).alias(field.name))
-    return kept.select(*typed, "__file")
+    for f in wanted.fields:
+        value = F.when((field[f.name] != "") & (field[f.name] != _END), field[f.name])
+        typed.append((value if f.dataType == T.StringType() else value.try_cast(f.dataType)).alias(f.name))
+    return parsed.where(complete & ~is_header).select(*typed, "__file")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
