@@ -13,13 +13,26 @@ def total(p: Column) -> Column:
     return F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def entropy(p: Column) -> Column:
-    """Natural-log entropy after normalising ``p`` to sum 1; NULL when the sum is zero.
+def entries(p: Column, n: int) -> list[Column]:
+    """The ``n`` entries as columns: sums over them stay in generated code, unlike array lambdas."""
+    return [p[k] for k in range(n)]
 
-    ``-Σ (x/t)·ln(x/t) = ln t − Σ x·ln x / t``, so the sum is taken once per row.
+
+def added(terms: list[Column]) -> Column:
+    whole = terms[0]
+    for term in terms[1:]:
+        whole = whole + term
+    return whole
+
+
+def entropy(p: list[Column]) -> Column:
+    """Natural-log entropy of the entries normalised to sum 1; NULL when the sum is zero.
+
+    ``-Σ (x/t)·ln(x/t) = ln t − Σ x·ln x / t``.
     """
-    t = total(p)
-    x_ln_x = F.aggregate(p, F.lit(0.0), lambda acc, x: acc + F.when(x > 0, x * F.ln(x)).otherwise(0.0))
+    t = added(p)
+    # ln of zero is NULL in SQL, and 0·ln 0 counts as 0.
+    x_ln_x = added([F.coalesce(x * F.ln(x), F.lit(0.0)) for x in p])
     return F.when(t > 0, F.ln(t) - F.try_divide(x_ln_x, t))
 
 
@@ -28,11 +41,13 @@ def safe_ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator >= ZERO, F.try_divide(numerator, denominator))
 
 
-def local_score(p: Column) -> Column:
-    """Each entry's distance from the row mean over the row's spread."""
-    mean = F.try_divide(total(p), F.size(p).cast("double"))
-    spread = F.sqrt(F.aggregate(p, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)))
-    return F.transform(p, lambda x: safe_ratio(x - mean, spread))
+def row_mean(p: list[Column]) -> Column:
+    return added(p) / F.lit(float(len(p)))
+
+
+def row_spread(p: list[Column], mean: Column) -> Column:
+    """sqrt(Σ (x − mean)²)."""
+    return F.sqrt(added([(x - mean) * (x - mean) for x in p]))
 
 
 def global_score(value: Column, mean: float | None, spread: float | None) -> Column:

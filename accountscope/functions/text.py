@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Runs of word characters, or runs of other non-space characters.
@@ -40,6 +40,16 @@ CUSTOM_STOPWORDS = [
 STOPWORDS = tuple(ENGLISH_STOPWORDS + CUSTOM_STOPWORDS)
 
 
+def explode_terms(df: DataFrame, array: Column | str, name: str, *keep: str) -> DataFrame:
+    """One row per array entry beside the ``keep`` columns.
+
+    The outer form on purpose: for the inner one the optimizer adds a non-empty
+    test, which would evaluate the whole token expression a second time, and
+    before any repartitioning.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("bigint")
 

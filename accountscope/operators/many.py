@@ -99,16 +99,16 @@ def summed(
         for pdf in batches:
             if len(pdf):
                 add(sums, pdf)
-        for i, m in enumerate(models):
-            used = np.flatnonzero(sums[m])
-            yield pd.DataFrame({"model": np.full(len(used), i, "int32"), "cell": used.astype("int32"), "v": sums[m][used]})
+        flat = np.concatenate([sums[m] for m in models])
+        used = np.flatnonzero(flat)
+        yield pd.DataFrame({"cell": used, "v": flat[used]})
 
-    parts = table.rows.mapInPandas(partial, "model INT, cell INT, v DOUBLE")
+    parts = table.rows.mapInPandas(partial, "cell BIGINT, v DOUBLE")
     if table.tasks > MERGE_TASKS:
-        parts = parts.groupBy("model", "cell").agg(F.sum("v").alias("v"))
+        parts = parts.groupBy("cell").agg(F.sum("v").alias("v"))
     pdf = parts.toPandas()
     flat = np.zeros(len(models) * size)
-    np.add.at(flat, pdf["model"].to_numpy().astype("int64") * size + pdf["cell"].to_numpy(), pdf["v"].to_numpy())
+    np.add.at(flat, pdf["cell"].to_numpy(), pdf["v"].to_numpy())
     return dict(zip(models, flat.reshape(len(models), size)))
 
 

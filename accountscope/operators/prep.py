@@ -181,7 +181,7 @@ def text_stats(df: DataFrame, key: str, text: str) -> DataFrame:
         F.sum(tx.count_matches(F.col(text), tx.LINK)).alias("num_http"),
         F.avg(F.length(text)).alias("tweet_avg_length"),
     )
-    words = df.select(key, F.explode(F.array_distinct(tx.wordpunct(F.col(text)))).alias("token")).distinct()
+    words = tx.explode_terms(df, F.array_distinct(tx.wordpunct(F.col(text))), "token", key).distinct()
     unique = words.groupBy(key).agg(F.count(F.lit(1)).alias("num_unique_words"))
     joined = counts.join(unique, key, "left")
     return joined.withColumn("num_unique_words", F.coalesce("num_unique_words", F.lit(0).cast("bigint")))

@@ -133,7 +133,7 @@ def split_flags(
 
 def _explode_splits(flagged: DataFrame) -> DataFrame:
     rest = [c for c in flagged.columns if c != "is_test"]
-    return flagged.select(*rest, F.posexplode("is_test").alias("split", "is_test"))
+    return flagged.select(*rest, F.posexplode_outer("is_test").alias("split", "is_test"))
 
 
 def strat_split(df: DataFrame, key: str, label: str, test_share: float = 0.4, seed: int = 42) -> DataFrame:

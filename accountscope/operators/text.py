@@ -90,7 +90,7 @@ def ngrams(tokens: DataFrame, low: int = 1, high: int = 2, key: str = "user_id")
 
 def term_freq(terms: DataFrame, key: str = "user_id") -> DataFrame:
     """``<key, term, tf>``."""
-    return terms.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return tx.explode_terms(terms, "terms", "term", key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_count(terms: DataFrame, key: str = "user_id") -> int:
@@ -105,12 +105,12 @@ def document_freq(terms: DataFrame, key: str = "user_id") -> DataFrame:
     aggregated) count per term. Terms of multi-part documents are made distinct first.
     """
     hot = _hot_keys(terms, key)
-    once = F.explode(F.array_distinct("terms")).alias("term")
+    once = F.array_distinct("terms")
     if hot is None:
-        listed = terms.select(once)
+        listed = tx.explode_terms(terms, once, "term")
     else:
-        single = terms.join(hot, key, "left_anti").select(once)
-        several = terms.join(hot, key, "left_semi").select(key, once).distinct().select("term")
+        single = tx.explode_terms(terms.join(hot, key, "left_anti"), once, "term")
+        several = tx.explode_terms(terms.join(hot, key, "left_semi"), once, "term", key).distinct().select("term")
         listed = single.unionByName(several)
     return listed.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 

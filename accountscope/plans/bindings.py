@@ -51,7 +51,7 @@ def static_raw(spark: SparkSession, folder: str) -> DataFrame:
 
 def posts_raw(docs: DataFrame) -> DataFrame:
     """Every line of the documents as one post, under the raw column names."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    lines = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("n", "line"))
     return lines.select(
         F.col("doc_id").cast("string").alias("UserID"),
         F.col("n").cast("string").alias("TweetID"),

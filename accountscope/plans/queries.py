@@ -323,7 +323,7 @@ _VALID = " AND ".join(f"{c} IS NOT NULL" for c in score_columns(5))
 @query(_SCORES_SQL + f"SELECT user_id, {_ALL_SCORES} FROM wide")
 def glue_features(spark, folder):
     d = materialise(b.event_shares(spark, folder), "shares")
-    glued = prep.glue_features(scores.dt_entropy(d), scores.goss(d, 5), scores.loss(d, 5))
+    glued = prep.glue_features(scores.dt_entropy(d, 5), scores.goss(d, 5), scores.loss(d, 5))
     return _round_all(glued, *score_columns(5))
 
 
@@ -464,7 +464,7 @@ FROM documents d LEFT JOIN flat USING (doc_id) LEFT JOIN lemmas USING (token) GR
 def lemmatize_dict(spark, folder):
     """Lemma table taken from the corpus: a word in -s whose stem also occurs."""
     tokens = b.clean_documents(spark, folder)
-    words = tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).distinct()
+    words = tx.explode_terms(tokens, F.array_distinct("tokens"), "token").distinct()
     stem = F.expr("left(token, length(token) - 1)")
     candidates = words.where((F.length("token") > 3) & F.col("token").endswith("s")).select("token", stem.alias("lemma"))
     lemmas = candidates.join(words.withColumnRenamed("token", "lemma"), "lemma", "left_semi")
@@ -554,8 +554,8 @@ def avg_by_period(spark, folder):
 def _language_weights(spark, folder) -> DataFrame:
     """Given weights: term counts per language stand in for a topic-word table."""
     words = b.clean_documents(spark, folder).join(b.table(spark, folder, "documents").select("doc_id", "lang"), "doc_id")
-    counted = words.select(F.col("lang").alias("topic"), F.explode("tokens").alias("term")).groupBy("topic", "term").count()
-    return counted.select("topic", "term", F.col("count").cast("double").alias("weight"))
+    counted = tx.explode_terms(words, "tokens", "term", "lang").groupBy("lang", "term").count()
+    return counted.select(F.col("lang").alias("topic"), "term", F.col("count").cast("double").alias("weight"))
 
 
 _WEIGHTS_SQL = f"""WITH {b.SQL_TOKENS}, weights AS (
@@ -576,7 +576,7 @@ def top_words(spark, folder):
 
 @query(_SCORES_SQL + f"SELECT user_id, {_r('dt_entropy')} AS dt_entropy FROM e")
 def dt_entropy(spark, folder):
-    return _round_all(scores.dt_entropy(b.event_shares(spark, folder)), "dt_entropy")
+    return _round_all(scores.dt_entropy(b.event_shares(spark, folder), 5), "dt_entropy")
 
 
 @query(_SCORES_SQL + f"SELECT user_id, topic::INTEGER AS topic, {_r('s')} AS goss FROM g")

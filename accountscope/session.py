@@ -17,13 +17,15 @@ _LOCAL_SCRATCH: tempfile.TemporaryDirectory | None = None
 
 
 # Run-time settings the operators rely on. A hot key's join partition is split
-# even where that costs one more shuffle later.
+# even where that costs one more shuffle later. Generated methods beyond 8000
+# bytes are never compiled by the JVM: better to run such stages operator by operator.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
