@@ -118,10 +118,12 @@ def bin_table(table: ModelTable, max_bins: int = 32) -> BinnedTable:
 
 
 def _weights(stumps: list[Stump], bins: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    power = np.zeros(len(labels))
-    for s in stumps:
-        power += s.alpha * (np.where(bins[:, s.feature] <= s.cut, s.left, s.right) != labels)
-    return np.exp(power)
+    """Each row's weight: the votes of the stumps that missed it, exponentiated."""
+    if not stumps:
+        return np.ones(len(labels))
+    feature, cut, left, right = np.array([(s.feature, s.cut, s.left, s.right) for s in stumps]).T
+    missed = np.where(bins[:, feature] <= cut, left, right) != labels[:, None]
+    return np.exp(missed @ np.array([s.alpha for s in stumps]))
 
 
 def _histograms(binned: BinnedTable, models: dict[ModelId, list[Stump]]) -> dict[ModelId, np.ndarray]:

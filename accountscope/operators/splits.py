@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 #: Largest number of distinct classes (per table) a stratified split accepts.
 MAX_CLASSES = 1000
-#: Rows a hash prefix should hold on average.
+#: Rows a hash prefix may hold on average before its rows are ranked in one task.
 PREFIX_ROWS = 50_000
+#: Characters of an md5 text, and how many of them one counting pass looks at.
+HASH_DIGITS = 32
+DIGITS_PER_STEP = 4
 
 _EVERYTHING = "{}"
 
@@ -58,11 +61,24 @@ def test_quotas(counts: dict, test_share: float) -> dict:
     return quotas
 
 
-def _prefix_digits(rows: int) -> int:
-    digits = 1
-    while rows / 16**digits > PREFIX_ROWS and digits < 7:
-        digits += 1
-    return digits
+def _narrow(hashed: DataFrame, wanted: DataFrame, known: int, digits: int) -> DataFrame:
+    """Extend each wanted prefix from ``known`` to ``digits`` characters.
+
+    Rows are counted per longer prefix; the one that straddles the wanted place
+    is kept, with the place counted from its start.
+    """
+    parent = F.substring("at.h", 1, known) if known else F.lit("")
+    inside = hashed.withColumn("prefix", parent)
+    if known:
+        inside = inside.join(F.broadcast(wanted.select("split", "stratum", "prefix").distinct()), ["split", "stratum", "prefix"])
+    longer = F.substring("at.h", 1, digits)
+    counted = inside.groupBy("split", "stratum", "prefix", longer.alias("longer")).agg(F.count(F.lit(1)).alias("n"))
+    # At most 16 ** DIGITS_PER_STEP rows per window.
+    upto = F.sum("n").over(Window.partitionBy("split", "stratum", "prefix").orderBy("longer"))
+    found = counted.withColumn("upto", upto).join(F.broadcast(wanted), ["split", "stratum", "prefix"])
+    straddling = found.where("need <= upto AND need > upto - n")
+    kept = straddling.select("split", "stratum", "cut", F.col("longer").alias("prefix"), F.expr("need - (upto - n)").alias("need"))
+    return hashed.sparkSession.createDataFrame(kept.collect(), kept.schema)
 
 
 def find_cuts(df: DataFrame, key: str, strata: list[str], ranks: list[tuple], rows: int, seed: int, n_splits: int) -> DataFrame:
@@ -72,25 +88,27 @@ def find_cuts(df: DataFrame, key: str, strata: list[str], ranks: list[tuple], ro
     class and ``n_splits × cuts`` entries in each; it goes through the driver.
     """
     spark = df.sparkSession
-    wanted = spark.createDataFrame([r for r in ranks if r[2] > 0], "stratum STRING, cut INT, rank BIGINT")
     hashed = (
         df.select(F.col(key), _stratum(strata).alias("stratum"))
         .withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
         .withColumn("at", _place(F.col("split") + F.lit(seed), key))
-        .select("split", "stratum", "at", F.substring("at.h", 1, _prefix_digits(rows)).alias("prefix"))
+        .select("split", "stratum", "at")
     )
-    counted = hashed.groupBy("split", "stratum", "prefix").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("split", "stratum").orderBy("prefix"))
-    # One prefix straddles each wanted rank: at most splits × ranks rows.
-    straddling = (
-        counted.withColumn("upto", upto)
-        .join(F.broadcast(wanted), "stratum")
-        .where("rank <= upto AND rank > upto - n")
-        .select("split", "stratum", "prefix", "cut", F.expr("rank - (upto - n)").alias("need"))
+    places = [(s, stratum, cut, "", rank) for s in range(n_splits) for stratum, cut, rank in ranks if rank > 0]
+    wanted = spark.createDataFrame(places, "split INT, stratum STRING, cut INT, prefix STRING, need BIGINT")
+    known = 0
+    while rows / 16**known > PREFIX_ROWS and known < HASH_DIGITS:
+        step = 1
+        while step < DIGITS_PER_STEP and rows / 16 ** (known + step) > PREFIX_ROWS:
+            step += 1
+        wanted = _narrow(hashed, wanted, known, known + step)
+        known += step
+    prefix = F.substring("at.h", 1, known) if known else F.lit("")
+    inside = hashed.withColumn("prefix", prefix).join(
+        F.broadcast(wanted.select("split", "stratum", "prefix").distinct()), ["split", "stratum", "prefix"]
     )
-    inside = hashed.join(F.broadcast(straddling), ["split", "stratum", "prefix"])
-    place = F.row_number().over(Window.partitionBy("split", "stratum", "cut").orderBy("at"))
-    found = inside.withColumn("place", place).where("place = need")
+    place = F.row_number().over(Window.partitionBy("split", "stratum", "prefix").orderBy("at"))
+    found = inside.withColumn("place", place).join(F.broadcast(wanted), ["split", "stratum", "prefix"]).where("place = need")
     entry = F.struct("split", "cut", "at")
     grouped = found.groupBy("stratum").agg(F.array_sort(F.collect_list(entry)).alias("cuts"))
     return spark.createDataFrame(grouped.collect(), grouped.schema)

@@ -26,9 +26,13 @@ def preprocess_static(static_raw: DataFrame, order: str | None = None) -> DataFr
 def preprocess_posts(polluters: DataFrame, legitimate: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     """Labelled raw posts of the two cohorts, without accounts that occur in both.
 
-    Works on raw posts: accounts are removed before their documents are built.
+    Works on posts: accounts are removed before their documents are built. The
+    typed posts are written once, so that finding out which accounts stay reads
+    their ids only.
     """
-    cohorts = [prep.type_posts(prep.coerce_id(prep.rename_tweets(df))) for df in (polluters, legitimate)]
+    cohorts = [
+        materialise(prep.type_posts(prep.coerce_id(prep.rename_tweets(df))), "posts") for df in (polluters, legitimate)
+    ]
     ours, theirs = prep.disjoint_cohorts(*cohorts)
     posts = prep.union_cohorts(prep.add_const_label(ours, prep.POLLUTER), prep.add_const_label(theirs, prep.LEGITIMATE))
     return posts if keep is None else posts.join(keep.select("user_id"), "user_id", "left_semi")
@@ -48,11 +52,11 @@ def preprocess(
     Documents are ``<user_id, part, tweet, user_type>``; accounts of ordinary
     size have one part.
     """
-    static = preprocess_static(static_raw)
+    static = materialise(preprocess_static(static_raw), "static")
     posts = preprocess_posts(polluters, legitimate)
     static, posts = prep.square_frames(static, posts)
     if cfg.random_sub_sample:
-        static = splits.sample_n(materialise(static, "static"), "user_id", cfg.sample_size, cfg.seed)
+        static = splits.sample_n(static, "user_id", cfg.sample_size, cfg.seed)
         posts = splits.follow_sample(posts, static, "user_id")
     parts = collate.collate_parts(
         posts, "user_id", "tweet", ["creation_date", "tweet_id"], cfg.null_text, cfg.max_part_rows, carry=["user_type"]

@@ -27,9 +27,10 @@ def ranks(ids, seed):
     return sorted(ids, key=lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest())
 
 
-@pytest.mark.parametrize("prefix_rows", [50_000, 3])
-def test_split_equals_sorting(spark, people, monkeypatch, prefix_rows):
+@pytest.mark.parametrize("prefix_rows, digits", [(50_000, 4), (3, 4), (3, 1)])
+def test_split_equals_sorting(spark, people, monkeypatch, prefix_rows, digits):
     monkeypatch.setattr(splits, "PREFIX_ROWS", prefix_rows)
+    monkeypatch.setattr(splits, "DIGITS_PER_STEP", digits)
     found = {r["user_id"] for r in splits.strat_split(people, "user_id", "y").where("is_test").collect()}
     ones = [i for i in range(1000) if i % 7 == 0]
     zeros = [i for i in range(1000) if i % 7]
@@ -53,6 +54,16 @@ def test_splits_within_clusters(people):
         assert r["t"] == -(-r["n"] * 4 // 10)
 
 
+def test_folds_do_not_depend_on_the_passes(people, monkeypatch):
+    def dealt():
+        return {r["user_id"]: r["fold"] for r in splits.stratified_kfold(people, "user_id", "y", 7).collect()}
+
+    once = dealt()
+    monkeypatch.setattr(splits, "PREFIX_ROWS", 2)
+    monkeypatch.setattr(splits, "DIGITS_PER_STEP", 1)
+    assert dealt() == once
+
+
 @pytest.mark.parametrize("n", [1000, 23])
 def test_folds_are_even(people, n):
     folded = splits.stratified_kfold(people.where(F.col("user_id") < n), "user_id", "y", 10)
