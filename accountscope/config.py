@@ -28,6 +28,11 @@ def score_columns(topics: int) -> tuple[str, ...]:
     )
 
 
+def classification_features(topics: int) -> tuple[str, ...]:
+    """The full feature list; the period averages need ``PreprocessConfig.period_features``."""
+    return (*STATIC_FEATURES, *PERIOD_FEATURES, *score_columns(topics))
+
+
 def _require(ok: bool, message: str) -> None:
     if not ok:
         raise ValueError(message)
@@ -40,6 +45,8 @@ class PreprocessConfig:
     seed: int = 42
     null_text: str | None = None
     max_part_rows: int = 100_000
+    #: Add posts per active day, hour and month to the static features.
+    period_features: bool = False
 
     def __post_init__(self) -> None:
         _require(self.sample_size > 0, "sample_size must be positive")

@@ -8,11 +8,11 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accountscope.operators import boost, splits, svm
-from accountscope.session import compact
+from accountscope.operators import boost, metrics, splits, svm
+from accountscope.session import compact, materialise
 
 # The searched grids.
 CRITERIA = ["gini", "entropy"]
@@ -61,6 +61,40 @@ class GridResult:
         return like.sparkSession.createDataFrame(rows, "params STRING, accuracy DOUBLE, sd DOUBLE")
 
 
+def grid_report(
+    df: DataFrame, estimator: Estimator, grid: list[dict], key: str = "user_id", folds: int = 10, test_share: float = 0.4,
+    seed: int = 42, parallelism: int = 8,
+) -> tuple[GridResult, DataFrame]:
+    """Search on the training part of one stratified split, then judge the best model on both parts.
+
+    The report is ``<metric, class, value>``: train and test accuracy, per-class
+    metrics, their weighted averages and the confusion matrix of the test part.
+    """
+    flagged = materialise(splits.strat_split(df.select(key, "features", "label"), key, "label", test_share, seed), "grid-split")
+    found = grid_search(flagged.where("NOT is_test").drop("is_test"), estimator, grid, key, folds, seed, parallelism)
+    scored = found.best.transform(flagged).select("is_test", *[F.col(c).cast("int").alias(c) for c in ("label", "prediction")])
+    counts = materialise(metrics.outcome_counts(scored, ["is_test"]), "grid-outcomes")
+    part = F.when(F.col("is_test"), F.lit("test_accuracy")).otherwise(F.lit("train_accuracy"))
+    hits = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0)))
+    accuracy = counts.groupBy(part.alias("metric")).agg(F.try_divide(hits, F.sum("n")).alias("value"))
+    test = counts.where("is_test")
+    prf = metrics.prf_from_counts(test)
+    names = ["precision", "recall", "f1", "support"]
+
+    def long(table: DataFrame, prefix: str, of_class: Column) -> DataFrame:
+        entries = [
+            F.struct(F.lit(prefix + m).alias("metric"), of_class.alias("class"), F.col(m).cast("double").alias("value")) for m in names
+        ]
+        return table.select(F.inline(F.array(*entries)))
+
+    none = F.lit(None).cast("int")
+    cells = test.select(
+        F.concat(F.lit("predicted_as_"), F.col("prediction")).alias("metric"), F.col("label").alias("class"), F.col("n").cast("double").alias("value")
+    )
+    report = accuracy.select("metric", none.alias("class"), "value").unionByName(long(prf, "", F.col("class")))
+    return found, report.unionByName(long(metrics.report_avg(prf), "weighted_", none)).unionByName(cells)
+
+
 def grid_search(
     df: DataFrame, estimator: Estimator, grid: list[dict], key: str = "user_id", folds: int = 10, seed: int = 42, parallelism: int = 8
 ) -> GridResult:

@@ -31,7 +31,7 @@ def event_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def static_raw(spark: SparkSession, folder: str) -> DataFrame:
     """One row of numeric features per labelled document, under the raw column names."""
-    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    docs, labels = documents(spark, folder), table(spark, folder, "labels")
     lines = F.size(F.split("text", "\n")).cast("double")
     words = F.size(F.array_distinct(tx.wordpunct(F.col("text")))).cast("double")
     return docs.join(labels, "doc_id").select(
@@ -62,7 +62,7 @@ def posts_raw(docs: DataFrame) -> DataFrame:
 
 def cohorts_raw(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Posts of suspicious and of unsuspicious documents; documents of low quality but not toxic are in both."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     labels = table(spark, folder, "labels")
     suspicious, plain = labels.where("toxic = 1 OR quality = 0"), labels.where("toxic = 0")
     return posts_raw(docs.join(suspicious, "doc_id")), posts_raw(docs.join(plain, "doc_id"))

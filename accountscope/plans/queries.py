@@ -775,8 +775,14 @@ def _grid_query(key: str, make) -> None:
     query(None, key)(run)
 
 
+@query()
+def grid_search(spark, folder):
+    """Search on the training part, then the best model's report on both parts."""
+    data = materialise(_assembled(spark, folder), "grid-table")
+    return tuning.grid_report(data, *tuning.grid_dt(criteria=["gini", "entropy"], depths=[3], leaves=[20]), folds=3)[1]
+
+
 # A few points of every grid; the full grids are the defaults of these functions.
-_grid_query("grid_search", lambda data: tuning.grid_dt(criteria=["gini", "entropy"], depths=[3], leaves=[20]))
 _grid_query("grid_dt", lambda data: tuning.grid_dt(criteria=["gini"], depths=[3, 5], leaves=[20, 50]))
 _grid_query("grid_rf", lambda data: tuning.grid_rf(trees=[1, 5], criteria=["gini"], depths=[4], leaves=[20]))
 _grid_query("grid_ada", lambda data: tuning.grid_ada(rounds=[1, 3, 9], rates=[0.1, 1.0]))

@@ -58,6 +58,8 @@ def preprocess(
     if cfg.random_sub_sample:
         static = splits.sample_n(static, "user_id", cfg.sample_size, cfg.seed)
         posts = splits.follow_sample(posts, static, "user_id")
+    if cfg.period_features:
+        static = static.join(prep.avg_by_period(posts, "user_id", "creation_date"), "user_id")
     parts = collate.collate_parts(
         posts, "user_id", "tweet", ["creation_date", "tweet_id"], cfg.null_text, cfg.max_part_rows, carry=["user_type"]
     )

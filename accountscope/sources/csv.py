@@ -59,13 +59,16 @@ def _glue(lines: DataFrame) -> DataFrame:
     return owned.groupBy("file", "name", "start").agg(record.alias("value")).select("value", "name")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool | None = None, surplus: str = "skip"
+) -> DataFrame:
     """Typed table from one file or a folder.
 
     ``multi_line=None`` looks whether any record spans lines; if none does,
     lines are parsed where they are read. Every file is split over tasks either way.
+    ``surplus="fail"`` raises on a row with too many fields instead of skipping it.
     """
-    return _read(spark, path, schema, multi_line).drop("__file")
+    return _read(spark, path, schema, multi_line, surplus).drop("__file")
 
 
 def read_csv_many(spark: SparkSession, folder: str, schema: T.StructType | str, label: str = "label", multi_line: bool | None = None) -> DataFrame:
@@ -74,7 +77,11 @@ def read_csv_many(spark: SparkSession, folder: str, schema: T.StructType | str,
     return _read(spark, folder, schema, multi_line).withColumn(label, name).drop("__file")
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool | None) -> DataFrame:
+def _read(
+    spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool | None, surplus: str = "skip"
+) -> DataFrame:
+    if surplus not in ("skip", "fail"):
+        raise ValueError("surplus must be 'skip' or 'fail'")
     wanted = _schema(schema)
     lines = _lines(spark, path)
     if multi_line is None:
@@ -91,6 +98,8 @@ def _read(spark: SparkSession, path: str, schema: T.StructType | str, multi_line
     complete, is_header = F.lit(False), F.lit(True)
     for n in field:
         complete = complete | F.coalesce(field[n] == _END, F.lit(False))
+    if surplus == "fail":
+        complete = F.when(complete, F.lit(True)).otherwise(F.raise_error(F.lit("row with too many fields")).cast("boolean"))
     for n in names:
         is_header = is_header & field[n].eqNullSafe(F.lit(n))
     typed = []

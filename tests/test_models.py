@@ -182,6 +182,18 @@ def test_grid_search_refits_best(spark):
     assert found.table(df).count() == 4
 
 
+def test_grid_report(spark, folder):
+    accounts = bindings.account_features(spark, folder)
+    data = classify.assemble(accounts, classify.xy_split_cols(accounts)).select("user_id", "features", "label").persist()
+    _, report = tuning.grid_report(data, *tuning.grid_svc(penalties=[1.0], iterations=[300]), folds=2)
+    found = {(r["metric"], r["class"]): r["value"] for r in report.collect()}
+    test_rows = -(-data.count() * 4 // 10)
+    assert found[("weighted_support", None)] == test_rows
+    hits = found.get(("predicted_as_0", 0), 0) + found.get(("predicted_as_1", 1), 0)
+    assert found[("test_accuracy", None)] == pytest.approx(hits / test_rows)
+    assert 0 <= found[("train_accuracy", None)] <= 1
+
+
 def test_features_are_matched_by_cluster_id(spark, folder):
     accounts = bindings.account_features(spark, folder)
     cfg = ClassifyConfig(models=("linear_svc",), folds=2, features={0: ("user_type", "num_words"), 1: ("num_lines", "num_digits")})

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from accountscope.operators import collate, prep
 from accountscope.plans import stages
-from accountscope.config import PreprocessConfig
+from accountscope.config import PERIOD_FEATURES, PreprocessConfig
 
 RAW = [("12", 2, "b"), ("12", 1, "a"), ("12", 3, None), ("abc", 1, "dropped"), (None, 1, "dropped")]
 
@@ -99,5 +99,6 @@ def test_preprocess_small(spark):
     assert sorted((r["user_id"], r["tweet"], r["user_type"]) for r in documents.collect()) == [(1, "a b", 1), (2, "c", 0)]
     assert stages.label_conflicts(static, documents) == 0
     static, documents = stages.preprocess(static.withColumnsRenamed({v: k for k, v in prep.STATIC_RENAMES.items()}), ours, theirs,
-                                          PreprocessConfig(random_sub_sample=True, sample_size=1))
+                                          PreprocessConfig(random_sub_sample=True, sample_size=1, period_features=True))
     assert static.count() == 1 and documents.count() == 1
+    assert set(PERIOD_FEATURES) <= set(static.columns)

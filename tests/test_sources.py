@@ -14,6 +14,8 @@ def test_short_long_and_quoted_rows(spark, tmp_path):
     (tmp_path / "x.csv").write_text('a,b,c\n1,2,3\n1,2,3,4\n1,2\n"x ""q"" y",5,6\n1,2,3,4,5\n7,8,9,\n')
     rows = {tuple(r) for r in csv.read_csv(spark, str(tmp_path / "x.csv"), SCHEMA).collect()}
     assert rows == {("1", "2", "3"), ("1", "2", None), ('x "q" y', "5", "6")}
+    with pytest.raises(Exception, match="too many fields"):
+        csv.read_csv(spark, str(tmp_path / "x.csv"), SCHEMA, surplus="fail").collect()
 
 
 def test_typed_columns(spark, tmp_path):
