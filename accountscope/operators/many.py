@@ -106,9 +106,8 @@ def summed(
     parts = table.rows.mapInPandas(partial, "cell BIGINT, v DOUBLE")
     if table.tasks > MERGE_TASKS:
         parts = parts.groupBy("cell").agg(F.sum("v").alias("v"))
-    pdf = parts.toPandas()
-    flat = np.zeros(len(models) * size)
-    np.add.at(flat, pdf["cell"].to_numpy(), pdf["v"].to_numpy())
+    found = parts.toArrow()
+    flat = np.bincount(found["cell"].to_numpy(), weights=found["v"].to_numpy(), minlength=len(models) * size)
     return dict(zip(models, flat.reshape(len(models), size)))
 
 
