@@ -171,7 +171,7 @@ def collect_results(spark, folder):
 
 
 @query(_REPORT_SQL + """, shown AS (
-  SELECT CASE WHEN class IS NULL THEN metric ELSE metric || '_' || class END AS k, printf('%.2f', value) AS v FROM report)
+  SELECT CASE WHEN class IS NULL THEN metric ELSE metric || '_' || class END AS k, printf('%.2f', round(value, 12)) AS v FROM report)
 SELECT 0 AS cluster, '{"quality":{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k) || '}}' AS document FROM shown""")
 def snk_json(spark, folder):
     report = classify.metric_report(_label_outcomes(spark, folder))

@@ -15,8 +15,9 @@ def write_partitioned(df: DataFrame, path: str, by: str = "cluster", file_format
 
 def _two_decimals(values: pd.Series) -> pd.Series:
     # The JVM rounds the shortest decimal text of a double, which turns 0.215 into 0.22;
-    # here the double itself is rounded.
-    return values.map("{:.2f}".format)
+    # here the double itself is rounded. The last digits go first, so that a mean
+    # prints the same in whatever order its terms were added.
+    return values.round(12).map("{:.2f}".format)
 
 
 def nested_report(report: DataFrame) -> DataFrame:
