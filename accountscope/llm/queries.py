@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accountscope.llm import fingerprints, licenses
+from accountscope.llm import fingerprints, licenses, packing, quality, simhash
 from accountscope.llm.common import table
 from accountscope.session import tune
 
@@ -15,9 +15,15 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """Run-time settings; whole texts are long, so Arrow batches hold fewer rows."""
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = lambda spark, folder: fn(tune(spark), folder)
+        QUERIES[fn.__name__] = lambda spark, folder: fn(prepared(spark), folder)
         if sql:
             ORACLE[fn.__name__] = sql
         return fn
@@ -33,3 +39,21 @@ def op1_fingerprints(spark, folder):
 @query()
 def op2_licenses(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query()
+def op3_quality(spark, folder):
+    docs = table(spark, folder, "documents")
+    rules = quality.learn(quality.labelled_sample(docs, table(spark, folder, "labels"), quality.CoverConfig()))
+    return quality.judge(docs, rules)
+
+
+@query()
+def op6_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"))
+
+
+@query()
+def op7_simhash(spark, folder):
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hex64(found["fp"]).alias("fingerprint"), "component_id")
