@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from accountscope.llm.graph import components
 from accountscope.session import materialise
@@ -45,7 +46,7 @@ def simhash(text: str | None, size: int = 3) -> int:
     return int(np.packbits(2 * total > len(starts), bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def simhash_udf(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([simhash(t) for t in texts], np.uint64).view(np.int64))
 
