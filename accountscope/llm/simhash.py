@@ -189,10 +189,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     Of rows with that same id one stays, the first by text. Rows without an id can't be told apart: where a component
     has no other rows, each different text of theirs stays once.
     """
+    def named(value: Column) -> Column:
+        return F.coalesce(value.cast("string"), F.lit("NULL"))
+
     found = near_duplicates(docs, id_col, text_col, radius)
-    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("head")).distinct()
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("head"))
-    kept = whole.join(heads, whole["head"].eqNullSafe(heads["head"]), "left_semi")
+    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(named(F.col(id_col)).alias("head")).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), named(F.col(id_col)).alias("head"))
     text = F.col(f"row.{text_col}")
-    first = Window.partitionBy("head", F.when(F.col("head").isNull(), text)).orderBy(text)
-    return kept.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
+    first = Window.partitionBy("head", F.when(F.col("head") == "NULL", text)).orderBy(text)
+    return whole.join(heads, "head", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
