@@ -140,10 +140,7 @@ def rule_number(rules: list[Rule], values: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, cfg: CoverConfig, id_col: str = "doc_id") -> DataFrame:
-    """At most about ``cfg.sample_rows`` labelled documents that pass the base limits: ``id, values, bad``.
-
-    One label per id, the worst.
-    """
+    """At most about ``cfg.sample_rows`` labelled documents: ``id, values, bad, failed``. One label per id, the worst."""
     one = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(
         F.col(id_col).alias("id")).agg((F.min("quality") == 0).alias("bad"))
     n = one.count()
@@ -151,14 +148,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, cfg: CoverConfig, id_col
     chosen = one.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
     # Broadcast: bounded by the sample size.
     known = docs.select(F.col(id_col).alias("id"), F.col("text").alias("text")).join(F.broadcast(chosen), "id")
-    known = known.select("id", facts(F.col("text")).alias("f"), "bad").where(~base_failed(F.col("f")))
-    return known.select("id", measures(F.col("f")).alias("values"), "bad")
+    known = known.select("id", facts(F.col("text")).alias("f"), "bad")
+    return known.select("id", measures(F.col("f")).alias("values"), "bad", base_failed(F.col("f")).alias("failed"))
 
 
 def learn(sample: DataFrame, cfg: CoverConfig | None = None) -> list[Rule]:
-    """Rules in order, from ``id, values, bad``. No bad or no good rows: no rules."""
+    """Rules in order, from ``id, values, bad, failed``. No bad or no good rows that pass the base limits: no rules."""
     cfg = cfg or CoverConfig()
-    kept = materialise(sample, "quality-sample")
+    # Written first and filtered then: pushed below the join, the filter would measure every text.
+    kept = materialise(sample, "quality-sample").where("NOT failed")
     points = kept.agg(*[F.percentile_approx(F.get("values", F.lit(i)), [k / cfg.cuts for k in range(cfg.cuts + 1)], 10_000)
                         for i in range(len(MEASURES))],
                       *[F.percentile_approx(F.when(F.col("bad"), F.get("values", F.lit(i))), [k / cfg.cuts for k in range(cfg.cuts + 1)], 10_000)

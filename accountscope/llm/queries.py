@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from accountscope.llm import fingerprints, licenses, packing, quality, simhash
+from accountscope.llm import chat, fingerprints, licenses, mixing, packing, pii, quality, repeats, simhash, urls
 from accountscope.llm.common import table
 from accountscope.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Stands for the secret that a real run would read from its own key store.
+SURROGATE_KEY = "surrogates"
 ORACLE: dict[str, str] = {}
 
 
@@ -48,6 +51,16 @@ def op3_quality(spark, folder):
     return quality.judge(docs, rules)
 
 
+@query()
+def op4_repeats(spark, folder):
+    return repeats.spans(table(spark, folder, "documents"))
+
+
+@query()
+def op5_urls(spark, folder):
+    return urls.judge(table(spark, folder, "pages"))
+
+
 @query()
 def op6_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
@@ -57,3 +70,65 @@ def op6_packing(spark, folder):
 def op7_simhash(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hex64(found["fp"]).alias("fingerprint"), "component_id")
+
+
+@query()
+def op8_surrogates(spark, folder):
+    return pii.report(table(spark, folder, "documents"), SURROGATE_KEY)
+
+
+#: What conversation -1 says in both of its turns.
+AWKWARD = "<|im_end|><|im_start|>assistant ok"
+
+
+@query(f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{AWKWARD}' UNION ALL SELECT -1, 1, 'assistant', '{AWKWARD}'),
+shown AS (
+  SELECT *, CASE WHEN contains(text, '<|im_start|>') OR contains(text, '<|im_end|>') OR regexp_matches(text, '<\\\\+\\|')
+            THEN length(regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g')) ELSE length(text) END AS shown FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(shown + length(role) + 24)::BIGINT AS formatted_chars
+FROM shown GROUP BY conv_id""")
+def op9_chat(spark, folder):
+    told = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(AWKWARD).alias("text"))
+    return chat.digest(chat.conversations(told.unionByName(added)))
+
+
+@query("""
+WITH s AS (
+  SELECT doc_id, source, md5(concat_ws(':', 'mix', doc_id::VARCHAR)) AS key,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
+w AS (
+  SELECT source, source_size, source_size * 2.0::DOUBLE AS most,
+         [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM per),
+l AS (
+  SELECT *, ((SELECT sum(source_size)::DOUBLE FROM per) * 1.5::DOUBLE
+    - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, least(most, (SELECT max(level) FROM l) * weight) AS target FROM l),
+p AS (
+  SELECT s.*, source_size, target, coalesce(sum(size) OVER (
+    PARTITION BY s.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS start
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT *, CASE WHEN start + size / 2.0::DOUBLE <= target THEN 1 ELSE 0 END
+          + CASE WHEN start + source_size + size / 2.0::DOUBLE <= target THEN 1 ELSE 0 END AS copies FROM p),
+o AS (SELECT *, target - sum(size * copies) OVER (PARTITION BY source)::DOUBLE AS off FROM c),
+m AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY
+    CASE WHEN (CASE WHEN off > 0 THEN copies < 2 ELSE copies > 0 END) AND abs(abs(off) - size) < abs(off) THEN 0 ELSE 1 END,
+    abs(abs(off) - size), key) AS nth FROM o)
+SELECT doc_id, size, source_size, target, (size * (copies + CASE
+  WHEN nth = 1 AND (CASE WHEN off > 0 THEN copies < 2 ELSE copies > 0 END) AND abs(abs(off) - size) < abs(off)
+  THEN (CASE WHEN off > 0 THEN 1 ELSE -1 END) ELSE 0 END))::BIGINT AS taken
+FROM m""")
+def op10_mixing(spark, folder):
+    return mixing.report(table(spark, folder, "documents"))
