@@ -20,14 +20,14 @@ from accountscope.session import materialise
 #: Measures that rules may use, each from the facts of a text.
 MEASURES = {
     "n_words": lambda f: f["n_words"].cast("double"),
-    "word_length": lambda f: f["word_chars"] / f["n_words"],
-    "symbol_share": lambda f: f["n_symbols"] / f["word_chars"],
-    "dup_line_share": lambda f: f["n_dup_lines"] / f["n_lines"],
-    "repeat_word_share": lambda f: f["n_repeat_words"] / f["n_words"],
-    "capital_share": lambda f: f["n_capitals"] / f["word_chars"],
-    "punctuation_share": lambda f: f["n_punctuation"] / f["word_chars"],
-    "digit_share": lambda f: f["n_digits"] / f["word_chars"],
-    "line_words": lambda f: f["n_words"] / f["n_lines"],
+    "word_length": lambda f: F.try_divide(f["word_chars"], f["n_words"]),
+    "symbol_share": lambda f: F.try_divide(f["n_symbols"], f["word_chars"]),
+    "dup_line_share": lambda f: F.try_divide(f["n_dup_lines"], f["n_lines"]),
+    "repeat_word_share": lambda f: F.try_divide(f["n_repeat_words"], f["n_words"]),
+    "capital_share": lambda f: F.try_divide(f["n_capitals"], f["word_chars"]),
+    "punctuation_share": lambda f: F.try_divide(f["n_punctuation"], f["word_chars"]),
+    "digit_share": lambda f: F.try_divide(f["n_digits"], f["word_chars"]),
+    "line_words": lambda f: F.try_divide(f["n_words"], f["n_lines"]),
 }
 
 
