@@ -1,0 +1,395 @@
+"""SimHash, components, repeats, packing, PII, mixing and the pipeline."""
+
+import collections
+import random
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from accountscope.llm import graph, mixing, packing, pii, repeats, simhash
+
+
+def union_find(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(root)}
+
+
+# ---------------------------------------------------------------- SimHash
+
+
+def plain_simhash(text):
+    ws = (text or "").encode().lower().split()
+    if not ws:
+        return 0
+    shingles = [b" ".join(ws[i:i + 3]) for i in range(max(1, len(ws) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@given(st.lists(st.sampled_from(["a", "B", "cc", "É", "  ", "\t", "\u00a0", "\n"]), max_size=30))
+@settings(max_examples=150, deadline=None)
+def test_simhash_equals_bit_counts(parts):
+    text = " ".join(parts)
+    assert simhash.simhash(text) == plain_simhash(text)
+
+
+def test_simhash_in_parts(monkeypatch):
+    text = " ".join(f"w{i % 37}" for i in range(500))
+    whole = simhash.simhash(text)
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    assert simhash.simhash(text) == whole == plain_simhash(text)
+
+
+def test_components_are_the_smallest_reachable(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randint(-50, 200), rng.randint(-50, 200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1300)] + [(5000, 5000 + i) for i in range(1, 400)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    want = union_find([p for p in pairs if p[0] != p[1]])
+    assert {k: v for k, v in want.items() if k != v} == {k: v for k, v in got.items() if k != v}
+    assert graph.components(spark.createDataFrame([(1, 1)], "a bigint, b bigint")).count() == 0
+
+
+@pytest.mark.parametrize("tile", [2048, 16])
+def test_links_connect_what_all_pairs_connect(spark, tile):
+    rng = random.Random(7)
+    fps = set()
+    for _ in range(60):  # chains and dense balls around random centres, and fingerprints that share a block
+        centre = rng.getrandbits(64)
+        fps.add(centre)
+        for _ in range(rng.randint(0, 14)):
+            x = centre
+            for b in rng.sample(range(64), rng.randint(1, 4)):
+                x ^= 1 << b
+            fps.add(x)
+    base = rng.getrandbits(64)
+    fps |= {(base >> 30 << 30) ^ rng.getrandbits(20) for _ in range(120)} | {0, 1, (1 << 64) - 1}
+    fps = sorted(fps)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    got = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp bigint"), 2, tile).collect()
+    found = union_find([(r.a % (1 << 64), r.b % (1 << 64)) for r in got])
+    want = union_find([(a, b) for i, a in enumerate(fps) for b in fps[i + 1:] if (a ^ b).bit_count() <= 2])
+    groups = lambda m: {frozenset(k for k in m if m[k] == r) for r in set(m.values())}
+    assert groups(found) == groups(want)
+    assert all((r.a % (1 << 64) ^ r.b % (1 << 64)) for r in got)
+
+
+def test_near_duplicates_equal_all_pairs(spark, docs, messy):
+    base = [r.text for r in docs.select("text").limit(30).collect()]
+    edited = [(50_000 + k, t + " tail") for k, t in enumerate(base)] + [(60_000 + k, t.replace(" ", "  ").upper()) for k, t in enumerate(base[:5])]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(edited, "doc_id bigint, text string")).unionByName(messy.where("doc_id IS NOT NULL").select("doc_id", "text"))
+    rows = [(r.doc_id, plain_simhash(r.text)) for r in every.collect()]
+    heads = {}
+    for i, f in rows:
+        heads[f] = min(i, heads.get(f, i))
+    fps = list(heads)
+    label = union_find([(a, b) for i, a in enumerate(fps) for b in fps[i + 1:] if (a ^ b).bit_count() <= 2] + [(f, f) for f in fps])
+    smallest = {}
+    for f, r in label.items():
+        smallest[r] = min(heads[f], smallest.get(r, heads[f]))
+    want = sorted((i, f"{f:016x}", smallest[label[f]]) for i, f in rows)
+    found = simhash.near_duplicates(every)
+    got = sorted(tuple(r) for r in found.select("doc_id", simhash.hex64(F.col("fp")), "component_id").collect())
+    assert got == want
+    assert len({c for _, _, c in want}) < len(fps)  # some link joins different fingerprints
+
+
+def test_one_row_of_each_group_stays(messy, nothing):
+    kept = simhash.keep_one(messy)
+    assert kept.columns == messy.columns
+    ids = sorted((r.doc_id for r in kept.collect()), key=str)
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(messy).collect() if r.doc_id is not None}
+    assert found[2] == found[3] == found[4] == 2 and found[8] == -9
+    assert ids.count(5) == 1 and 3 not in ids and 4 not in ids and 8 not in ids
+    assert simhash.keep_one(nothing).count() == 0 and simhash.near_duplicates(nothing).count() == 0
+
+
+# ---------------------------------------------------------------- repeats
+
+
+def plain_repeats(texts, n):
+    words = {i: t.lower().split() for i, t in texts.items()}
+    seen = collections.Counter(tuple(w[s:s + n]) for w in words.values() for s in range(len(w) - n + 1))
+    out = {}
+    for i, w in words.items():
+        covered = {j for s in range(len(w) - n + 1) if seen[tuple(w[s:s + n])] > 1 for j in range(s, s + n)}
+        if covered:
+            out[i] = covered
+    return out
+
+
+def covered(rows):
+    out = {}
+    for r in rows:
+        assert r.n_words == r.end_word - r.start_word
+        out.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    return out
+
+
+def test_repeats_equal_all_windows(spark, docs):
+    rng = random.Random(2)
+    vocabulary = [f"v{i}" for i in range(500)]
+    shared = [[rng.choice(vocabulary) for _ in range(n)] for n in (49, 50, 51, 80, 300)]
+    made = []
+    for k in range(120):
+        own = [rng.choice(vocabulary) for _ in range(rng.randint(0, 90))]
+        passage = shared[k % 5] if k % 3 else []
+        made.append((90_000 + k, " ".join(own[:40] + passage + own[40:])))
+    made.append((99_999, " ".join(["again"] * 130)))
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id bigint, text string"))
+    got = covered(repeats.spans(every).collect())
+    assert got == plain_repeats({r.doc_id: r.text for r in every.collect()}, 50)
+
+
+def test_repeats_of_messy_rows(messy, nothing):
+    got = covered(repeats.spans(messy).collect())
+    assert set(got) == {6}  # the long text repeats itself; all others are short
+    assert repeats.spans(nothing).count() == 0
+
+
+def test_minimisers_are_selected_by_content():
+    rng = np.random.default_rng(0)
+    passage = rng.integers(0, 2**63, 43, dtype=np.int64).astype(np.uint64)
+    for pad in (0, 1, 17, 400):
+        g = np.concatenate([rng.integers(0, 2**63, pad, dtype=np.int64).astype(np.uint64), passage])
+        assert int(np.argmin(passage >> np.uint64(23))) + pad in repeats.minimisers(g, 43)
+    assert len(repeats.minimisers(passage[:42], 43)) == 0
+
+
+def test_minimisers_in_parts(monkeypatch):
+    g = np.random.default_rng(1).integers(0, 2**63, 5_000, dtype=np.int64).astype(np.uint64)
+    whole = repeats.minimisers(g, 43)
+    monkeypatch.setattr(repeats, "_PART", 100)
+    assert (repeats.minimisers(g, 43) == whole).all()
+
+
+# ---------------------------------------------------------------- packing
+
+
+def plain_ids(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    if not hasattr(plain_ids, "t"):
+        plain_ids.t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        plain_ids.t.encode_special_tokens = True
+    return [*plain_ids.t.encode(text, add_special_tokens=False).ids, 0]
+
+
+def check_pieces(rows, texts):
+    """Every id in exactly one piece, sequences gapless and at most 1024 long. texts: list of (doc, text)."""
+    left = collections.defaultdict(list)
+    for doc, text in texts:
+        left[doc].append(np.array(plain_ids(text), "<u4"))
+    whole = {d: collections.Counter(len(x) for x in v) for d, v in left.items()}
+    for r in rows:
+        assert any(zlib.crc32(x[r.start:r.start + r.length].tobytes()) == r.ids_crc32 and len(x) == r.doc_tokens for x in left[r.doc_id])
+    for d, counts in whole.items():
+        assert sum(r.length for r in rows if r.doc_id == d or (d is None and pd.isna(r.doc_id))) == sum(n * k for n, k in counts.items())
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    padding = 0
+    for parts in by.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at and n > 0
+            at += n
+        assert at <= 1024
+        padding += 0 if at & (at - 1) == 0 else 1024 - at
+    assert padding == 0
+
+
+def test_packing_is_a_partition_of_the_ids(docs, messy, nothing):
+    rows = packing.pack(docs).collect()
+    check_pieces(rows, [(r.doc_id, r.text) for r in docs.collect()])
+    check_pieces(packing.pack(messy).collect(), [(r.doc_id, r.text or "") for r in messy.collect()])
+    assert packing.pack(nothing).count() == 0
+
+
+@given(st.text(alphabet=st.sampled_from(list("ab,.'’ \n\t\r\u00a0\u3000é漢🙂0\0<|>")), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_encoder_equals_the_tokenizer(text):
+    if not hasattr(plain_ids, "e"):
+        plain_ids.e = packing.Encoder("byte_bpe_50k.json")
+    assert np.frombuffer(plain_ids.e.encode(text), "<u4").tolist() == plain_ids(text)[:-1]
+
+
+@given(st.lists(st.integers(1, 5000), max_size=120))
+@settings(max_examples=60, deadline=None)
+def test_packer_wastes_nothing(lengths):
+    cfg = packing.PackConfig(waiting=4)
+    packer = packing.Packer(cfg, 0)
+    for i, n in enumerate(lengths):
+        packer.add(i, np.arange(n, dtype="<u4").tobytes())
+    packer.finish()
+    spans = collections.defaultdict(list)
+    sequences, steps = collections.Counter(), collections.Counter()
+    for doc, start, n, _, total, seq, _, _, step in packer.rows:
+        assert total == lengths[doc]
+        spans[doc].append((start, n))
+        sequences[seq] += n
+        steps[step] += n
+    for i, n in enumerate(lengths):
+        at = 0
+        for s, k in sorted(spans[i]):
+            assert s == at
+            at += k
+        assert at == n
+    assert all(n <= 1024 and n & (n - 1) == 0 for n in sequences.values())
+    assert all(n <= cfg.step_tokens for n in steps.values())
+
+
+# ---------------------------------------------------------------- PII
+
+P = pii.Permutation(b"key")
+
+
+@given(st.lists(st.tuples(st.integers(2, 9), st.integers(0, 8)), min_size=1, max_size=9))
+@settings(max_examples=200, deadline=None)
+def test_permutation_moves_every_number(pairs):
+    radices = [r for r, _ in pairs]
+    digits = [min(d, r - 1) for r, d in pairs]
+    out = P.apply(digits, radices, b"t")
+    assert out != digits and all(0 <= d < r for d, r in zip(out, radices))
+
+
+def test_permutation_is_one_to_one():
+    images = {tuple(P.apply([a, b, c], [10, 26, 3], b"t")) for a in range(10) for b in range(26) for c in range(3)}
+    assert len(images) == 780
+
+
+def test_surrogates_keep_type_and_form():
+    made = lambda kind, v: pii.surrogate(P, kind, v)[2]
+    assert made("email", "Ann.Lee@Mail.example.com") != made("email", "bob.lee@mail.example.com")
+    assert made("email", "ANN@x.org").isupper() is False and made("email", "ANN@x.org").split("@")[0].isupper()
+    card = made("card", "4845 1681 1440 7329")
+    assert card[4] == card[9] == " " and pii.luhn_digit(card.replace(" ", "")[:-1]) == int(card[-1])
+    assert card.replace(" ", "") == made("card", "4845168114407329")
+    assert pii.surrogate(P, "card", "4845168114407328") is None
+    assert all(0 <= int(x) < 256 for x in made("address", "10.0.255.1").split("."))
+    assert pii.iban_ok(made("iban", "GB82 WEST 1234 5698 7654 32"))
+    phone = made("phone", "+1 (988) 555-2485")
+    assert phone[:4] == "+1 (" and phone[4] in "23456789" and phone[9] in "23456789" and phone[12] == "-"
+    assert pii.replace_entities(P, "Frau Anna Κώστα")[0].startswith("Frau ")
+    assert pii.replace_entities(P, "Mrs. Maria met Mr. Иванов")[0].split()[1][-1] == "a"
+    assert set(pii.replace_entities(P, "Mr. Иванов")[0].split()[1].lower()) <= set(pii.CYRILLIC)
+
+
+def test_equal_entities_stay_equal_and_different_ones_different():
+    rng = random.Random(4)
+    mails = {f"{rng.choice('abcd')}{i % 500}@m{i % 7}.example.com" for i in range(3_000)}
+    text = " and ".join(sorted(mails))
+    done, found = pii.replace_entities(P, text)
+    assert len({s for _, _, s in found}) == len(mails) and pii.replace_entities(P, text)[0] == done
+    assert not mails & set(done.split(" and "))
+    assert pii.replace_entities(pii.Permutation(b"other"), text)[0] != done
+
+
+def test_clean_text_is_left_alone():
+    for t in ["version 3, section 4.0.", "CC BY-NC 4.0.", "in 1999 and 2024, 12,345 of 67 890", "a @ b", "1234567890123456", "tokens are password free", "Miss", ""]:
+        assert pii.replace_entities(P, t) == (t, [])
+
+
+def test_masked_documents(spark, docs, messy, nothing):
+    out = pii.masked(messy, "k")
+    assert out.columns == messy.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, messy.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), "n_chars")).collect()))
+    assert pii.masked(nothing, "k").count() == 0 and pii.report(nothing, "k").count() == 0
+    report = {r.doc_id: r for r in pii.report(docs, "k").collect()}
+    for r in docs.collect():
+        text, found = pii.replace_entities(pii.Permutation(b"k"), r.text)
+        assert (report[r.doc_id].text, report[r.doc_id].n_entities) == (text, len(found))
+
+
+def test_shared_surrogates_are_an_error(spark):
+    one = [("phone", "1", "9"), ("phone", "2", "9")]
+    made = spark.createDataFrame([(one,)], "entities array<struct<kind:string,entity:string,surrogate:string>>")
+    with pytest.raises(ValueError, match="2 entities have 1 surrogates"):
+        pii.check_distinct(made)
+
+
+# ---------------------------------------------------------------- mixing
+
+
+def test_mix_comes_near_its_targets(spark, docs):
+    r = mixing.report(docs).join(docs.select("doc_id", "source"), "doc_id").toPandas()
+    assert (r.taken <= 2 * r["size"]).all()
+    per = r.groupby("source").agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
+    assert per.target.sum() == pytest.approx(1.5 * per["size"].sum())
+    assert (per.target <= 2 * per["size"] + 1e-6).all()
+    assert ((per.taken - per.target).abs() <= 0.02 * per["size"] + 1).all()
+    free = per[per.target < 2 * per["size"] - 1e-6]
+    order = sorted(per.index)
+    level = {s: free.target[s] / (3, 1, 2)[order.index(s) % 3] for s in free.index}
+    assert max(level.values()) == pytest.approx(min(level.values()))
+
+
+def test_shards_get_exact_numbers_of_blocks(spark, docs):
+    cfg = mixing.MixConfig(shards=6, blocks_per_shard=7)
+    goals = mixing.targets(mixing.sizes(docs, cfg), cfg)
+    rows = mixing.block_shards(goals, cfg).collect()
+    assert len({(r.source, r.block) for r in rows}) == len(rows)
+    counts = collections.Counter(r.shard for r in rows)
+    assert sorted(counts) == list(range(6)) and max(counts.values()) - min(counts.values()) <= 1
+    one = mixing.MixConfig(shards=1, blocks_per_shard=3)
+    assert {r.shard for r in mixing.block_shards(goals, one).collect()} == {0}
+
+
+def test_mixed_rows_are_the_draws(spark, docs, messy, nothing):
+    want = {r.doc_id: r.taken for r in mixing.report(docs).collect()}
+    rows = mixing.shuffled(docs)
+    assert rows.columns == docs.columns
+    got = collections.Counter()
+    for r in rows.collect():
+        got[r.doc_id] += len(r.text.split())
+    assert {k: v for k, v in want.items() if v} == {k: v for k, v in got.items() if v}
+    assert sorted(tuple(r) for r in mixing.report(docs).collect()) == sorted(tuple(r) for r in mixing.report(docs).collect())
+    found = mixing.report(messy).collect()
+    assert len(found) == messy.count() and all(r.taken <= 2 * r["size"] for r in found)
+    assert mixing.shuffled(messy).columns == messy.columns
+    assert sum(r.taken for r in found) == sum(len((r.text or "").encode().split()) for r in mixing.shuffled(messy).collect())
+    assert mixing.report(nothing).count() == 0 and mixing.shuffled(nothing).count() == 0
+
+
+# ---------------------------------------------------------------- pipeline
+
+
+def test_pipeline_stages(spark, folder, docs):
+    now = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = now
+        now = stage(spark, before, folder)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert now.columns == docs.columns and now.dtypes == docs.dtypes, name
+            from accountscope.session import materialise
+            now = materialise(now, "test-stage")
+            if name in ("quality_rules", "near_dedup"):
+                assert now.exceptAll(before).count() == 0 and 0 < now.count() <= before.count()
+    check_pieces(now.collect(), [(r.doc_id, r.text) for r in before.collect()])
+    assert corpus_pipeline.run(spark, folder).count() == now.count()
+
+
+def test_pipeline_of_messy_documents(spark, folder, messy, nothing):
+    for start in (messy, nothing):
+        now = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, folder)
+            assert now.columns == messy.columns
+        corpus_pipeline.STAGES[-1][1](spark, now, folder).collect()
