@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# Feature names.
 STATIC_FEATURES = (
     "num_tweets",
     "num_followers",
@@ -28,11 +29,6 @@ def score_columns(topics: int) -> tuple[str, ...]:
     )
 
 
-def classification_features(topics: int) -> tuple[str, ...]:
-    """The full feature list; the period averages need ``PreprocessConfig.period_features``."""
-    return (*STATIC_FEATURES, *PERIOD_FEATURES, *score_columns(topics))
-
-
 def _require(ok: bool, message: str) -> None:
     if not ok:
         raise ValueError(message)
@@ -45,6 +41,8 @@ class PreprocessConfig:
     seed: int = 42
     null_text: str | None = None
     max_part_rows: int = 100_000
+    #: Column of the static table whose smallest value marks the first of several rows of an account.
+    first_by: str | None = None
     #: Add posts per active day, hour and month to the static features.
     period_features: bool = False
 
@@ -63,7 +61,6 @@ class FeatureConfig:
     learning_offset: float = 10.0
     learning_decay: float = 0.7
     batch_size: int = 128
-    max_batches_per_pass: int = 8
     seed: int = 0
 
     def __post_init__(self) -> None:
@@ -98,6 +95,10 @@ class ClassifyConfig:
     boosting_rounds: int = 50
     forest_trees: int = 10
     max_depth: int = 30
+    #: Candidate thresholds of a feature in all tree models, plus one; exact where it has no more distinct values.
+    max_bins: int = 32
+    #: "SAMME.R" boosts class probabilities, "SAMME" class votes.
+    boosting: str = "SAMME.R"
     #: Scale columns before fitting margins.
     standardise: bool = True
     #: Feature names for every cluster, or per cluster id; None takes all numeric columns.
@@ -108,6 +109,8 @@ class ClassifyConfig:
         _require(not unknown, f"unknown models: {sorted(unknown)}")
         _require(0 < self.train < 1, "train must lie between 0 and 1")
         _require(self.folds > 0, "folds must be positive")
+        _require(self.max_bins > 1, "max_bins must exceed 1")
+        _require(self.boosting in ("SAMME.R", "SAMME"), "boosting must be SAMME.R or SAMME")
 
     @property
     def test_share(self) -> float:

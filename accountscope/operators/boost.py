@@ -1,4 +1,4 @@
-"""Boosted stumps (discrete SAMME) for many training sets at once.
+"""Boosted stumps (SAMME.R, or discrete SAMME) for many training sets at once.
 
 The training table is binned once and never rewritten: a row's weight follows
 from the stumps found so far, so each round ships the small model out and brings
@@ -26,11 +26,17 @@ from accountscope.operators.many import ModelId, ModelTable
 from accountscope.session import compact
 
 PERCENTILE_ACCURACY = 10_000
+#: Class shares are at least this before their logarithm is taken.
+SMALLEST_SHARE = float(np.finfo(float).eps)
 
 
 @dataclass(frozen=True)
 class Stump:
-    """``left`` where ``feature <= threshold`` (bin ``<= cut``), else ``right``; classes by position."""
+    """``left`` where ``feature <= threshold`` (bin ``<= cut``), else ``right``; classes by position.
+
+    ``votes`` are what either side adds to every class's score, ``raises`` what a training row of every class adds to
+    the logarithm of its weight there.
+    """
 
     feature: int
     cut: int
@@ -38,6 +44,8 @@ class Stump:
     left: int
     right: int
     alpha: float
+    votes: tuple[tuple[float, ...], tuple[float, ...]]
+    raises: tuple[tuple[float, ...], tuple[float, ...]]
 
 
 @dataclass
@@ -53,9 +61,8 @@ class BoostedStumps:
     def vote(self, bins: np.ndarray) -> np.ndarray:
         """Class positions for binned rows."""
         votes = np.zeros((len(bins), len(self.classes)))
-        rows = np.arange(len(bins))
         for s in self.stumps:
-            votes[rows, np.where(bins[:, s.feature] <= s.cut, s.left, s.right)] += s.alpha
+            votes += np.asarray(s.votes)[(bins[:, s.feature] > s.cut).astype(int)]
         return votes.argmax(axis=1)
 
     def predict_column(self, value_of) -> Column:
@@ -64,7 +71,7 @@ class BoostedStumps:
         for c in range(len(self.classes)):
             vote = F.lit(0.0)
             for s in self.stumps:
-                on_left, on_right = (s.alpha if side == c else 0.0 for side in (s.left, s.right))
+                on_left, on_right = s.votes[0][c], s.votes[1][c]
                 if on_left or on_right:
                     vote = vote + F.when(value_of(s.feature) <= s.threshold, F.lit(on_left)).otherwise(F.lit(on_right))
             votes.append(vote)
@@ -86,13 +93,30 @@ class BinnedTable:
 
 
 def feature_thresholds(table: ModelTable, max_bins: int) -> dict[int, list[np.ndarray]]:
-    """Candidate thresholds per cluster and feature: midpoints between quantiles (mergeable sketches)."""
+    """Candidate thresholds per cluster and feature, from all its rows: features alone, never labels, decide them.
+
+    Midpoints between distinct values where there are at most ``max_bins``, else between quantiles (mergeable sketches).
+    """
     shares = F.array(*[F.lit(i / max_bins) for i in range(max_bins + 1)])
     wanted = [F.percentile_approx(c, shares, PERCENTILE_ACCURACY).alias(c) for c in table.columns]
+    wanted += [F.approx_count_distinct(c).alias(f"{c}_n") for c in table.columns]
+    sketched = table.rows.groupBy("cluster").agg(*wanted).collect()
+    # Values are listed only where a sketch has seen few of them.
+    few = [c for c in table.columns if any(row[f"{c}_n"] <= 2 * max_bins for row in sketched)]
+    small = {(row["cluster"], c) for row in sketched for c in few if row[f"{c}_n"] <= 2 * max_bins}
+    listed = {}
+    if few:
+        here = {c: F.col("cluster").isin([k for k, f in small if f == c]) for c in few}
+        values = table.rows.groupBy("cluster").agg(*[F.collect_set(F.when(here[c], F.col(c))).alias(c) for c in few])
+        listed = {(row["cluster"], c): row[c] for row in values.collect() for c in few}
     found = {}
-    for row in table.rows.groupBy("cluster").agg(*wanted).collect():
-        quantiles = [np.unique(np.asarray(row[c] or [], dtype=float)) for c in table.columns]
-        found[row["cluster"]] = [(q[:-1] + q[1:]) / 2 for q in quantiles]
+    for row in sketched:
+        cuts = []
+        for c in table.columns:
+            exact = listed.get((row["cluster"], c), []) if (row["cluster"], c) in small else []
+            q = np.unique(np.asarray(exact if 0 < len(exact) <= max_bins else row[c] or [], dtype=float))
+            cuts.append((q[:-1] + q[1:]) / 2)
+        found[row["cluster"]] = cuts
     return found
 
 
@@ -118,12 +142,11 @@ def bin_table(table: ModelTable, max_bins: int = 32) -> BinnedTable:
 
 
 def _weights(stumps: list[Stump], bins: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Each row's weight: the votes of the stumps that missed it, exponentiated."""
-    if not stumps:
-        return np.ones(len(labels))
-    feature, cut, left, right = np.array([(s.feature, s.cut, s.left, s.right) for s in stumps]).T
-    missed = np.where(bins[:, feature] <= cut, left, right) != labels[:, None]
-    return np.exp(missed @ np.array([s.alpha for s in stumps]))
+    """Each row's weight: what the stumps so far raise it by, exponentiated."""
+    total = np.zeros(len(labels))
+    for s in stumps:
+        total += np.asarray(s.raises)[(bins[:, s.feature] > s.cut).astype(int), labels]
+    return np.exp(total)
 
 
 def _histograms(binned: BinnedTable, models: dict[ModelId, list[Stump]]) -> dict[ModelId, np.ndarray]:
@@ -148,8 +171,10 @@ def _gini_mass(w: np.ndarray) -> np.ndarray:
     return total - np.divide((w * w).sum(axis=-1), total, out=np.zeros_like(total), where=total > 0)
 
 
-def best_stump(histogram: np.ndarray, thresholds: list[np.ndarray]) -> tuple[int, int, int, int, float]:
-    """Stump of least weighted Gini impurity: ``(feature, cut, left, right, weighted error)``."""
+def best_stump(
+    histogram: np.ndarray, thresholds: list[np.ndarray]
+) -> tuple[int, int, int, int, float, tuple[np.ndarray, np.ndarray]]:
+    """Stump of least weighted Gini impurity: ``(feature, cut, left, right, weighted error, class weights by side)``."""
     whole = histogram[0].sum(axis=0)
     left = histogram.cumsum(axis=1)
     right = whole - left
@@ -158,18 +183,39 @@ def best_stump(histogram: np.ndarray, thresholds: list[np.ndarray]) -> tuple[int
         impurity[i, len(t) :] = np.inf
     if not np.isfinite(impurity).any():
         only = int(whole.argmax())
-        return 0, 0, only, only, float(1 - whole[only] / whole.sum())
+        return 0, 0, only, only, float(1 - whole[only] / whole.sum()), (whole, whole)
     impurity = np.round(impurity / whole.sum(), 12)
     feature, cut = np.unravel_index(impurity.argmin(), impurity.shape)
     sides = left[feature, cut], right[feature, cut]
     hits = sum(side.max() for side in sides)
-    return int(feature), int(cut), int(sides[0].argmax()), int(sides[1].argmax()), float(max(0.0, 1 - hits / whole.sum()))
+    return int(feature), int(cut), int(sides[0].argmax()), int(sides[1].argmax()), float(max(0.0, 1 - hits / whole.sum())), sides
+
+
+def _discrete(k: int, left: int, right: int, alpha: float) -> tuple[tuple, tuple]:
+    """SAMME: a side votes for its class, and raises the rows of all others."""
+    votes = tuple(tuple(alpha if c == side else 0.0 for c in range(k)) for side in (left, right))
+    raises = tuple(tuple(0.0 if c == side else alpha for c in range(k)) for side in (left, right))
+    return votes, raises
+
+
+def _real(k: int, sides: tuple[np.ndarray, np.ndarray], rate: float) -> tuple[tuple, tuple]:
+    """SAMME.R: a side votes with the logarithms of its class shares, and lowers the rows it finds likely."""
+    votes, raises = [], []
+    for weights in sides:
+        log_p = np.log(np.clip(weights / weights.sum(), SMALLEST_SHARE, None))
+        votes.append(tuple((k - 1) * (log_p - log_p.mean())))
+        # Coded classes: 1 for a row's own, -1 / (k - 1) for each other.
+        coded = log_p - (log_p.sum() - log_p) / (k - 1)
+        raises.append(tuple(-rate * (k - 1) / k * coded))
+    return tuple(votes), tuple(raises)
 
 
-def boost(binned: BinnedTable, rounds: int = 50, learning_rate: float = 1.0) -> dict[ModelId, BoostedStumps]:
+def boost(
+    binned: BinnedTable, rounds: int = 50, learning_rate: float = 1.0, algorithm: str = "SAMME.R"
+) -> dict[ModelId, BoostedStumps]:
     """One boosted model per ``(cluster, split)``.
 
-    A model stops early when a stump is perfect or no better than chance.
+    A model stops early when a stump is perfect or, under SAMME, no better than chance.
     """
     k = len(binned.table.classes)
     models = {m: BoostedStumps(binned.table.classes) for m in binned.table.models}
@@ -184,9 +230,10 @@ def boost(binned: BinnedTable, rounds: int = 50, learning_rate: float = 1.0) ->
                 still_open.discard(m)
                 continue
             per = binned.thresholds[m[0]]
-            feature, cut, left, right, error = best_stump(histogram, per)
+            feature, cut, left, right, error, sides = best_stump(histogram, per)
             threshold = float(per[feature][cut]) if len(per[feature]) > cut else math.inf
-            perfect, hopeless = error <= 1e-12, error >= 1 - 1 / k - 1e-12
+            real = algorithm == "SAMME.R" and k > 1
+            perfect, hopeless = error <= 1e-12, not real and error >= 1 - 1 / k - 1e-12
             if perfect or hopeless:
                 still_open.discard(m)
                 if hopeless and model.stumps:
@@ -194,7 +241,9 @@ def boost(binned: BinnedTable, rounds: int = 50, learning_rate: float = 1.0) ->
                 alpha = 1.0
             else:
                 alpha = learning_rate * (math.log((1 - error) / error) + math.log(k - 1))
-            model.stumps.append(Stump(feature, cut, threshold, left, right, alpha))
+            alpha = 1.0 if real else alpha
+            votes, raises = _real(k, sides, learning_rate) if real else _discrete(k, left, right, alpha)
+            model.stumps.append(Stump(feature, cut, threshold, left, right, alpha, votes, raises))
             model.errors.append(0.0 if perfect else error)
     return models
 
@@ -202,11 +251,12 @@ def boost(binned: BinnedTable, rounds: int = 50, learning_rate: float = 1.0) ->
 class _BoostParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     rounds = Param(Params._dummy(), "rounds", "boosting rounds (>= 1)", TypeConverters.toInt)
     learningRate = Param(Params._dummy(), "learningRate", "shrinks every stump's vote", TypeConverters.toFloat)
+    algorithm = Param(Params._dummy(), "algorithm", "SAMME.R or SAMME", TypeConverters.toString)
     maxBins = Param(Params._dummy(), "maxBins", "candidate thresholds per feature, plus one", TypeConverters.toInt)
 
     def __init__(self) -> None:
         super().__init__()
-        self._setDefault(rounds=50, learningRate=1.0, maxBins=32)
+        self._setDefault(rounds=50, learningRate=1.0, maxBins=32, algorithm="SAMME.R")
 
 
 class AdaBoostClassifier(Estimator, _BoostParams):
@@ -215,7 +265,7 @@ class AdaBoostClassifier(Estimator, _BoostParams):
     @keyword_only
     def __init__(
         self, *, featuresCol: str = "features", labelCol: str = "label", predictionCol: str = "prediction",
-        rounds: int = 50, learningRate: float = 1.0, maxBins: int = 32,
+        rounds: int = 50, learningRate: float = 1.0, maxBins: int = 32, algorithm: str = "SAMME.R",
     ) -> None:
         super().__init__()
         self._set(**self._input_kwargs)
@@ -226,7 +276,7 @@ class AdaBoostClassifier(Estimator, _BoostParams):
         binned = bin_table(table, self.getOrDefault(self.maxBins))
         binned.table.rows = compact(binned.table.rows, df.count()).persist()
         try:
-            return {rate: boost(binned, rounds, rate)[(0, 0)] for rate, rounds in wanted.items()}
+            return {rate: boost(binned, rounds, rate, self.getOrDefault(self.algorithm))[(0, 0)] for rate, rounds in wanted.items()}
         finally:
             binned.table.rows.unpersist()
 

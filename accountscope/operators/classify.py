@@ -23,6 +23,8 @@ from accountscope.config import ClassifyConfig
 from accountscope.operators import boost, many, metrics, splits, svm
 from accountscope.session import compact, materialise
 
+#: Megabytes of histograms per pass, so that a level of a tree takes one pass.
+TREE_MEMORY = 1024
 OUTCOMES = "cluster INT, model STRING, split INT, label INT, prediction INT, n BIGINT"
 
 
@@ -43,13 +45,14 @@ def assemble(df: DataFrame, features: Sequence[str], label: str = "user_type", o
 def make_model(name: str, cfg: ClassifyConfig = ClassifyConfig()) -> Estimator:
     """The estimator behind a model name."""
     if name == "decision_tree":
-        return DecisionTreeClassifier(maxDepth=cfg.max_depth, seed=cfg.seed)
+        return DecisionTreeClassifier(maxDepth=cfg.max_depth, maxBins=cfg.max_bins, maxMemoryInMB=TREE_MEMORY, seed=cfg.seed)
     if name == "random_forest":
         return RandomForestClassifier(
-            numTrees=cfg.forest_trees, maxDepth=cfg.max_depth, featureSubsetStrategy="sqrt", seed=cfg.seed
+            numTrees=cfg.forest_trees, maxDepth=cfg.max_depth, maxBins=cfg.max_bins, maxMemoryInMB=TREE_MEMORY,
+            featureSubsetStrategy="sqrt", seed=cfg.seed,
         )
     if name == "adaboosted_dt":
-        return boost.AdaBoostClassifier(rounds=cfg.boosting_rounds)
+        return boost.AdaBoostClassifier(rounds=cfg.boosting_rounds, maxBins=cfg.max_bins, algorithm=cfg.boosting)
     if name == "linear_svc":
         return svm.SquaredHingeSVC(standardise=cfg.standardise)
     raise ValueError(f"unknown model {name!r}")
@@ -141,10 +144,10 @@ def _train_together(name: str, table: many.ModelTable, cfg: ClassifyConfig) -> l
     if name == "linear_svc":
         margins = svm.fit_margins(table, standardise=cfg.standardise)
         return many.test_outcomes(table, {m: margin.vote for m, margin in margins.items()})
-    binned = boost.bin_table(table)
+    binned = boost.bin_table(table, cfg.max_bins)
     binned.table.rows = binned.table.rows.persist()
     try:
-        models = boost.boost(binned, cfg.boosting_rounds)
+        models = boost.boost(binned, cfg.boosting_rounds, algorithm=cfg.boosting)
         return many.test_outcomes(binned.table, {m: model.vote for m, model in models.items()})
     finally:
         binned.table.rows.unpersist()

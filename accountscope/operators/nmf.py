@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,8 @@ class NmfModel:
     l1: float
     l2: float
     objective: list[float]
+    #: Whether the objective settled before the rounds ran out.
+    settled: bool
 
 
 def sparse_rows(weights: DataFrame, vocabulary: list[str], key: str = "user_id") -> DataFrame:
@@ -93,8 +96,8 @@ def _round_sums(data: DataFrame, h: np.ndarray, l1: float, l2: float) -> tuple[n
         *[F.sum(f"c{j}").alias(f"c{j}") for j in range(k)]
     )
     total = np.zeros((v + k + 1, k))
-    for row in summed.collect():
-        total[row["row"]] = row[1:]
+    found = summed.toArrow()
+    total[found["row"].to_numpy()] = np.column_stack([found[f"c{j}"].to_numpy() for j in range(k)])
     shared.unpersist()
     return total[:v].T, total[v : v + k], total[v + k]
 
@@ -115,12 +118,12 @@ def nmf_fit(
     topics: int = 10,
     alpha: float = 0.1,
     l1_ratio: float = 0.5,
-    max_iter: int = 30,
+    max_iter: int = 200,
     tol: float = 1e-4,
     seed: int = 1,
     key: str = "user_id",
 ) -> NmfModel:
-    """Alternate exact row solutions with a component update until the objective settles."""
+    """Alternate exact row solutions with a component update until the objective settles, or ``max_iter`` is reached."""
     l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
     rows = sparse_rows(weights, vocabulary, key)
     data = compact(rows, weights.select(key).distinct().count(), DOCUMENTS_PER_TASK).persist()
@@ -133,15 +136,17 @@ def nmf_fit(
         scale = np.sqrt(x / (n * len(vocabulary)) / topics)
         h = np.abs(np.random.default_rng(seed).standard_normal((topics, len(vocabulary)))) * scale
         objective: list[float] = []
+        settled = False
         for _ in range(max_iter):
             wtx, wtw, w_sum = _round_sums(data, h, l1, l2)
             fit = xx - 2 * float((wtx * h).sum()) + float((wtw * (h @ h.T)).sum())
             penalty = l1 * float(w_sum.sum() + h.sum()) + 0.5 * l2 * float(np.trace(wtw) + (h * h).sum())
             objective.append(0.5 * fit + penalty)
             if len(objective) > 1 and objective[-2] - objective[-1] < tol * objective[0]:
+                settled = True
                 break
             h = _solve_components(h, wtx, wtw, l1, l2)
-        return NmfModel(list(vocabulary), h, l1, l2, objective)
+        return NmfModel(list(vocabulary), h, l1, l2, objective, settled)
     finally:
         data.unpersist()
 
@@ -164,9 +169,10 @@ def nmf_transform(model: NmfModel, weights: DataFrame, key: str = "user_id") ->
 
 def component_weights(weights_session: DataFrame, model: NmfModel) -> DataFrame:
     """``<topic, term, weight>`` of a fitted model."""
-    rows = [
-        (topic, term, float(model.components[topic, i]))
-        for topic in range(len(model.components))
-        for i, term in enumerate(model.vocabulary)
-    ]
-    return weights_session.sparkSession.createDataFrame(rows, "topic INT, term STRING, weight DOUBLE")
+    k, v = model.components.shape
+    rows = pa.table({
+        "topic": pa.array(np.repeat(np.arange(k, dtype="int32"), v)),
+        "term": pa.array(model.vocabulary * k, pa.string()),
+        "weight": pa.array(model.components.ravel()),
+    })
+    return weights_session.sparkSession.createDataFrame(rows)

@@ -8,7 +8,7 @@ step needs one pass over the table; about ten passes settle all models together.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,8 @@ class LinearMargin:
     coefficients: np.ndarray
     intercept: float
     objective: float
+    #: Whether the gradient became small before the steps ran out.
+    settled: bool = True
 
     def vote(self, values: np.ndarray) -> np.ndarray:
         return (values @ self.coefficients + self.intercept > 0).astype(int)
@@ -93,7 +95,10 @@ def _pass(table: ModelTable, c: dict[ModelId, float], w: dict[ModelId, np.ndarra
 def fit_margins(
     table: ModelTable, c: float | dict[ModelId, float] = 1.0, max_iter: int = 100, tol: float = 1e-6, standardise: bool = True
 ) -> dict[ModelId, LinearMargin]:
-    """Newton steps with halving until every model's gradient is small; one job per step."""
+    """Newton steps with halving until every model's gradient is small; one job per step.
+
+    A model that ``max_iter`` or the smallest step ends before has ``settled=False``.
+    """
     if len(table.classes) != 2:
         raise ValueError(f"two classes are needed, found {table.classes}")
     models, d = table.models, len(table.columns) + 1
@@ -105,6 +110,7 @@ def fit_margins(
     first = {m: max(np.linalg.norm(state[m][1]), 1e-12) for m in models}
     step = dict.fromkeys(models, 1.0)
     still_open = {m for m in models if np.linalg.norm(state[m][1]) > tol * first[m]}
+    stuck: set[ModelId] = set()
     for _ in range(max_iter):
         if not still_open:
             break
@@ -121,11 +127,12 @@ def fit_margins(
                 step[m] /= 2
                 if step[m] < SMALLEST_STEP:
                     still_open.discard(m)
+                    stuck.add(m)
     found = {}
     for m in models:
         mean, sd = scale[m]
         coefficients = accepted[m][:-1] / sd
-        found[m] = LinearMargin(coefficients, float(accepted[m][-1] - coefficients @ mean), float(state[m][0]))
+        found[m] = LinearMargin(coefficients, float(accepted[m][-1] - coefficients @ mean), float(state[m][0]), m not in still_open | stuck)
     return found
 
 
@@ -149,14 +156,35 @@ class SquaredHingeSVC(Estimator, _SvmParams):
         super().__init__()
         self._set(**self._input_kwargs)
 
-    def _fit(self, df: DataFrame) -> SquaredHingeModel:
+    def _train(self, df: DataFrame, wanted: list[tuple[float, int]]) -> list[SquaredHingeModel]:
+        """One model per (penalty, steps). All penalties share every pass; models that settled serve all step limits."""
         table = many.vector_table(df, self.getFeaturesCol(), self.getLabelCol())
         table.rows = compact(table.rows, df.count()).persist()
         try:
-            margins = fit_margins(table, self.getOrDefault(self.c), self.getMaxIter(), standardise=self.getOrDefault(self.standardise))
+            penalties = sorted({c for c, _ in wanted})
+            # A split without test rows for each penalty: every model trains on all rows.
+            shared = replace(table, n_splits=len(penalties))
+            by_id = {(0, i): c for i, c in enumerate(penalties)}
+            found: dict[tuple[float, int], LinearMargin] = {}
+            for steps in sorted({n for _, n in wanted}):
+                done = all(m.settled for m in found.values()) if found else False
+                if not done:
+                    fitted = fit_margins(shared, by_id, steps, standardise=self.getOrDefault(self.standardise))
+                    last = {c: fitted[m] for m, c in by_id.items()}
+                found.update({(c, steps): last[c] for c in penalties})
         finally:
             table.rows.unpersist()
-        return self._copyValues(SquaredHingeModel(margins[(0, 0)], table.classes))
+        return [self._copyValues(SquaredHingeModel(found[point], table.classes)) for point in wanted]
+
+    def _fit(self, df: DataFrame) -> SquaredHingeModel:
+        return self._train(df, [(self.getOrDefault(self.c), self.getMaxIter())])[0]
+
+    def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[dict]):
+        """All points of a grid over penalties and step limits in shared passes."""
+        if not all(set(pm) <= {self.c, self.maxIter} for pm in paramMaps):
+            return super().fitMultiple(dataset, paramMaps)
+        wanted = [(pm.get(self.c, self.getOrDefault(self.c)), pm.get(self.maxIter, self.getMaxIter())) for pm in paramMaps]
+        return iter(list(enumerate(self._train(dataset, wanted))))
 
 
 class SquaredHingeModel(Model, _SvmParams):

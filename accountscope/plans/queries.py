@@ -54,15 +54,18 @@ def _joined_md5(tokens: str | Column) -> Column:
 SELECT event_id, event_type, CASE WHEN event_type <> 'signup' THEN value END AS value
 FROM events WHERE event_type <> 'error'""")
 def src_csv(spark, folder):
-    """Error events are written with a surplus field, signup events without their last one."""
+    """Error events are written with a surplus field, signup events without their last one; a bare quote is text."""
     e = b.table(spark, folder, "events")
     fields = [F.col("event_id").cast("string"), F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))]
     value = F.col("value").cast("string")
     line = F.when(F.col("event_type") == "signup", F.concat_ws(",", *fields))
     line = line.when(F.col("event_type") == "error", F.concat_ws(",", *fields, value, F.lit("surplus")))
     path = scratch_path(spark, "csv")
-    e.select(line.otherwise(F.concat_ws(",", *fields, value)).alias("value")).write.text(path)
-    return csv.read_csv(spark, path, "event_id BIGINT, event_type STRING, value DOUBLE")
+    stray = F.concat_ws(",", F.lit('5" tall'), F.lit('so"me'), value)  # no number in its first field
+    rows = e.select(F.explode(F.array(line.otherwise(F.concat_ws(",", *fields, value)), stray)).alias("value"))
+    rows.write.text(path)
+    read = csv.read_csv(spark, path, "event_id BIGINT, event_type STRING, value DOUBLE", header=False)
+    return read.where("event_id IS NOT NULL")
 
 
 @query("SELECT doc_id, md5(text) AS text_md5, length(text) AS n, lang FROM documents")
@@ -370,7 +373,7 @@ def collate_missing_as_text(spark, folder):
 
 @query("SELECT doc_id AS user_id, md5(replace(text, chr(10), ' ')) AS tweet FROM documents")
 def tweet_set(spark, folder):
-    documents = collate.tweet_set(b.posts_raw(b.table(spark, folder, "documents")))
+    documents = collate.tweet_set(b.posts_raw(b.table(spark, folder, "documents")), parts=False)
     return documents.withColumn("tweet", F.md5("tweet"))
 
 
@@ -616,12 +619,17 @@ def lda_fit(spark, folder):
     return topics.topic_weights(model, vocabulary)
 
 
-@query("SELECT doc_id, 5::BIGINT AS topics, 1.0::DOUBLE AS total FROM documents")
+@query(f"""WITH {b.SQL_TF}, kept AS (SELECT term FROM df, n WHERE df BETWEEN 0.15 * n AND 0.85 * n),
+own AS (SELECT doc_id, count(*) AS terms FROM tf JOIN kept USING (term) GROUP BY doc_id)
+SELECT doc_id, coalesce(terms, 0) AS kept_terms, 1.0::DOUBLE AS total, CASE WHEN terms IS NULL THEN 0.2::DOUBLE END AS even_share
+FROM documents LEFT JOIN own USING (doc_id)""")
 def dt_dist(spark, folder):
-    """Every document has a share for each topic, and the shares sum to one."""
+    """Shares sum to one; they are all 1/K exactly where a document has no kept term, and differ elsewhere."""
     model, vectors, _ = _document_model(spark, folder)
     total = F.round(F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x), 6).alias("total")
-    return topics.dt_dist(model, vectors, "doc_id").select("doc_id", F.size("p").cast("bigint").alias("topics"), total)
+    even = F.when(F.array_max("p") == F.array_min("p"), F.array_max("p")).alias("even_share")
+    counts = vectors.select("doc_id", F.size(F.filter(vector_to_array("tf"), lambda x: x > 0)).cast("bigint").alias("kept_terms"))
+    return topics.dt_dist(model, vectors, "doc_id").select("doc_id", total, even).join(counts, "doc_id")
 
 
 @query()
@@ -660,7 +668,14 @@ def choose_cluster_features(spark, folder):
     return stages.choose_cluster_features(static, ClusterConfig(features=("num_unique_words", "num_followers")))
 
 
-_DIMS = 64
+def _label_centres(spark, folder) -> tuple[DataFrame, list[list[float]]]:
+    """Vectors ``v``, and the mean vector of each label: at most ``MAX_CLASSES`` labels."""
+    e = b.table(spark, folder, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    each = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    rows = each.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("m")).orderBy("label").limit(splits.MAX_CLASSES + 1).collect()
+    if len(rows) > splits.MAX_CLASSES:
+        raise ValueError("too many labels")
+    return e, [[x["m"] for x in row["m"]] for row in rows]
 
 
 @query("""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -669,9 +684,21 @@ d AS (SELECT vec_id, c.label AS centre, sum((x - m) * (x - m)) AS d FROM e JOIN
 SELECT vec_id, (arg_min(centre, d))::INTEGER AS cluster FROM d GROUP BY vec_id""")
 def assign_cluster(spark, folder):
     """Fixed centres: the mean vector of each label; every vector goes to the closest one."""
-    e = b.table(spark, folder, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    means = e.groupBy("label").agg(*[F.avg(F.col("v")[i]) for i in range(_DIMS)]).orderBy("label").collect()
-    return cluster.nearest_centre(e, "v", [list(m[1:]) for m in means]).select("vec_id", "cluster")
+    e, centres = _label_centres(spark, folder)
+    return cluster.nearest_centre(e, "v", centres).select("vec_id", "cluster")
+
+
+@query("""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT label, i, avg(x) AS m FROM e GROUP BY label, i),
+d AS (SELECT vec_id, c.label AS centre, sum((x - m) * (x - m)) AS d FROM e JOIN c USING (i) GROUP BY vec_id, c.label),
+own AS (SELECT vec_id, (arg_min(centre, d))::INTEGER AS cluster FROM d GROUP BY vec_id)
+SELECT cluster, i::INTEGER AS dim, round(avg(x), 6) + 0.0 AS mean FROM e JOIN own USING (vec_id) GROUP BY cluster, i""")
+def kmeans_step(spark, folder):
+    """One step of k-means from fixed centres: the means of the vectors closest to each."""
+    e, centres = _label_centres(spark, folder)
+    moved = cluster.nearest_centre(e, "v", centres).select("cluster", F.posexplode("v").alias("d", "x"))
+    means = moved.groupBy("cluster", (F.col("d") + 1).alias("dim")).agg(F.avg("x").alias("mean"))
+    return _round_all(means, "mean")
 
 
 @query()
@@ -706,13 +733,44 @@ for _key, _model in zip(("decision_tree", "random_forest", "adaboost", "linear_s
     _model_query(_key, _model)
 
 
-@query(f"""WITH {_split_sql("quality")}
-SELECT doc_id AS user_id, quality AS label, true AS predicted FROM parts WHERE is_test AND split = 0""")
+# One split of one feature, by trying every cut: the classes of either side of the purest one.
+_ONE_SPLIT_SQL = f"""WITH {_split_sql("quality")},
+x AS (SELECT doc_id, quality, is_test, length(text) // 200 % 20 AS x FROM parts JOIN documents USING (doc_id) WHERE split = 0),
+per AS (SELECT x, count(*) FILTER (quality = 0) AS a, count(*) FILTER (quality = 1) AS b FROM x WHERE NOT is_test GROUP BY x),
+cuts AS (
+  SELECT x, sum(a) OVER (ORDER BY x) AS la, sum(b) OVER (ORDER BY x) AS lb, sum(a) OVER () AS a, sum(b) OVER () AS b, lead(x) OVER (ORDER BY x) AS nx FROM per),
+gini AS (
+  SELECT *, (la + lb - (la * la + lb * lb) / (la + lb)::DOUBLE) + (a - la + b - lb - ((a - la) * (a - la) + (b - lb) * (b - lb)) / (a - la + b - lb)::DOUBLE) AS impure
+  FROM cuts WHERE nx IS NOT NULL),
+best AS (SELECT (x + nx) / 2.0 AS cut, (lb > la)::INTEGER AS below, (b - lb > a - la)::INTEGER AS above FROM gini ORDER BY round(impure, 9), x LIMIT 1)
+SELECT doc_id AS user_id, quality AS label, CASE WHEN x <= cut THEN below ELSE above END AS prediction FROM x, best WHERE is_test"""
+
+
+def _one_feature_table(spark, folder) -> DataFrame:
+    """Labelled documents with one feature of twenty values, split as the SQL splits them."""
+    labels, docs = b.table(spark, folder, "labels"), b.table(spark, folder, "documents")
+    feature = (F.floor(F.length("text") / 200) % 20).cast("double").alias("x")
+    rows = docs.select("doc_id", feature).join(labels, "doc_id").select(F.col("doc_id").alias("user_id"), "x", F.col("quality").alias("user_type"))
+    assembled = classify.assemble(rows, ["x"]).select("user_id", "features", "label")
+    return materialise(splits.strat_split(assembled, "user_id", "label"), "one-feature")
+
+
+def _one_split(spark, folder, model) -> DataFrame:
+    accounts = _one_feature_table(spark, folder)
+    _, scored = classify.fit_predict(model, accounts.where("NOT is_test"), accounts.where("is_test"))
+    return scored.select("user_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+
+
+@query(_ONE_SPLIT_SQL)
 def fit_predict(spark, folder):
-    """A fitted model scores every row of the test part and no other."""
-    accounts = _flagged_account_table(spark, folder)
-    _, scored = classify.fit_predict(classify.make_model("decision_tree"), accounts.where("NOT is_test"), accounts.where("is_test"))
-    return scored.select("user_id", F.col("label").cast("int").alias("label"), F.col("prediction").isin(0, 1).alias("predicted"))
+    """A tree of one split on one feature, against all cuts tried in SQL."""
+    return _one_split(spark, folder, classify.make_model("decision_tree", ClassifyConfig(max_depth=1)))
+
+
+@query(_ONE_SPLIT_SQL)
+def boost_one_round(spark, folder):
+    """One round of boosting on one feature, against all cuts tried in SQL."""
+    return _one_split(spark, folder, classify.make_model("adaboosted_dt", ClassifyConfig(boosting_rounds=1)))
 
 
 _BY_LANGUAGE = "SELECT lang AS g, quality, toxic FROM labels JOIN documents USING (doc_id)"
@@ -757,8 +815,8 @@ def cv_accuracy(spark, folder):
 
 @query()
 def per_cluster_models(spark, folder):
-    cfg = ClassifyConfig(models=("decision_tree", "random_forest", "adaboosted_dt"), folds=3, boosting_rounds=10)
-    return classify.per_cluster_models(b.account_features(spark, folder), cfg)
+    """All four models, ten splits, fifty rounds of boosting."""
+    return classify.per_cluster_models(b.account_features(spark, folder))
 
 
 def _assembled(spark, folder) -> DataFrame:
@@ -770,7 +828,7 @@ def _grid_query(key: str, make) -> None:
     def run(spark, folder):
         data = materialise(_assembled(spark, folder), "grid-table")
         estimator, grid = make(data)
-        return tuning.grid_search(data, estimator, grid, folds=3).table(data)
+        return tuning.grid_search(data, estimator, grid).table(data)
 
     query(None, key)(run)
 
@@ -779,14 +837,13 @@ def _grid_query(key: str, make) -> None:
 def grid_search(spark, folder):
     """Search on the training part, then the best model's report on both parts."""
     data = materialise(_assembled(spark, folder), "grid-table")
-    return tuning.grid_report(data, *tuning.grid_dt(criteria=["gini", "entropy"], depths=[3], leaves=[20]), folds=3)[1]
+    return tuning.grid_report(data, *tuning.grid_svc())[1]
 
 
-# A few points of every grid; the full grids are the defaults of these functions.
-_grid_query("grid_dt", lambda data: tuning.grid_dt(criteria=["gini"], depths=[3, 5], leaves=[20, 50]))
-_grid_query("grid_rf", lambda data: tuning.grid_rf(trees=[1, 5], criteria=["gini"], depths=[4], leaves=[20]))
-_grid_query("grid_ada", lambda data: tuning.grid_ada(rounds=[1, 3, 9], rates=[0.1, 1.0]))
-_grid_query("grid_svc", lambda data: tuning.grid_svc(penalties=[0.01, 1.0], iterations=[300]))
+_grid_query("grid_dt", lambda data: tuning.grid_dt())
+_grid_query("grid_rf", lambda data: tuning.grid_rf())
+_grid_query("grid_ada", lambda data: tuning.grid_ada())
+_grid_query("grid_svc", lambda data: tuning.grid_svc())
 
 
 # ---------------------------------------------------------------- stages
@@ -817,22 +874,24 @@ def stage_features(spark, folder):
 
 @query()
 def stage_cluster(spark, folder):
+    """Labelled documents by their own static features and scores."""
     static = stages.preprocess_static(b.static_raw(spark, folder))
-    dynamic = scores.dynamic_features(b.event_shares(spark, folder), 5)
-    return stages.cluster_accounts(static, dynamic)[0]
+    return stages.cluster_accounts(static, _document_scores(spark, folder))[0]
 
 
 @query()
 def stage_classify(spark, folder):
-    cfg = ClassifyConfig(models=("decision_tree", "adaboosted_dt"), folds=3, boosting_rounds=10)
-    return stages.classify_clusters(b.account_features(spark, folder), cfg)
+    return stages.classify_clusters(b.account_features(spark, folder))
+
+
+@query()
+def run_pipeline(spark, folder):
+    """The whole run under its default settings."""
+    return stages.run_pipeline(RunConfig(), raw=(b.static_raw(spark, folder), *b.cohorts_raw(spark, folder))).report
 
 
 @query()
 def run_stages(spark, folder):
-    cfg = RunConfig(
-        features=FeatureConfig(min_df=0.1, passes=2, max_batches_per_pass=2),
-        cluster=ClusterConfig(clusters=2, n_init=2),
-        classify=ClassifyConfig(models=("decision_tree",), folds=2, max_depth=5),
-    )
-    return stages.run_pipeline(cfg, raw=(b.static_raw(spark, folder), *b.cohorts_raw(spark, folder))).report
+    """A run of some stages: up to the clusters' composition."""
+    cfg = RunConfig(stages=("preprocess", "features", "cluster"))
+    return stages.run_pipeline(cfg, raw=(b.static_raw(spark, folder), *b.cohorts_raw(spark, folder))).composition

@@ -20,10 +20,11 @@ def preprocess_static(static_raw: DataFrame, order: str | None = None) -> DataFr
     """
     named = prep.cast_label(prep.coerce_id(prep.rename_static(static_raw)))
     ranks = [order] if order else [c for c in named.columns if c != "user_id"]
-    return prep.dedup_key(named, "user_id", *ranks)
+    one = prep.dedup_key(named, "user_id", *ranks)
+    return one.drop(order) if order else one
 
 
-def preprocess_posts(polluters: DataFrame, legitimate: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+def preprocess_posts(polluters: DataFrame, legitimate: DataFrame) -> DataFrame:
     """Labelled raw posts of the two cohorts, without accounts that occur in both.
 
     Works on posts: accounts are removed before their documents are built. The
@@ -34,8 +35,7 @@ def preprocess_posts(polluters: DataFrame, legitimate: DataFrame, keep: DataFram
         materialise(prep.type_posts(prep.coerce_id(prep.rename_tweets(df))), "posts") for df in (polluters, legitimate)
     ]
     ours, theirs = prep.disjoint_cohorts(*cohorts)
-    posts = prep.union_cohorts(prep.add_const_label(ours, prep.POLLUTER), prep.add_const_label(theirs, prep.LEGITIMATE))
-    return posts if keep is None else posts.join(keep.select("user_id"), "user_id", "left_semi")
+    return prep.union_cohorts(prep.add_const_label(ours, prep.POLLUTER), prep.add_const_label(theirs, prep.LEGITIMATE))
 
 
 def label_conflicts(static: DataFrame, documents: DataFrame) -> int:
@@ -52,7 +52,7 @@ def preprocess(
     Documents are ``<user_id, part, tweet, user_type>``; accounts of ordinary
     size have one part.
     """
-    static = materialise(preprocess_static(static_raw), "static")
+    static = materialise(preprocess_static(static_raw, cfg.first_by), "static")
     posts = preprocess_posts(polluters, legitimate)
     static, posts = prep.square_frames(static, posts)
     if cfg.random_sub_sample:
@@ -118,6 +118,8 @@ class RunResult:
     dynamic: DataFrame | None = None
     clustered: DataFrame | None = None
     composition: DataFrame | None = None
+    #: Accounts whose static label isn't that of the cohort their posts came from.
+    conflicts: int | None = None
     report: DataFrame | None = None
 
 
@@ -136,6 +138,7 @@ def run_pipeline(
     if "preprocess" in cfg.stages:
         static, documents = preprocess(*raw, cfg.preprocess)
         out.static, out.documents = materialise(static, "static"), materialise(documents, "documents")
+        out.conflicts = label_conflicts(out.static, out.documents)
     if "features" in cfg.stages:
         out.dynamic = build_dynamic_features(out.documents, cfg.features)
     if "cluster" in cfg.stages:

@@ -52,16 +52,20 @@ def scratch_root(spark: SparkSession) -> str:
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local master may
     fall back to a private temporary folder: on a cluster that would vanish
-    with the machine that holds it.
+    with the machine that holds it. A path without the scheme of a shared store
+    is refused on a cluster, unless ``spark.accountscope.sharedFolders`` is
+    "true" (every machine mounts it).
     """
     global _LOCAL_SCRATCH
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local")
+    set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (set_already.get() if set_already.isDefined() else None)
     if named:
+        own_disk = named.startswith("file:") or ("://" not in named and spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:").startswith("file:"))
+        if own_disk and not local and spark.conf.get("spark.accountscope.sharedFolders", "false") != "true":
+            raise RuntimeError(f"{named} looks like a folder of one machine; name one that every executor can reach")
         return named.rstrip("/")
-    set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_already.isDefined():
-        return set_already.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     if _LOCAL_SCRATCH is None:
         _LOCAL_SCRATCH = tempfile.TemporaryDirectory(prefix="accountscope-", ignore_cleanup_errors=True)
@@ -69,8 +73,14 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{scratch_root(spark)}/accountscope/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's own part of the shared folder."""
+    return f"{scratch_root(spark)}/accountscope/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; its tables can't be read any more."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/accountscope/{spark.sparkContext.applicationId}")
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:

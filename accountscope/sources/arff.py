@@ -33,11 +33,14 @@ def read_header(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     return found
 
 
-def read_arff(spark: SparkSession, path: str, text_columns: tuple[str, ...] = ("UserID",)) -> DataFrame:
+def read_arff(
+    spark: SparkSession, path: str, text_columns: tuple[str, ...] = ("UserID",), position: str | None = None
+) -> DataFrame:
     """Declared columns as DOUBLE or STRING; ``?`` is NULL and ``%`` lines are comments.
 
     ``text_columns`` stay text even when declared numeric, so that long ids keep
-    every digit until they are cast to BIGINT.
+    every digit until they are cast to BIGINT. ``position`` names a column that
+    orders the rows as they stand in the files.
     """
     header = read_header(spark, path)
     line = F.trim("value")
@@ -46,9 +49,13 @@ def read_arff(spark: SparkSession, path: str, text_columns: tuple[str, ...] = ("
     )
     ddl = ", ".join(f"`c{i}` STRING" for i in range(len(header)))
     options = {"quote": "'", "nullValue": "?", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-    parsed = rows.select(F.from_csv(line, F.lit(ddl), options).alias("r"))
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"),
+    )
+    parsed = rows.select(F.from_csv(line, F.lit(ddl), options).alias("r"), *([place.alias(position)] if position else []))
     columns = []
     for i, (name, kind) in enumerate(header):
         value = F.col(f"r.c{i}")
         columns.append((value.try_cast("double") if kind == "DOUBLE" and name not in text_columns else value).alias(name))
-    return parsed.select(*columns)
+    return parsed.select(*columns, *([position] if position else []))

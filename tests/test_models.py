@@ -15,7 +15,7 @@ def labelled(spark, x, y):
 
 def test_two_boosting_rounds(spark):
     df = labelled(spark, range(1, 7), [1, 1, 0, 0, 1, 0])
-    model = boost.AdaBoostClassifier(rounds=2).fit(df)
+    model = boost.AdaBoostClassifier(rounds=2, algorithm="SAMME").fit(df)
     first, second = model.stumps.stumps
     assert (first.threshold, first.left, first.right) == (2.5, 1, 0)
     assert (second.threshold, second.left, second.right) == (5.5, 1, 0)
@@ -24,6 +24,28 @@ def test_two_boosting_rounds(spark):
     assert [r["prediction"] for r in model.transform(df).orderBy("user_id").collect()] == [1, 1, 0, 0, 0, 0]
 
 
+def test_two_rounds_of_probabilities(spark):
+    """Worked by hand: leaf shares 0 / 1 and 3/4 / 1/4 give weights 0, 0, 1/sqrt(3) (zeros) and sqrt(3) (x = 5)."""
+    df = labelled(spark, range(1, 7), [1, 1, 0, 0, 1, 0])
+    model = boost.AdaBoostClassifier(rounds=2).fit(df)
+    first, second = model.stumps.stumps
+    assert (first.threshold, first.left, first.right) == (2.5, 1, 0)
+    assert first.votes[1] == pytest.approx((np.log(3) / 2, -np.log(3) / 2))
+    assert first.raises[1] == pytest.approx((-np.log(3) / 2, np.log(3) / 2))
+    assert (second.threshold, second.left, second.right) == (4.5, 0, 1)
+    assert second.votes[1] == pytest.approx((-np.log(3) / 2, np.log(3) / 2))
+    assert model.stumps.errors == pytest.approx([1 / 6, 1 / 6])
+    assert [r["prediction"] for r in model.transform(df).orderBy("user_id").collect()][:4] == [1, 1, 0, 0]
+
+
+def test_thresholds_are_exact_for_few_values(spark):
+    x = [0.0] * 5_000 + [1.0, 2.0, 3.0, 4.0]
+    df = labelled(spark, x, [int(v == 2.0) for v in x]).select(F.col("label").alias("y"), "features")
+    table = many.vector_table(df.withColumn("label", F.col("y")), "features", "label")
+    (found,) = boost.feature_thresholds(table, 8)[0]
+    assert found.tolist() == [0.5, 1.5, 2.5, 3.5]
+
+
 def test_boosting_separable_and_constant(spark):
     df = labelled(spark, range(20), [int(i > 8) for i in range(20)])
     model = boost.AdaBoostClassifier().fit(df)
@@ -125,6 +147,11 @@ def corpus(spark):
     return spark.createDataFrame(rows, "user_id INT, terms ARRAY<STRING>").persist()
 
 
+def test_lda_updates_follow_the_corpus():
+    cfg = FeatureConfig()
+    assert [topics.updates(n, cfg) for n in (1, 128, 129, 1_024, 1_300, 39_572)] == [5, 5, 10, 40, 55, 1_550]
+
+
 def test_lda_distributions(spark, corpus):
     vocabulary = text.vocabulary_list(text.document_freq(corpus))
     vectors = text.term_vectors(corpus, vocabulary)
@@ -153,6 +180,7 @@ def test_nmf_objective_falls_and_is_correct(spark, corpus):
     vocabulary = text.vocabulary_list(frequencies)
     model = nmf.nmf_fit(weights, vocabulary, topics=2, alpha=0.01)
     steps = model.objective
+    assert model.settled and not nmf.nmf_fit(weights, vocabulary, topics=2, alpha=0.01, max_iter=1).settled
     assert all(b <= a + 1e-9 for a, b in zip(steps, steps[1:]))
     assert (model.components >= 0).all()
     w = {r["user_id"]: np.array(r["w"]) for r in nmf.nmf_transform(model, weights).collect()}

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +22,19 @@ def test_collate(posts, null_text, want, max_rows):
     assert [tuple(r) for r in rows] == [(12, want)]
 
 
+@pytest.mark.parametrize("null_text", [None, "nan"])
+def test_collated_text_does_not_depend_on_limits(spark, null_text):
+    rng = random.Random(11)
+    made = {u: [rng.choice(["a", "bb", "", None, "c d", ""]) for _ in range(rng.randint(1, 9))] for u in range(40)}
+    made[99] = [None, None, None]
+    made[100] = [None, "", "x", None]
+    df = spark.createDataFrame([(u, k, t) for u, ts in made.items() for k, t in enumerate(ts)], "user_id BIGINT, ord INT, tweet STRING")
+    want = {u: " ".join(null_text if t is None else t for t in ts if t is not None or null_text) for u, ts in made.items()}
+    for max_rows, max_chars in ((100, 10**8), (1, 10**8), (2, 10**8), (3, 2), (100, 3)):
+        rows = collate.collate_docs(df, "user_id", "tweet", ["ord"], null_text, max_rows, max_chars).collect()
+        assert {r.user_id: r.tweet for r in rows} == want
+
+
 def test_coerce_id_reads_floats_and_keeps_long_ids(spark):
     raw = [("12.0",), ("12.5",), ("9007199254740993",), ("x1",), ("",)]
     ids = prep.coerce_id(spark.createDataFrame(raw, "user_id STRING")).collect()

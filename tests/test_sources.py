@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from accountscope.operators import prep
+from accountscope.plans import stages
 from accountscope.sources import arff, csv, sinks
 
 SCHEMA = "a STRING, b STRING, c STRING"
@@ -18,6 +20,62 @@ def test_short_long_and_quoted_rows(spark, tmp_path):
         csv.read_csv(spark, str(tmp_path / "x.csv"), SCHEMA, surplus="fail").collect()
 
 
+PROBE = "user STRING, tweet STRING, n STRING"
+
+
+@pytest.mark.parametrize("multi_line", [None, True, False])
+def test_quotes_inside_bare_fields_are_text(spark, tmp_path, multi_line):
+    path = tmp_path / "x.csv"
+    path.write_text('user,tweet,n\n1,5" tall,1\n2,ok,2\n3,fine,3\n4,"q ""x"" y",4\n')
+    rows = {tuple(r) for r in csv.read_csv(spark, str(path), PROBE, multi_line).collect()}
+    assert rows == {("1", '5" tall', "1"), ("2", "ok", "2"), ("3", "fine", "3"), ("4", 'q "x" y', "4")}
+    path.write_text("user,tweet,n\n" + "".join(f"{i},{'5\" tall' if i == 500 else 'x'},1\n" for i in range(1_000)))
+    assert csv.read_csv(spark, str(path), PROBE, multi_line).count() == 1_000
+
+
+def test_bare_quotes_beside_records_over_lines(spark, tmp_path):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rows = [(f"{i}", ('say "it' if i % 3 else 'two\nlines "here"'), f"{i % 7}") for i in range(200)]
+    quoted = lambda t: t if "\n" not in t else '"' + t.replace('"', '""') + '"'
+    (tmp_path / "x.csv").write_text("user,tweet,n\n" + "".join(f"{a},{quoted(b)},{c}\n" for a, b, c in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        found = [tuple(r) for r in csv.read_csv(spark, str(tmp_path), PROBE).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(found) == sorted(rows)
+
+
+def test_open_quote_at_the_end_names_the_file(spark, tmp_path):
+    (tmp_path / "broken.csv").write_text('user,tweet,n\n1,"open,2\n3,4,5\n')
+    with pytest.raises(Exception, match="open at the end of .*broken.csv"):
+        csv.read_csv(spark, str(tmp_path), PROBE).collect()
+
+
+def test_columns_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("tweet,user,n\nhello,7,1\n")
+    (tmp_path / "b.csv").write_text("user,tweet,n\nuser,tweet,n\n8,,2\n")
+    rows = {tuple(r) for r in csv.read_csv(spark, str(tmp_path), PROBE).collect()}
+    assert rows == {("7", "hello", "1"), ("user", "tweet", "n"), ("8", None, "2")}
+    for header in ("UserID,Text,n", "user,tweet", "user,tweet,n,more", "user,user,n"):
+        (tmp_path / "b.csv").write_text(header + "\n1,2,3\n")
+        with pytest.raises(Exception, match="columns of .*b.csv"):
+            csv.read_csv(spark, str(tmp_path), PROBE).collect()
+    (tmp_path / "b.csv").write_text("")
+    assert csv.read_csv(spark, str(tmp_path), PROBE).count() == 1
+    bare = csv.read_csv(spark, str(tmp_path / "a.csv"), PROBE, header=False)
+    assert bare.count() == 2
+
+
+def test_first_row_in_file_order(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("user,tweet,n\n7,z,9\n7,a,1\n8,b,2\n")
+    rows = prep.dedup_key(csv.read_csv(spark, str(tmp_path), PROBE, position="at"), "user", "at").collect()
+    assert {(r.user, r.n) for r in rows} == {("7", "9"), ("8", "2")}
+    (tmp_path / "x.arff").write_text("@relation t\n@attribute UserID numeric\n@attribute UserType {0,1}\n@attribute n REAL\n@data\n7,1,9\n7,0,1\n")
+    static = stages.preprocess_static(arff.read_arff(spark, str(tmp_path / "x.arff"), position="at"), "at")
+    assert [(r.user_id, r.user_type, r.n) for r in static.collect()] == [(7, 1, 9.0)] and "at" not in static.columns
+
+
 def test_typed_columns(spark, tmp_path):
     (tmp_path / "x.csv").write_text("k,v\n1,2.5\nx,\n")
     rows = csv.read_csv(spark, str(tmp_path), "k BIGINT, v DOUBLE").collect()
