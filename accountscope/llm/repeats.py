@@ -107,6 +107,8 @@ def contexts(places: DataFrame, docs: DataFrame, cfg: RepeatConfig) -> DataFrame
                 codes = (word_hashes(text) % np.uint64(65535) + np.uint64(1)).astype(">u2")
                 padded = np.concatenate([np.zeros(reach, ">u2"), codes, np.zeros(reach, ">u2")])
                 for p in at:
+                    if p["pos"] >= len(codes):  # of another text under the same id
+                        continue
                     i = p["pos"] + reach
                     out.append((doc, p["pos"], p["gram"], padded[i:i + reach].tobytes(), padded[i - reach:i][::-1].tobytes()))
             columns = list(zip(*out)) if out else [[]] * 5
@@ -184,9 +186,9 @@ _ORDER = [c.split(" ")[0] for c in _MATCH.split(", ")]
 def spans(docs: DataFrame, cfg: RepeatConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, start_word, end_word, n_words, partner_id``: merged repeated spans of every document, ends exclusive.
 
-    partner_id is the smallest id of a document found next to it. NULL ids and NULL or short texts have no spans; of
-    rows that share an id, one text (the greatest) is taken. Repeats within one text count too. Other columns are
-    ignored.
+    partner_id is the smallest id of a document found next to it. NULL ids and NULL or short texts have no spans. Rows
+    that share an id share their spans, found in any of their texts. Repeats within one text count too. Other columns
+    are ignored.
     """
     cfg = cfg or RepeatConfig()
     spark = docs.sparkSession

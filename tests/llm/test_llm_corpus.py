@@ -163,6 +163,14 @@ def test_repeats_of_messy_rows(messy, nothing):
     assert repeats.spans(nothing).count() == 0
 
 
+def test_repeats_under_one_id(spark):
+    rng = random.Random(8)
+    a, b = (" ".join(f"u{rng.randint(0, 10**6)}" for _ in range(n)) for n in (400, 60))
+    rows = [(1, a), (1, b), (2, b + " end"), (3, a[:100])]
+    got = covered(repeats.spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got[2] == set(range(60)) and set(range(60)) <= got[1] and 3 not in got
+
+
 def test_minimisers_are_selected_by_content():
     rng = np.random.default_rng(0)
     passage = rng.integers(0, 2**63, 43, dtype=np.int64).astype(np.uint64)
