@@ -91,24 +91,27 @@ def model_outcomes(
     features = {c: _features_of(cfg, df, c, label) for c in sizes}
     spark_models = [m for m in cfg.models if m in ("decision_tree", "random_forest")]
     cached, tasks, found = {}, [], []
+    top = max(many.distinct_classes(flagged, label), default=0)
     for c in sizes if spark_models else ():
         table = assemble(flagged.where(F.col("cluster") == c), features[c], label)
-        narrow = table.select("label", "features", "is_test")
+        # Classes stand in the column's metadata, so that no fit looks for them.
+        named = F.col("label").alias("label", metadata={"ml_attr": {"type": "nominal", "vals": [str(x) for x in range(top + 1)]}})
+        narrow = table.select(named, "features", "is_test")
         cached[c] = compact(narrow, sizes[c]).persist()
         tasks += [(c, name, s) for name in spark_models for s in range(cfg.folds)]
 
     @inheritable_thread_target(df.sparkSession)
-    def run(task: tuple[int, str, int]) -> list[tuple]:
+    def run(task: tuple[int, str, int]) -> Model:
         c, name, s = task
-        train, test = (cached[c].where(~F.col("is_test")[s]), cached[c].where(F.col("is_test")[s]))
-        _, predicted = fit_predict(make_model(name, cfg), train, test)
-        counts = metrics.outcome_counts(predicted.withColumn("label", F.col("label").cast("int"))).collect()
-        return [(c, name, s, r["label"], r["prediction"], r["n"]) for r in counts]
+        return make_model(name, cfg).fit(cached[c].where(~F.col("is_test")[s]))
 
     try:
         if tasks:
             with ThreadPool(cfg.parallelism) as pool:
-                found = [row for rows in pool.map(run, tasks, chunksize=1) for row in rows]
+                fitted = pool.map(run, tasks, chunksize=1)
+            for c in sizes:
+                own = [(name, s, m) for (k, name, s), m in zip(tasks, fitted) if k == c]
+                found += [(c, *row) for row in _test_counts(cached[c], own)]
     finally:
         for table in cached.values():
             table.unpersist()
@@ -116,6 +119,19 @@ def model_outcomes(
     return df.sparkSession.createDataFrame(found, OUTCOMES)
 
 
+def _test_counts(table: DataFrame, fitted: list[tuple[str, int, Model]]) -> list[tuple]:
+    """``(model, split, label, prediction, n)`` over the test rows of every split, for all models in one pass."""
+    scored, cells = table, []
+    for i, (name, s, model) in enumerate(fitted):
+        model.setPredictionCol(f"p{i}").setRawPredictionCol("").setProbabilityCol("")
+        scored = model.transform(scored)
+        cell = F.struct(F.lit(name).alias("model"), F.lit(s).alias("split"), F.col(f"p{i}").cast("int").alias("prediction"))
+        cells.append(F.when(F.col("is_test")[s], cell))
+    each = scored.select(F.col("label").cast("int").alias("label"), F.explode(F.array_compact(F.array(*cells))).alias("c"))
+    rows = each.groupBy("c.model", "c.split", "label", "c.prediction").count().collect()
+    return [(r["model"], r["split"], r["label"], r["prediction"], r["count"]) for r in rows]
+
+
 def _shared_outcomes(
     flagged: DataFrame, sizes: dict[int, int], features: dict[int, list[str]], cfg: ClassifyConfig, label: str
 ) -> list[tuple]:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accountscope.functions import text as tx
-from accountscope.session import BROADCAST_ROWS, broadcast_if_small
+from accountscope.session import BROADCAST_ROWS, broadcast_if_small, materialise
 
 #: Largest vocabulary a driver-side model may hold.
 MAX_TERMS = 1_000_000
@@ -27,8 +27,15 @@ def _group(df: DataFrame, key: str) -> list[str]:
     return [key, "part"] if "part" in df.columns else [key]
 
 
-def _hot_keys(df: DataFrame, key: str) -> DataFrame | None:
-    """Keys whose document has several parts, or None when there are none."""
+#: Given instead of the keys of multi-part documents: the operator finds them itself.
+FIND = object()
+
+
+def hot_keys(df: DataFrame, key: str = "user_id") -> DataFrame | None:
+    """Keys whose document has several parts, or None when there are none.
+
+    Found once on the documents and passed on, this spares each operator below its own search.
+    """
     if "part" not in df.columns:
         return None
     hot = broadcast_if_small(df.where("part > 0").select(key).distinct())
@@ -49,7 +56,7 @@ def lemmatize_dict(tokens: DataFrame, lemmas: DataFrame, key: str = "user_id", l
     """
     if "pos" in lemmas.columns:
         lemmas = lemmas.where(F.coalesce(F.lower(F.substring("pos", 1, 1)), F.lit("n")) == "n")
-    table = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma"))
+    table = materialise(lemmas.groupBy("token").agg(F.min("lemma").alias("lemma")), "lemmas")
     group = _group(tokens, key)
     # Documents move once, as arrays; exploding and regrouping then stay in the task.
     placed = tokens.select(*group, "tokens").repartition(*group)
@@ -65,11 +72,11 @@ def lemmatize_dict(tokens: DataFrame, lemmas: DataFrame, key: str = "user_id", l
     return regrouped.select(*group, F.transform("w", lambda e: e["word"]).alias("tokens"))
 
 
-def ngrams(tokens: DataFrame, low: int = 1, high: int = 2, key: str = "user_id") -> DataFrame:
+def ngrams(tokens: DataFrame, low: int = 1, high: int = 2, key: str = "user_id", hot: DataFrame | None = FIND) -> DataFrame:
     """``<key, [part], terms>``: n-grams of the flat token list, also across part borders."""
     group = _group(tokens, key)
     plain = tx.ngrams(F.col("tokens"), low, high).alias("terms")
-    hot = _hot_keys(tokens, key) if high > 1 else None
+    hot = None if high <= 1 else hot_keys(tokens, key) if hot is FIND else hot
     if hot is None:
         return tokens.select(*group, plain)
     single = tokens.join(hot, key, "left_anti").select(*group, plain)
@@ -98,13 +105,13 @@ def document_count(terms: DataFrame, key: str = "user_id") -> int:
     return (terms.where("part = 0") if "part" in terms.columns else terms).count()
 
 
-def document_freq(terms: DataFrame, key: str = "user_id") -> DataFrame:
+def document_freq(terms: DataFrame, key: str = "user_id", hot: DataFrame | None = FIND) -> DataFrame:
     """``<term, df>``: in how many documents a term occurs.
 
     A document in one row needs no per-document shuffle, only the (partially
     aggregated) count per term. Terms of multi-part documents are made distinct first.
     """
-    hot = _hot_keys(terms, key)
+    hot = hot_keys(terms, key) if hot is FIND else hot
     once = F.array_distinct("terms")
     if hot is None:
         listed = tx.explode_terms(terms, once, "term")
@@ -137,10 +144,10 @@ def vocabulary_list(pruned: DataFrame, limit: int = MAX_TERMS) -> list[str]:
     return sorted(row[0] for row in rows)
 
 
-def term_vectors(terms: DataFrame, vocabulary: list[str], key: str = "user_id") -> DataFrame:
+def term_vectors(terms: DataFrame, vocabulary: list[str], key: str = "user_id", hot: DataFrame | None = FIND) -> DataFrame:
     """``<key, tf VECTOR>`` in vocabulary order; parts of one document are summed."""
     model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="tf")
-    hot = _hot_keys(terms, key)
+    hot = hot_keys(terms, key) if hot is FIND else hot
     if hot is None:
         return model.transform(terms).select(key, "tf")
     single = model.transform(terms.join(hot, key, "left_anti")).select(key, "tf")

@@ -26,7 +26,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def event_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return scores.share_distribution(table(spark, folder, "events"), "user_id", "event_type", EVENT_TYPES)
+    """Shares of the known event types; an event of another type is an error, as it would count in no share."""
+    kind = F.col("event_type")
+    unknown = F.raise_error(F.concat(F.lit("unknown event type "), kind)).cast("string")
+    events = table(spark, folder, "events").withColumn("event_type", F.when(kind.isNull() | kind.isin(EVENT_TYPES), kind).otherwise(unknown))
+    return scores.share_distribution(events, "user_id", "event_type", EVENT_TYPES)
 
 
 def static_raw(spark: SparkSession, folder: str) -> DataFrame:

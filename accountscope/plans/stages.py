@@ -24,18 +24,21 @@ def preprocess_static(static_raw: DataFrame, order: str | None = None) -> DataFr
     return one.drop(order) if order else one
 
 
-def preprocess_posts(polluters: DataFrame, legitimate: DataFrame) -> DataFrame:
-    """Labelled raw posts of the two cohorts, without accounts that occur in both.
+def preprocess_posts(polluters: DataFrame, legitimate: DataFrame, static: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labelled posts of accounts that occur in one cohort and in ``static``, and the ids of these accounts.
 
     Works on posts: accounts are removed before their documents are built. The
     typed posts are written once, so that finding out which accounts stay reads
-    their ids only.
+    their ids only; then one join lets the posts through.
     """
     cohorts = [
         materialise(prep.type_posts(prep.coerce_id(prep.rename_tweets(df))), "posts") for df in (polluters, legitimate)
     ]
-    ours, theirs = prep.disjoint_cohorts(*cohorts)
-    return prep.union_cohorts(prep.add_const_label(ours, prep.POLLUTER), prep.add_const_label(theirs, prep.LEGITIMATE))
+    ids = [df.select("user_id").distinct() for df in cohorts]
+    single = ids[0].unionByName(ids[1]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    stay = materialise(single.join(static, "user_id", "left_semi").select("user_id"), "accounts")
+    labelled = [prep.add_const_label(df, label) for df, label in zip(cohorts, (prep.POLLUTER, prep.LEGITIMATE))]
+    return prep.union_cohorts(*labelled).join(stay, "user_id", "left_semi"), stay
 
 
 def label_conflicts(static: DataFrame, documents: DataFrame) -> int:
@@ -53,8 +56,8 @@ def preprocess(
     size have one part.
     """
     static = materialise(preprocess_static(static_raw, cfg.first_by), "static")
-    posts = preprocess_posts(polluters, legitimate)
-    static, posts = prep.square_frames(static, posts)
+    posts, stay = preprocess_posts(polluters, legitimate, static)
+    static = static.join(stay, "user_id", "left_semi")
     if cfg.random_sub_sample:
         static = splits.sample_n(static, "user_id", cfg.sample_size, cfg.seed)
         posts = splits.follow_sample(posts, static, "user_id")
@@ -75,15 +78,17 @@ def build_dynamic_features(
 ) -> DataFrame:
     """Stage 2: ``<key, dt_entropy, goss_0.., loss_0..>`` from documents.
 
-    Tokens are made twice rather than stored: once for the vocabulary and once
-    for the vectors, which are the only table the model fit reads.
+    Plain tokens are made twice rather than stored: once for the vocabulary and once
+    for the vectors, which are the only table the model fit reads. Lemmas need a
+    shuffle, so tokens with lemmas are stored.
     """
+    hot = text.hot_keys(documents, key)
     tokens = text.tokenize(documents, key, text_column)
     if lemmas is not None:
-        tokens = text.lemmatize_dict(tokens, lemmas, key)
-    terms = text.ngrams(tokens, *cfg.ngram_range, key=key)
-    kept = text.df_prune(text.document_freq(terms, key), text.document_count(documents, key), cfg.min_df, cfg.max_df)
-    vectors = materialise(text.term_vectors(terms, text.vocabulary_list(kept), key), "term-vectors")
+        tokens = materialise(text.lemmatize_dict(tokens, lemmas, key), "lemmatised")
+    terms = text.ngrams(tokens, *cfg.ngram_range, key=key, hot=hot)
+    kept = text.df_prune(text.document_freq(terms, key, hot), text.document_count(documents, key), cfg.min_df, cfg.max_df)
+    vectors = materialise(text.term_vectors(terms, text.vocabulary_list(kept), key, hot), "term-vectors")
     model = topics.lda_fit(vectors, cfg)
     dist = materialise(topics.dt_dist(model, vectors, key), "topic-shares")
     return scores.dynamic_features(dist, cfg.topics, key)

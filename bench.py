@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from accountscope.config import ClassifyConfig, ClusterConfig, FeatureConfig  # noqa: E402
-from accountscope.operators import classify, collate, scores, text, topics  # noqa: E402
+from accountscope.operators import classify, cluster, collate, scores, text, topics  # noqa: E402
 from accountscope.plans import bindings, stages  # noqa: E402
 from accountscope.session import build_session, materialise  # noqa: E402
 
@@ -59,12 +59,13 @@ def main() -> None:
         text.df_prune(text.document_freq(terms), text.document_count(docs), cfg.min_df, cfg.max_df)))
     vectors = timed("term_vectors", lambda: materialise(text.term_vectors(terms, kept)))
     model = timed("lda_fit", lambda: topics.lda_fit(vectors, cfg))
+    times["lda_seconds_per_update"] = round(times["lda_fit"] / topics.updates(vectors.count(), cfg), 4)
     dist = timed("dt_dist", lambda: materialise(topics.dt_dist(model, vectors)))
     dynamic = timed("scores", lambda: materialise(scores.dynamic_features(dist, cfg.topics)))
     times["feature_generation"] = round(sum(times[k] for k in ("vocabulary", "term_vectors", "lda_fit", "dt_dist", "scores")), 3)
 
     # The scores alone at growing N: linear, where the direct formula is quadratic.
-    for n in (100_000, 400_000, 1_600_000):
+    for n in (100_000, 400_000, 1_600_000, 10_000_000):
         grown = materialise(spark.range(n).select(
             F.col("id").alias("user_id"), F.array(*[F.abs(F.hash("id", F.lit(k))) / 2.0**31 for k in range(5)]).alias("p")))
         timed(f"scores_{n}", lambda: consume(scores.dynamic_features(grown, 5)))
@@ -79,6 +80,19 @@ def main() -> None:
         timed(name, lambda: classify.per_cluster_models(clustered, one).collect())
     times["classification"] = round(sum(times[k] for k in ("decision_tree", "random_forest", "adaboosted_dt", "linear_svc")), 3)
 
+    # About as many accounts as the reference's full run has: every account ten times, its measures moved a little.
+    moved = [(F.col(c) * (1 + (F.pmod(F.xxhash64("user_id", "copy", F.lit(c)), F.lit(1000)) - 500) / 50_000)).alias(c)
+             for c in classify.xy_split_cols(clustered)]
+    grown = materialise(clustered.crossJoin(spark.range(10).withColumnRenamed("id", "copy")).select(
+        (F.col("user_id") * 10 + F.col("copy")).alias("user_id"), "user_type", *moved))
+    times["accounts_grown"] = grown.count()
+    again = ClusterConfig()
+    scaled = cluster.standard_scale(grown, again.features)
+    numbered = timed("clustering_grown", lambda: materialise(
+        cluster.assign_cluster(scaled, cluster.kmeans_fit(scaled, again.features, again)).select("user_id", "cluster")))
+    grown = materialise(grown.join(numbered, "user_id"))
+    timed("classification_grown", lambda: classify.per_cluster_models(grown, ClassifyConfig(parallelism=int(CPUS))).collect())
+
     total = sum(times[k] for k in ("preprocess", "feature_generation", "clustering", "classification"))
     print(json.dumps({"metric": "whole run: preprocess + features + clustering + classification", "value": round(total, 3),
                       "unit": "sec", "queries": times, "sf": os.path.basename(FOLDER.rstrip("/"))}))
