@@ -26,6 +26,8 @@ from accountscope.operators.many import ModelId, ModelTable
 from accountscope.session import compact
 
 PERCENTILE_ACCURACY = 10_000
+#: Logarithms of weights are at most this, so that no weight is infinite.
+LARGEST_LOG_WEIGHT = 700.0
 #: Class shares are at least this before their logarithm is taken.
 SMALLEST_SHARE = float(np.finfo(float).eps)
 
@@ -146,7 +148,7 @@ def _weights(stumps: list[Stump], bins: np.ndarray, labels: np.ndarray) -> np.nd
     total = np.zeros(len(labels))
     for s in stumps:
         total += np.asarray(s.raises)[(bins[:, s.feature] > s.cut).astype(int), labels]
-    return np.exp(total)
+    return np.exp(np.minimum(total, LARGEST_LOG_WEIGHT))
 
 
 def _histograms(binned: BinnedTable, models: dict[ModelId, list[Stump]]) -> dict[ModelId, np.ndarray]:
@@ -202,7 +204,10 @@ def _real(k: int, sides: tuple[np.ndarray, np.ndarray], rate: float) -> tuple[tu
     """SAMME.R: a side votes with the logarithms of its class shares, and lowers the rows it finds likely."""
     votes, raises = [], []
     for weights in sides:
-        log_p = np.log(np.clip(weights / weights.sum(), SMALLEST_SHARE, None))
+        total = weights.sum()
+        # A side without any weight says nothing: even shares.
+        shares = weights / total if total > 0 else np.full(k, 1 / k)
+        log_p = np.log(np.clip(shares, SMALLEST_SHARE, None))
         votes.append(tuple((k - 1) * (log_p - log_p.mean())))
         # Coded classes: 1 for a row's own, -1 / (k - 1) for each other.
         coded = log_p - (log_p.sum() - log_p) / (k - 1)

@@ -38,6 +38,12 @@ def test_two_rounds_of_probabilities(spark):
     assert [r["prediction"] for r in model.transform(df).orderBy("user_id").collect()][:4] == [1, 1, 0, 0]
 
 
+def test_a_side_without_weight_says_nothing():
+    votes, raises = boost._real(2, (np.zeros(2), np.array([1.0, 3.0])), 1.0)
+    assert votes[0] == raises[0] == (0.0, 0.0)
+    assert votes[1] == pytest.approx((-np.log(3) / 2, np.log(3) / 2))
+
+
 def test_thresholds_are_exact_for_few_values(spark):
     x = [0.0] * 5_000 + [1.0, 2.0, 3.0, 4.0]
     df = labelled(spark, x, [int(v == 2.0) for v in x]).select(F.col("label").alias("y"), "features")
