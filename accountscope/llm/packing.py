@@ -13,6 +13,7 @@ input split with the same result.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 PIECES = ("id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, context bigint, step bigint")
 
-#: A space before another white space or the end: there the pre-tokenizer may join white space across the cut.
-_JOINED = re.compile(r" (?=\s|\Z)")
-_CACHED_WORDS = 300_000
+#: White space before more of it or the end: there the pre-tokenizer may join it across a cut.
+_JOINED = re.compile(r"\s(?=\s|\Z)")
+#: Words that a Python worker remembers before it forgets them all.
+_CACHED_WORDS = 600_000
 
 
 @dataclass(frozen=True)
@@ -43,14 +45,23 @@ class PackConfig:
     step_tokens: int = 8192
 
 
-class Encoder:
-    """Token ids of whole texts, as little-endian 32-bit bytes.
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+_SPACE = chr(_LETTERS[0x20])
+_MARKS = ".,;:!?"
 
-    A text is cut before single spaces, where the byte-level pre-tokenizer always ends a token, so the ids of repeated
-    words are looked up; texts with joined white space are encoded whole.
-    """
+
+class Words(dict):
+    """Ids of words, each after the space before it, as little-endian 32-bit bytes; new ones are encoded when asked for."""
 
     def __init__(self, name: str) -> None:
+        super().__init__()
         from tokenizers import Tokenizer
 
         path = name
@@ -60,24 +71,55 @@ class Encoder:
             path = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(str(path))
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.cores: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _core(self, core: str) -> bytes:
+        """A run of letters, with or without the space before it, is one pre-token: only the model has to see it."""
+        found = self.cores.get(core)
+        if found is None:
+            spelled = core.replace(" ", _SPACE) if core.isascii() else core.encode().decode("latin-1").translate(_LETTERS)
+            ids = [t.id for t in self.model.tokenize(spelled)]
+            found = self.cores[core] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def __missing__(self, word: str) -> bytes:
+        if not word:
+            return b""
+        core = word.rstrip(_MARKS)
+        if core.removeprefix(" ").isalpha():
+            tail = word[len(core):]  # marks after letters are the next pre-token
+            ids = self._core(core) + (self[tail] if tail else b"")
+        else:
+            ids = self.whole(word)
+        self[word] = ids
+        return ids
+
 
-    def _fresh(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in done]
+class Encoder:
+    """Token ids of whole texts.
+
+    A text is cut before single spaces and around single line breaks, where the byte-level pre-tokenizer always ends a
+    token, so the ids of repeated words are looked up; texts with joined white space are encoded whole. The words known so far outlive a task.
+    """
+
+    _known: dict[str, Words] = {}
+
+    def __init__(self, name: str) -> None:
+        self.words = self._known.setdefault(name, None) or Words(name)
+        self._known[name] = self.words
 
     def encode(self, text: str) -> bytes:
-        if _JOINED.search(text):
-            return self._fresh([text])[0]
-        parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-        known = self.known
-        missing = [p for p in set(parts) if p not in known]
-        if missing:
-            if len(known) > _CACHED_WORDS:
-                known.clear()
-                missing = list(set(parts))
-            known.update(zip(missing, self._fresh(missing)))
-        return b"".join([known[p] for p in parts])
+        words = self.words
+        if "\0" in text or _JOINED.search(text):
+            return words.whole(text)
+        if len(words) > _CACHED_WORDS:
+            words.clear()
+            words.cores.clear()
+        return b"".join(map(words.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
 
 
 @dataclass
