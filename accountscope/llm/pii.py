@@ -13,12 +13,10 @@ import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from accountscope.session import materialise
-
 ROUNDS = 6
 
 # Alphabets: a character is permuted among those of its own.
@@ -216,7 +214,10 @@ OUT = T.StructType([
 
 
 def surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``row`` (all columns of ``docs``), ``clean`` (the new text) and ``entities``. NULL text stays NULL, with none."""
+    """``row`` (all columns of ``docs``, with surrogates in its text) and ``entities``.
+
+    NULL text stays NULL, with none. ``n_chars``, where there is such a column, follows the text.
+    """
 
     @F.pandas_udf(OUT)
     def cleaned(texts: pd.Series) -> pd.DataFrame:
@@ -224,13 +225,27 @@ def surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         done = [(None, []) if t is None else replace_entities(p, t) for t in texts]
         return pd.DataFrame({"text": [d[0] for d in done], "entities": [d[1] for d in done]})
 
+    def column(c: str) -> Column:
+        if c == text_col:
+            return F.col("made.text").alias(c)
+        if c == "n_chars":
+            n = F.length("made.text").cast(docs.schema[c].dataType)
+            return F.coalesce(n, F.col("row.n_chars")).alias(c)
+        return F.col(f"row.`{c}`").alias(c)
+
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), cleaned(F.col(text_col)).alias("made"))
-    return whole.select("row", F.col("made.text").alias("clean"), F.col("made.entities").alias("entities"))
+    return whole.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), F.col("made.entities").alias("entities"))
 
 
 def check_distinct(made: DataFrame) -> int:
-    """Number of different entities; an error if two share a surrogate, or one has several, anywhere in the corpus."""
-    pairs = made.select(F.explode("entities").alias("e")).select("e.*").distinct()
+    """Number of different entities; an error if two share a surrogate, or one has several, anywhere in the corpus.
+
+    A pass of its own, of which only entities leave the tasks: surrogates depend on key and entity alone, so what it
+    finds holds for any later pass, and no second copy of the texts has to be stored in between.
+    """
+    # The outer form: the inner one would add a filter that finds all entities a second time.
+    each = made.select(F.explode_outer("entities").alias("e")).select("e.kind", "e.entity", "e.surrogate").distinct()
+    pairs = each.where("kind IS NOT NULL")
     n, entities, images = pairs.agg(
         F.count("*"), F.count_distinct("kind", "entity"), F.count_distinct("kind", "surrogate")).first()
     if not n == entities == images:
@@ -240,17 +255,14 @@ def check_distinct(made: DataFrame) -> int:
 
 def report(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, text, n_entities, kinds``: every whole text with its surrogates, after the collision check."""
-    made = materialise(surrogates(docs.select(id_col, text_col), key, text_col), "surrogates")
+    made = surrogates(docs.select(id_col, text_col), key, text_col)
     check_distinct(made)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",")
-    return made.select(F.col(f"row.{id_col}").alias(id_col), F.col("clean").alias(text_col), F.size("entities").cast("bigint").alias("n_entities"), kinds.alias("kinds"))
+    return made.select("row.*", F.size("entities").cast("bigint").alias("n_entities"), kinds.alias("kinds"))
 
 
 def masked(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with surrogates in its texts, all columns kept, after the collision check; ``n_chars`` follows the text."""
-    made = materialise(surrogates(docs, key, text_col), "surrogates")
+    """``docs`` with surrogates in its texts, all columns kept, after the collision check."""
+    made = surrogates(docs, key, text_col)
     check_distinct(made)
-    columns = [F.col("clean").alias(text_col) if c == text_col else
-               F.when(F.col("clean").isNull(), F.col("row.n_chars")).otherwise(F.length("clean").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else
-               F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return made.select(*columns)
+    return made.select("row.*")
