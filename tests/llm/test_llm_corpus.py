@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from accountscope.llm import graph, mixing, packing, pii, repeats, simhash
+from accountscope.llm import graph, mixing, packing, pii, repeats, shingles, simhash
 
 
 def union_find(pairs):
@@ -120,6 +120,49 @@ def test_one_row_of_each_group_stays(messy, nothing):
     assert simhash.keep_one(nothing).count() == 0 and simhash.near_duplicates(nothing).count() == 0
 
 
+# ---------------------------------------------------------------- Jaccard near-duplicates
+
+
+def plain_shingles(text):
+    ws = (text or "").encode().lower().split()
+    return {tuple(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))}
+
+
+@pytest.mark.parametrize("tile", [256, 3])
+def test_near_dedup_equals_all_jaccard_pairs(spark, docs, messy, tile):
+    rng = random.Random(6)
+    made = []
+    for k in range(12):  # copies with a few words changed, around the limit on both sides
+        base = [f"w{rng.randint(0, 300)}" for _ in range(rng.randint(30, 200))]
+        for c in range(10):
+            t = list(base)
+            for _ in range(c % 5 * len(t) // 60):
+                t[rng.randrange(len(t))] = f"x{rng.randint(0, 10**6)}"
+            made.append((70_000 + 100 * k + c, " ".join(t)))
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id bigint, text string")).unionByName(
+        messy.where("doc_id IS NOT NULL AND doc_id <> 5").select((F.col("doc_id") + 200_000).alias("doc_id"), "text"))
+    sets = {r.doc_id: plain_shingles(r.text) for r in every.collect()}
+    ids = sorted(sets)
+    close = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = union_find([(i, i) for i in ids] + close)
+    found = shingles.near_duplicates(every, cfg=shingles.ShingleConfig(tile=tile)).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+    assert len(found) == every.count()
+
+
+def test_pipeline_drops_near_copies(spark, folder):
+    text = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, text), (2, text.replace("word100", "changed")), (3, text.replace("word50 ", "a b c d ")), (4, "another text"), (None, "no id"), (None, "no id")]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), folder).collect()
+    assert sorted((str(r.doc_id) for r in kept)) == ["1", "4", "None"]
+
+
+def test_kept_rows_are_one_of_each_component(spark, folder):
+    x, y = "a first text of its own", "second words that nobody else has"
+    rows = spark.createDataFrame([(3, x), (5, x), (5, y)], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in shingles.keep_one(rows).collect()) == [(3, x), (5, y)]
+
+
 # ---------------------------------------------------------------- repeats
 
 
