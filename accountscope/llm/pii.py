@@ -45,7 +45,11 @@ PATTERNS = {
 }
 _FIND = re.compile("|".join(f"(?P<k_{kind}>{p})" for kind, p in PATTERNS.items()))
 #: Nothing is found in a text without one of these; it is passed through unread.
-_HINT = re.compile(rf"[0-9@]|(?:{TITLES})|(?i:token|password|passwd|secret|key)")
+_HINT = re.compile(rf"[0-9@]|(?:{TITLES})|AKIA|ASIA|(?i:token|password|passwd|secret|key)")
+#: Between the digit groups of a match that was none after all, a hyphen is a border too.
+_LOOSE = {k: p.replace(r"(?<![\w-])", r"(?<!\w)").replace(r"(?![\w-])", r"(?!\w)") if k in ("ssn", "card") else p for k, p in PATTERNS.items()}
+_INSIDE = re.compile("|".join(f"(?P<k_{kind}>{p})" for kind, p in _LOOSE.items()))
+_ONE = {k: re.compile(p) for k, p in _LOOSE.items()}
 
 
 class Permutation:
@@ -188,17 +192,50 @@ def _name(p: Permutation, word: str) -> str:
     return _recased(word, _spell(p, "name", low, alphabets, keep))
 
 
+def _other(p: Permutation, text: str, start: int, rejected: str) -> tuple[str, int, tuple[str, str, str] | None]:
+    """(kind, end, surrogate) of the entity at ``start`` behind a rejected match: shorter ones of its kind, then later kinds.
+
+    Only kinds that can be rejected are searched for shorter ones; they end where a group of letters or digits does.
+    """
+    kinds = list(PATTERNS)
+    for kind in kinds[kinds.index(rejected):]:
+        m = _ONE[kind].match(text, start)
+        if not m:
+            continue
+        if kind in ("secret", "name"):  # begin with a word of their own, where nothing that is rejected can
+            continue
+        ends = [m.end()]
+        if kind in ("card", "iban", "phone"):
+            ends += [e for e in range(m.end() - 1, start, -1) if not re.match(r"\w", text[e])]
+        for end in ends:
+            if _ONE[kind].fullmatch(text, start, end):
+                made = surrogate(p, kind, text[start:end])
+                if made is not None:
+                    return kind, end, made
+    return rejected, start, None
+
+
 def replace_entities(p: Permutation, text: str) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and its entities as (kind, canonical, surrogate)."""
     if not _HINT.search(text):
         return text, []
     found: list[tuple[str, str, str]] = []
     parts: list[str] = []
-    at = 0
-    for m in _FIND.finditer(text):
+    at = place = inside = 0
+    while True:
+        m = (_INSIDE if place < inside else _FIND).search(text, place)
+        if m and place < inside <= m.start():
+            m = _FIND.search(text, place)
+        if not m:
+            break
         kind = next(k for k in PATTERNS if m.group(f"k_{k}") is not None)
         start, end = m.span(kind) if kind in ("secret", "name") else m.span()
-        made = surrogate(p, kind, text[start:end])
+        place, made = m.end(), surrogate(p, kind, text[start:end])
+        if made is None:
+            # No such entity: others may begin here, or anywhere within.
+            inside = max(inside, m.end())
+            kind, end, made = _other(p, text, m.start(), kind)
+            place = end if made else m.start() + 1
         if made is not None:
             parts += [text[at:start], made[2]]
             at = end
