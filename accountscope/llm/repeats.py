@@ -1,14 +1,14 @@
-"""Passages repeated across documents, by sparse suffix arrays.
+"""Passages repeated across documents, by sparse suffixes and exact windows.
 
 Suffixes are kept only at content-selected positions: word k-grams whose hash is the smallest of some window, so that
-every passage of ``length`` words holds one at the same place in each of its copies. K-grams that occur once in the
-corpus leave. The others are sorted with the words that follow and precede them, neighbours in that order are compared,
-and every match is extended to the right and to the left. Long matches become spans; spans of a document are merged.
-
-Suffixes sort once by what follows and once by what precedes them, each against several neighbours. Words are compared
-by 16-bit codes, at least ``length`` in a row. The sort is by ranges of the whole key, so a passage that a third of all
-documents share is spread over many tasks; every task compares within its range, and the ends of ranges are compared
-with one another afterwards.
+every passage of ``length`` words holds one at the same place in each of its copies. Every such passage contains the
+first words behind its suffix or those up to it, one of two stretches of more than half its length; suffixes neither of
+whose stretches occurs twice in the corpus leave. Around the others every window of ``length`` words is hashed, and the
+windows whose hash occurs twice are the repeats: no partner is left out, however many share parts of a text. Windows of
+a document are merged into spans.
+
+Windows are compared by 64-bit hashes of whole words. Counts are aggregated before they travel, so a passage that a
+third of all documents share is one row per task; joins with such counts split hot keys.
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accountscope.session import materialise
@@ -28,17 +27,21 @@ from accountscope.session import materialise
 
 @dataclass(frozen=True)
 class RepeatConfig:
-    """length: words of the shortest passage; gram: words of a minimiser; neighbours: suffixes compared on each side."""
+    """length: words of the shortest passage; gram: words of a minimiser."""
 
     length: int = 50
     gram: int = 8
-    neighbours: int = 3
 
     @property
     def window(self) -> int:
         """K-grams among which one is surely kept: a passage of ``length`` words has as many."""
         return self.length - self.gram + 1
 
+    @property
+    def before(self) -> int:
+        """Words before a suffix from which on a passage is sought by what precedes the suffix."""
+        return self.window // 2
+
 
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of lower-cased words, the same in every process."""
@@ -76,149 +79,76 @@ def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame, cfg: RepeatConfig) -> DataFrame:
-    """``doc, gram, pos`` for every kept suffix; docs: ``doc, text``."""
+    """``doc, pos, side, key`` for every kept suffix; docs: ``doc, text``.
+
+    side 0: hash of the words from the suffix on that a passage with fewer than ``cfg.before`` words before it holds;
+    side 1: hash of its gram and the ``cfg.before`` words before it, which any other passage holds.
+    """
+    right = cfg.length - cfg.before + 1
+    left = cfg.before + cfg.gram
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_, grams_, places = [], [], []
+            docs_, places, sides, keys = [], [], [], []
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-                g = gram_hashes(word_hashes(text), cfg.gram)
-                at = minimisers(g, cfg.window)
-                docs_.append(np.full(len(at), doc, np.int64))
-                grams_.append(g[at].view(np.int64))
-                places.append(at)
+                h = word_hashes(text)
+                at = minimisers(gram_hashes(h, cfg.gram), cfg.window)
+                for side, size, back in ((0, right, 0), (1, left, cfg.before)):
+                    hashes = gram_hashes(h, size)
+                    own = at[(at >= back) & (at - back < len(hashes))]
+                    docs_.append(np.full(len(own), doc, np.int64))
+                    places.append(own)
+                    sides.append(np.full(len(own), side, np.int32))
+                    keys.append(hashes[own - back].view(np.int64))
             if docs_:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs_, grams_, places)], names=["doc", "gram", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs_, places, sides, keys)], names=["doc", "pos", "side", "key"])
 
-    return docs.mapInArrow(sample, "doc bigint, gram bigint, pos bigint")
+    return docs.mapInArrow(sample, "doc bigint, pos bigint, side int, key bigint")
 
 
-def contexts(places: DataFrame, docs: DataFrame, cfg: RepeatConfig) -> DataFrame:
-    """``doc, pos, gram, right, left``: 16-bit codes of the words from a suffix on, and before it in reverse order.
-
-    A code is 0 only beyond the text's ends. places: ``doc, at`` (array of struct(pos, gram)).
-    """
-    reach = cfg.length
+def windows(places: DataFrame, docs: DataFrame, cfg: RepeatConfig) -> DataFrame:
+    """``doc, start, hash``: every window of ``cfg.length`` words around the places. places: ``doc, at`` (array of struct(pos, side))."""
+    backs = (np.arange(cfg.before), np.arange(cfg.before, cfg.window))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
+            docs_, starts_, hashes_ = [], [], []
             for doc, text, at in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "at"))):
-                codes = (word_hashes(text) % np.uint64(65535) + np.uint64(1)).astype(">u2")
-                padded = np.concatenate([np.zeros(reach, ">u2"), codes, np.zeros(reach, ">u2")])
+                hashes = gram_hashes(word_hashes(text), cfg.length)
+                wanted = np.zeros(len(hashes), bool)
                 for p in at:
-                    if p["pos"] >= len(codes):  # of another text under the same id
-                        continue
-                    i = p["pos"] + reach
-                    out.append((doc, p["pos"], p["gram"], padded[i:i + reach].tobytes(), padded[i - reach:i][::-1].tobytes()))
-            columns = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
-                 pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.binary())],
-                names=["doc", "pos", "gram", "right", "left"])
+                    s = p["pos"] - backs[p["side"]]
+                    wanted[s[(s >= 0) & (s < len(hashes))]] = True
+                starts = np.flatnonzero(wanted)
+                docs_.append(np.full(len(starts), doc, np.int64))
+                starts_.append(starts)
+                hashes_.append(hashes[starts].view(np.int64))
+            if docs_:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs_, starts_, hashes_)], names=["doc", "start", "hash"])
 
     joined = places.join(docs, "doc").select("doc", "text", "at")
-    return joined.mapInArrow(cut, "doc bigint, pos bigint, gram bigint, right binary, left binary")
-
-
-_MATCH = "doc bigint, start bigint, end bigint, partner bigint, part int, edge int, pos bigint, gram bigint, right binary, left binary"
-
-
-def _compare(cfg: RepeatConfig, edges: bool):
-    """Task that compares each suffix of a sorted partition with the next ``cfg.neighbours`` ones.
-
-    With ``edges`` it also passes on the first and last suffixes of its partition, for the comparison across borders.
-    """
-    reach, more = cfg.length, cfg.neighbours
-
-    def matched(rows: pd.DataFrame, fresh: int) -> pd.DataFrame:
-        """Matches of rows with rows up to ``more`` later, where the later one is at index ``fresh`` or beyond."""
-        right = np.frombuffer(b"".join(rows["right"]), ">u2").reshape(-1, reach)
-        left = np.frombuffer(b"".join(rows["left"]), ">u2").reshape(-1, reach)
-        gram, doc, pos = (rows[c].to_numpy() for c in ("gram", "doc", "pos"))
-        found = []
-        for step in range(1, more + 1):
-            i = np.arange(max(0, fresh - step), len(rows) - step)
-            if not len(i):
-                continue
-            j = i + step
-            ok = gram[i] == gram[j]
-            i, j = i[ok], j[ok]
-            r = np.logical_and.accumulate((right[i] == right[j]) & (right[i] != 0), axis=1).sum(axis=1)
-            l = np.logical_and.accumulate((left[i] == left[j]) & (left[i] != 0), axis=1).sum(axis=1)  # noqa: E741
-            hit = (r + l >= cfg.length) & (r >= cfg.gram)
-            i, j, r, l = i[hit], j[hit], r[hit], l[hit]  # noqa: E741
-            for x, y in ((i, j), (j, i)):
-                found.append(pd.DataFrame({"doc": doc[x], "start": pos[x] - l, "end": pos[x] + r, "partner": doc[y]}))
-        return pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("doc", "start", "end", "partner")})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId() if edges else 0
-        held, first, last = None, None, None
-        columns = ["doc", "pos", "gram", "right", "left"]
-
-        def edge(rows: pd.DataFrame, number: int) -> pd.DataFrame:
-            return rows[columns].assign(part=part, edge=np.arange(len(rows)) + number, start=0, end=0, partner=0)
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if first is None or len(first) < more:
-                first = rows.iloc[:more] if first is None else pd.concat([first, batch], ignore_index=True).iloc[:more]
-            found = matched(rows, 0 if held is None else len(held))
-            yield found.assign(part=0, edge=-1, pos=0, gram=0, right=None, left=None)[_ORDER]
-            held = rows.iloc[-more:].reset_index(drop=True)
-        if edges and held is not None:
-            yield edge(first, 0)[_ORDER]
-            # A short partition's rows are all among its first ones already.
-            rest = held.merge(first[["doc", "pos"]], how="left", indicator=True)
-            last = held[(rest["_merge"] == "left_only").to_numpy()]
-            if len(last):
-                yield edge(last, more)[_ORDER]
-
-    return run
-
-
-_ORDER = [c.split(" ")[0] for c in _MATCH.split(", ")]
+    return joined.mapInArrow(cut, "doc bigint, start bigint, hash bigint")
 
 
 def spans(docs: DataFrame, cfg: RepeatConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, start_word, end_word, n_words, partner_id``: merged repeated spans of every document, ends exclusive.
 
-    partner_id is the smallest id of a document found next to it. NULL ids and NULL or short texts have no spans. Rows
-    that share an id share their spans, found in any of their texts. Repeats within one text count too. Other columns
-    are ignored.
+    partner_id is the smallest id of a document that shares a window with it. NULL ids and NULL or short texts have no
+    spans. Rows that share an id share their spans, found in any of their texts. Repeats within one text count too.
+    Other columns are ignored.
     """
     cfg = cfg or RepeatConfig()
-    spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     sampled = materialise(suffixes(own, cfg), "suffixes")
-    often = sampled.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    places = sampled.join(often, "gram").groupBy("doc").agg(F.collect_list(F.struct("pos", "gram")).alias("at"))
-    places = materialise(places.withColumn("at", F.array_distinct("at")), "suffix-places")
-    cut = materialise(contexts(places, own, cfg), "suffix-contexts")
-
-    found = None
-    for key in (("gram", "right", "left", "doc", "pos"), ("gram", "left", "right", "doc", "pos")):
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = cut.repartitionByRange(n, *key).sortWithinPartitions(*key)
-        compared = materialise(ordered.mapInPandas(_compare(cfg, True), _MATCH), "suffix-matches")
-        # Bounded: a few rows per partition. Only they meet in one task.
-        ends = compared.where("edge >= 0").coalesce(1).sortWithinPartitions("part", "edge")
-        across = ends.mapInPandas(_compare(cfg, False), _MATCH)
-        both = compared.where("edge < 0").unionByName(across).select("doc", "start", "end", "partner")
-        found = both if found is None else found.unionByName(both)
-
-    # Spans of one document, merged: a fold over them in order.
-    per = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.min("partner").alias("partner"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when(F.size(acc) == 0, F.array(s)).when(s["start"] <= last["end"], grown).otherwise(F.array_append(acc, s))
-
-    merged = per.select("doc", "partner", F.explode(F.aggregate("spans", none, step)).alias("s"))
-    return merged.select(F.col("doc").alias(id_col), F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"),
-                         (F.col("s.end") - F.col("s.start")).alias("n_words"), F.col("partner").alias("partner_id"))
+    often = sampled.groupBy("side", "key").agg(F.count("*").alias("n")).where("n > 1").select("side", "key")
+    places = sampled.join(often, ["side", "key"]).groupBy("doc").agg(F.collect_set(F.struct("pos", "side")).alias("at"))
+    every = materialise(windows(places, own, cfg), "suffix-windows")
+
+    per = every.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc").alias("low")).where("n > 1").select("hash", "low")
+    found = every.join(per, "hash").groupBy("doc", "start").agg(F.min("low").alias("low"))
+    order = Window.partitionBy("doc").orderBy("start")
+    opens = F.coalesce(F.col("start") > F.lag("start").over(order) + cfg.length, F.lit(True))
+    begun = found.withColumn("opens", F.when(opens, F.col("start"))).withColumn("begin", F.max("opens").over(order))
+    merged = begun.groupBy("doc", "begin").agg((F.max("start") + cfg.length).alias("end"), F.min("low").alias("partner"))
+    return merged.select(F.col("doc").alias(id_col), F.col("begin").alias("start_word"), F.col("end").alias("end_word"),
+                         (F.col("end") - F.col("begin")).alias("n_words"), F.col("partner").alias("partner_id"))

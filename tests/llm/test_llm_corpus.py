@@ -200,6 +200,14 @@ def test_repeats_equal_all_windows(spark, docs):
     assert got == plain_repeats({r.doc_id: r.text for r in every.collect()}, 50)
 
 
+def test_repeats_of_frequent_lines_in_varying_order(spark):
+    rng = random.Random(5)
+    lines = [" ".join(f"l{k}w{i}" for i in range(14)) for k in range(15)]
+    made = [(k, " ".join(rng.choice(lines) for _ in range(10))) for k in range(1_500)]
+    got = covered(repeats.spans(spark.createDataFrame(made, "doc_id bigint, text string")).collect())
+    assert got == plain_repeats(dict(made), 50)
+
+
 def test_repeats_of_messy_rows(messy, nothing):
     got = covered(repeats.spans(messy).collect())
     assert set(got) == {6}  # the long text repeats itself; all others are short
