@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from accountscope.llm.graph import components
 from accountscope.session import materialise
 
 
@@ -131,9 +132,11 @@ def windows(places: DataFrame, docs: DataFrame, cfg: RepeatConfig) -> DataFrame:
 
 
 def spans(docs: DataFrame, cfg: RepeatConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, start_word, end_word, n_words, partner_id``: merged repeated spans of every document, ends exclusive.
+    """``id, start_word, end_word, n_words, partner_id, class_id, n_docs``: merged repeated spans of every document, ends exclusive.
 
-    partner_id is the smallest id of a document that shares a window with it. NULL ids and NULL or short texts have no
+    partner_id is a document that shares a window with the span: of the smallest ids of each window the smallest below
+    its own, else one above; its own where only its own text repeats. class_id is the same for all spans that shared
+    windows connect, directly or through others; n_docs is the number of documents in the class. NULL ids and NULL or short texts have no
     spans. Rows that share an id share their spans, found in any of their texts. Repeats within one text count too.
     Other columns are ignored.
     """
@@ -144,11 +147,23 @@ def spans(docs: DataFrame, cfg: RepeatConfig | None = None, id_col: str = "doc_i
     places = sampled.join(often, ["side", "key"]).groupBy("doc").agg(F.collect_set(F.struct("pos", "side")).alias("at"))
     every = materialise(windows(places, own, cfg), "suffix-windows")
 
-    per = every.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc").alias("low")).where("n > 1").select("hash", "low")
-    found = every.join(per, "hash").groupBy("doc", "start").agg(F.min("low").alias("low"))
+    often = every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     order = Window.partitionBy("doc").orderBy("start")
     opens = F.coalesce(F.col("start") > F.lag("start").over(order) + cfg.length, F.lit(True))
-    begun = found.withColumn("opens", F.when(opens, F.col("start"))).withColumn("begin", F.max("opens").over(order))
-    merged = begun.groupBy("doc", "begin").agg((F.max("start") + cfg.length).alias("end"), F.min("low").alias("partner"))
-    return merged.select(F.col("doc").alias(id_col), F.col("begin").alias("start_word"), F.col("end").alias("end_word"),
-                         (F.col("end") - F.col("begin")).alias("n_words"), F.col("partner").alias("partner_id"))
+    begun = every.join(often, "hash").withColumn("opens", F.when(opens, F.col("start"))).withColumn("begin", F.max("opens").over(order))
+    placed = materialise(begun.select("doc", "start", "hash", "begin", F.xxhash64("doc", "begin").alias("node")), "repeat-windows")
+
+    # Every span is linked with the first one of each of its windows, so classes lose no link and stay linear in size.
+    firsts = placed.groupBy("hash").agg(F.min("node").alias("first"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    per = placed.join(firsts, "hash").groupBy("doc", "begin", "node", "first").agg(
+        F.max("start").alias("last"), F.min(F.when(F.col("low") < F.col("doc"), F.col("low"))).alias("below"),
+        F.min(F.when(F.col("high") > F.col("doc"), F.col("high"))).alias("above"))
+    per = materialise(per, "repeat-links")
+    roots = components(per.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    whole = per.groupBy("doc", "begin", "node").agg(
+        (F.max("last") + cfg.length).alias("end"), F.coalesce(F.min("below"), F.min("above"), F.col("doc")).alias("partner"))
+    classed = materialise(whole.join(roots, "node", "left").withColumn("class_id", F.coalesce("root", "node")), "repeat-spans")
+    sizes = classed.groupBy("class_id").agg(F.count_distinct("doc").alias("n_docs"))
+    return classed.join(sizes, "class_id").select(
+        F.col("doc").alias(id_col), F.col("begin").alias("start_word"), F.col("end").alias("end_word"),
+        (F.col("end") - F.col("begin")).alias("n_words"), F.col("partner").alias("partner_id"), "class_id", "n_docs")

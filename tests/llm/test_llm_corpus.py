@@ -208,6 +208,18 @@ def test_repeats_of_frequent_lines_in_varying_order(spark):
     assert got == plain_repeats(dict(made), 50)
 
 
+def test_repeats_keep_the_links_of_each_span(spark):
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    filler = lambda k: [f"f{k}n{i}" for i in range(70)]
+    texts = {7: a + filler(7) + b, 100: filler(100) + a, 3: b + filler(3), 9: c + filler(9) + c}
+    rows = repeats.spans(spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id bigint, text string")).collect()
+    got = {(r.doc_id, r.start_word): r for r in rows}
+    assert {k: (r.partner_id, r.n_docs) for k, r in got.items()} == {
+        (7, 0): (100, 2), (100, 70): (7, 2), (7, 130): (3, 2), (3, 0): (7, 2), (9, 0): (9, 1), (9, 130): (9, 1)}
+    assert got[7, 0].class_id == got[100, 70].class_id and got[7, 130].class_id == got[3, 0].class_id
+    assert got[9, 0].class_id == got[9, 130].class_id and len({r.class_id for r in rows}) == 3
+
+
 def test_repeats_of_messy_rows(messy, nothing):
     got = covered(repeats.spans(messy).collect())
     assert set(got) == {6}  # the long text repeats itself; all others are short
