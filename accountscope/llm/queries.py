@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accountscope.llm import chat, fingerprints, licenses, mixing, packing, pii, quality, repeats, simhash, urls
+from accountscope.llm import centroids, chat, fingerprints, language, licenses, mixing, packing, pii, quality, repeats, search, simhash, urls
 from accountscope.llm.common import table
 from accountscope.session import tune
 
@@ -132,3 +132,62 @@ SELECT doc_id, size, source_size, target, (size * (copies + CASE
 FROM m""")
 def op10_mixing(spark, folder):
     return mixing.report(table(spark, folder, "documents"))
+
+
+@query(r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+total AS (SELECT count(*) FILTER (len(terms) > 0)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+gain AS (
+  SELECT row, doc_id, term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))) AS gain
+  FROM tf JOIN df USING (term), total),
+s AS (SELECT item_id, row, doc_id, sum(gain)::BIGINT AS score FROM q JOIN gain USING (term) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10""")
+def op11_search(spark, folder):
+    return search.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def _kmeans_sql(rounds: int = 10) -> str:
+    """The rounds written out, one after another."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT row, any_value(v.vec_id) AS vec_id, any_value(v.q) AS q,
+         min([list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, c.c]) AS near
+  FROM kept v, c{r} c GROUP BY row)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (
+  SELECT c, list(sum // n - CASE WHEN sum % n < 0 THEN 1 ELSE 0 END ORDER BY i) AS q FROM (
+    SELECT near[2] AS c, i, sum(x)::BIGINT AS sum, count(*) AS n
+    FROM (SELECT near, unnest(q) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY ALL) GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(s{r}.q, c{r}.q) AS q FROM c{r} LEFT JOIN s{r} USING (c))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), q) - 1 AS c, q FROM kept QUALIFY c < 8),
+{", ".join(steps)}
+SELECT vec_id, near[2]::INT AS cluster, near[1] AS distance, (sum(near[1]) OVER (PARTITION BY near[2]))::BIGINT AS cluster_inertia,
+       (sum(near[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.c = near[2]"""
+
+
+@query(_kmeans_sql())
+def op12_centroids(spark, folder):
+    return centroids.cluster(table(spark, folder, "embeddings"))[0]
+
+
+@query()
+def op13_language(spark, folder):
+    return language.predict(table(spark, folder, "documents"))
