@@ -705,7 +705,7 @@ def kmeans_step(spark, folder):
 def kmeans_fit(spark, folder):
     columns = ["num_events", "mean_value"]
     scaled = cluster.standard_scale(_event_measures(spark, folder), columns)
-    fitted = cluster.kmeans_fit(scaled, columns)
+    fitted = cluster.kmeans_fit(scaled, columns, key="user_id")
     return cluster.assign_cluster(scaled, fitted).select("user_id", "cluster")
 
 

@@ -105,7 +105,7 @@ def cluster_accounts(
     master = materialise(prep.consolidate(static, dynamic, key), "master")
     chosen = choose_cluster_features(master, cfg, key)
     scaled = cluster.standard_scale(chosen, cfg.features)
-    fitted = cluster.kmeans_fit(scaled, cfg.features, cfg)
+    fitted = cluster.kmeans_fit(scaled, cfg.features, cfg, key)
     numbered = cluster.assign_cluster(scaled, fitted).select(key, "cluster")
     clustered = materialise(master.join(numbered, key), "clustered")
     return clustered, cluster.cluster_composition(clustered)

@@ -89,7 +89,7 @@ def main() -> None:
     again = ClusterConfig()
     scaled = cluster.standard_scale(grown, again.features)
     numbered = timed("clustering_grown", lambda: materialise(
-        cluster.assign_cluster(scaled, cluster.kmeans_fit(scaled, again.features, again)).select("user_id", "cluster")))
+        cluster.assign_cluster(scaled, cluster.kmeans_fit(scaled, again.features, again, "user_id")).select("user_id", "cluster")))
     grown = materialise(grown.join(numbered, "user_id"))
     timed("classification_grown", lambda: classify.per_cluster_models(grown, ClassifyConfig(parallelism=int(CPUS))).collect())
 

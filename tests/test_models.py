@@ -140,6 +140,35 @@ def test_kmeans_best_start_and_stable_numbers(spark):
     assert found == {i: i % 3 for i in range(30)}
 
 
+@pytest.mark.parametrize("n", [20_000, 400_000])
+def test_kmeans_finds_a_far_group_at_every_size(spark, n):
+    """Five far rows among n even ones: no start that draws by distance misses them, whatever n is."""
+    even = spark.range(n, numPartitions=8).select("id", (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("x"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) / 1000).alias("y"))
+    far = spark.range(n, n + 5).select("id", F.lit(60.0).alias("x"), F.lit(60.0).alias("y"))
+    df = even.unionByName(far)
+    fitted = cluster.kmeans_fit(df, ["x", "y"], ClusterConfig(), key="id")
+    assert fitted.centres[-1] == pytest.approx([60, 60], abs=1e-6)
+    assert fitted.cost < 0.13 * n
+    assert sum(c < 0.13 * n for c in fitted.costs) >= len(fitted.costs) // 2
+
+
+def test_kmeans_starts_do_not_depend_on_partitions_or_equal_rows(spark):
+    rows = [(i, float(i % 7), float(i % 5)) for i in range(300)] + [(i, 2.0, 3.0) for i in range(300, 500)]
+    df = spark.createDataFrame(rows, "user_id INT, x DOUBLE, y DOUBLE")
+    a = cluster.kmeans_fit(df.coalesce(1), ["x", "y"], ClusterConfig(n_init=3), "user_id")
+    b = cluster.kmeans_fit(df.repartition(7), ["x", "y"], ClusterConfig(n_init=3), "user_id")
+    assert np.allclose(a.centres, b.centres) and a.cost == pytest.approx(b.cost)
+    same = spark.createDataFrame([(i, 1.0) for i in range(20)], "user_id INT, x DOUBLE")
+    assert cluster.kmeans_fit(same, ["x"], ClusterConfig(n_init=2)).cost == 0
+
+
+def test_draws_follow_squared_distances(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 3.0).when(F.col("id") % 3 == 1, 1.0).otherwise(0.0).alias("x0"), F.col("id").alias("row"))
+    drawn = cluster._drawn(df, np.zeros((40, 1, 1)), 40, 10, 1)
+    values = np.concatenate(drawn)[:, 0]
+    assert len(values) == 400 and 0.85 < (values == 3).mean() < 0.95 and set(values) == {1.0, 3.0}
+
+
 def test_composition_counts_absent_class(spark):
     df = spark.createDataFrame([(0, 1), (0, 1), (1, 0)], "cluster INT, user_type INT")
     found = {tuple(r) for r in cluster.cluster_composition(df).collect()}
