@@ -149,7 +149,6 @@ def test_kmeans_finds_a_far_group_at_every_size(spark, n):
     fitted = cluster.kmeans_fit(df, ["x", "y"], ClusterConfig(), key="id")
     assert fitted.centres[-1] == pytest.approx([60, 60], abs=1e-6)
     assert fitted.cost < 0.13 * n
-    assert sum(c < 0.13 * n for c in fitted.costs) >= len(fitted.costs) // 2
 
 
 def test_kmeans_starts_do_not_depend_on_partitions_or_equal_rows(spark):
