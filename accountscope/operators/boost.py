@@ -1,13 +1,15 @@
 """Boosted stumps (SAMME.R, or discrete SAMME) for many training sets at once.
 
-The training table is binned once and never rewritten: a row's weight follows
-from the stumps found so far, so each round ships the small model out and brings
-weighted class histograms back. One job per round, whatever the number of models.
+The training table is binned once. A row's weight follows from the stumps found so
+far, so each round ships the small model out and brings weighted class histograms
+back; every few rounds the weights so far are written beside the rows. One job per
+round, whatever the number of models.
 """
 
 from __future__ import annotations
 
 import math
+import statistics
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 
 from accountscope.operators import many
 from accountscope.operators.many import ModelId, ModelTable
-from accountscope.session import compact
+from accountscope.session import compact, materialise
 
 PERCENTILE_ACCURACY = 10_000
+#: Rounds after which rows' weights are written down.
+STATE_ROUNDS = 8
 #: Logarithms of weights are at most this, so that no weight is infinite.
 LARGEST_LOG_WEIGHT = 700.0
 #: Class shares are at least this before their logarithm is taken.
@@ -126,10 +130,11 @@ def bin_table(table: ModelTable, max_bins: int = 32) -> BinnedTable:
     """Replace values by bin numbers, once; the result is all integers."""
     thresholds = feature_thresholds(table, max_bins)
     columns = table.columns
+    kept = [c for c in table.rows.columns if c not in columns]
 
     def to_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = {c: pdf[c] for c in ("cluster", "label", "test")}
+            out = {c: pdf[c] for c in kept}
             clusters = pdf["cluster"].to_numpy()
             for i, name in enumerate(columns):
                 values, bins = pdf[name].to_numpy(), np.zeros(len(pdf), dtype="int32")
@@ -139,35 +144,73 @@ def bin_table(table: ModelTable, max_bins: int = 32) -> BinnedTable:
                 out[name] = bins
             yield pd.DataFrame(out)
 
-    schema = "cluster INT, label INT, test BIGINT, " + ", ".join(f"{n} INT" for n in columns)
+    schema = ", ".join(f"{c} {table.rows.schema[c].dataType.simpleString()}" for c in kept) + ", " + ", ".join(f"{n} INT" for n in columns)
     return BinnedTable(replace(table, rows=table.rows.mapInPandas(to_bins, schema)), thresholds)
 
 
-def _weights(stumps: list[Stump], bins: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Each row's weight: what the stumps so far raise it by, exponentiated."""
-    total = np.zeros(len(labels))
+def folded_table(df: DataFrame, folds: int, key: str, max_bins: int) -> BinnedTable:
+    """Binned rows of ``features``, ``label`` and ``fold``; model ``(0, s)`` trains on all folds but ``s``."""
+    classes = many.distinct_classes(df, "label")
+    width = len(df.select("features").first()[0])
+    flagged = df.select("label", F.array(*[F.col("fold") == s for s in range(folds)]).alias("flags"),
+                        vector_to_array("features").alias("v"), F.xxhash64(key).alias("row"))
+    table = many.model_table(flagged, [F.col("v")[i] for i in range(width)], "label", classes, None, [0], "flags", folds, carry=["row"])
+    return bin_table(table, max_bins)
+
+
+def _raised(total: np.ndarray, stumps: Sequence[Stump], bins: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Logarithms of weights, after the given stumps have raised them."""
     for s in stumps:
-        total += np.asarray(s.raises)[(bins[:, s.feature] > s.cut).astype(int), labels]
-    return np.exp(np.minimum(total, LARGEST_LOG_WEIGHT))
+        total = total + np.asarray(s.raises)[(bins[:, s.feature] > s.cut).astype(int), labels]
+    return total
+
+
+def _held(pdf: pd.DataFrame, width: int) -> np.ndarray:
+    """``[row, model]``: the logarithms of weights that the table holds, 0 before they are first written."""
+    if "state" not in pdf.columns:
+        return np.zeros((len(pdf), width))
+    return np.frombuffer(b"".join(pdf["state"])).reshape(len(pdf), width)
 
 
-def _histograms(binned: BinnedTable, models: dict[ModelId, list[Stump]]) -> dict[ModelId, np.ndarray]:
-    """Weighted class histograms ``[feature, bin, class]`` of every open model's training rows."""
+def _histograms(binned: BinnedTable, order: Sequence[ModelId], models: dict[ModelId, list[Stump]]) -> dict[ModelId, np.ndarray]:
+    """Weighted class histograms ``[feature, bin, class]`` of every open model's training rows.
+
+    ``order`` lists the models behind the table's running weights, ``models`` the open ones with the stumps found since.
+    """
     columns = binned.table.columns
     f, b, k = len(columns), binned.width, len(binned.table.classes)
+    place = {m: i for i, m in enumerate(order)}
 
     def add(sums: dict[ModelId, np.ndarray], pdf: pd.DataFrame) -> None:
         cluster, label, test, bins = many.split_batch(pdf, columns)
-        cells = (np.arange(f) * b + bins) * k + label[:, None]
+        cells, held = (np.arange(f) * b + bins) * k + label[:, None], _held(pdf, len(order))
         for m, stumps in models.items():
             rows = many.in_training(m, cluster, test)
             if rows.any():
-                w = _weights(stumps, bins[rows], label[rows])
+                w = np.exp(np.minimum(_raised(held[rows, place[m]], stumps, bins[rows], label[rows]), LARGEST_LOG_WEIGHT))
                 sums[m] += np.bincount(cells[rows].ravel(), weights=np.repeat(w, f), minlength=f * b * k)
 
     return {m: h.reshape(f, b, k) for m, h in many.summed(binned.table, sorted(models), f * b * k, add).items()}
 
 
+def _advanced(binned: BinnedTable, order: Sequence[ModelId], since: dict[ModelId, list[Stump]]) -> BinnedTable:
+    """The table with running weights that include the stumps ``since`` they were last written, stored anew."""
+    columns = binned.table.columns
+    rows = binned.table.rows
+
+    def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            _, label, _, bins = many.split_batch(pdf, columns)
+            held = _held(pdf, len(order)).copy()
+            for i, m in enumerate(order):
+                held[:, i] = _raised(held[:, i], since[m], bins, label)
+            yield pdf.assign(state=[x.tobytes() for x in held])
+
+    schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema.fields if x.name != "state") + ", state BINARY"
+    stored = materialise(rows.mapInPandas(advance, schema), "boosting-weights")
+    return replace(binned, table=replace(binned.table, rows=stored.coalesce(binned.table.tasks)))
+
+
 def _gini_mass(w: np.ndarray) -> np.ndarray:
     total = w.sum(axis=-1)
     return total - np.divide((w * w).sum(axis=-1), total, out=np.zeros_like(total), where=total > 0)
@@ -222,15 +265,30 @@ def boost(
 
     A model stops early when a stump is perfect or, under SAMME, no better than chance.
     """
+    found = boost_rates(binned, {learning_rate: rounds}, algorithm)
+    return {m[:2]: model for m, model in found.items()}
+
+
+def boost_rates(binned: BinnedTable, rounds: dict[float, int], algorithm: str = "SAMME.R") -> dict[tuple, BoostedStumps]:
+    """One boosted model per ``(cluster, split, learning rate)``; all of them share every pass.
+
+    ``rounds`` gives the length for each rate. Every ``STATE_ROUNDS`` rounds the rows' weights are written down, so that a
+    late round costs what an early one does.
+    """
     k = len(binned.table.classes)
-    models = {m: BoostedStumps(binned.table.classes) for m in binned.table.models}
-    still_open = set(models)
-    for _ in range(rounds):
+    order = [(*m, rate) for m in binned.table.models for rate in sorted(rounds)]
+    models = {m: BoostedStumps(binned.table.classes) for m in order}
+    written = {m: 0 for m in order}
+    still_open = {m for m in order if rounds[m[2]] > 0}
+    for done in range(max(rounds.values(), default=0)):
         if not still_open:
             break
-        found = _histograms(binned, {m: models[m].stumps for m in still_open})
+        if done and done % STATE_ROUNDS == 0:
+            binned = _advanced(binned, order, {m: models[m].stumps[written[m]:] if m in still_open else [] for m in order})
+            written = {m: len(models[m].stumps) for m in order}
+        found = _histograms(binned, order, {m: models[m].stumps[written[m]:] for m in still_open})
         for m, histogram in found.items():
-            model = models[m]
+            model, rate = models[m], m[2]
             if histogram.sum() <= 0:
                 still_open.discard(m)
                 continue
@@ -245,14 +303,56 @@ def boost(
                     continue
                 alpha = 1.0
             else:
-                alpha = learning_rate * (math.log((1 - error) / error) + math.log(k - 1))
+                alpha = rate * (math.log((1 - error) / error) + math.log(k - 1))
             alpha = 1.0 if real else alpha
-            votes, raises = _real(k, sides, learning_rate) if real else _discrete(k, left, right, alpha)
+            votes, raises = _real(k, sides, rate) if real else _discrete(k, left, right, alpha)
             model.stumps.append(Stump(feature, cut, threshold, left, right, alpha, votes, raises))
             model.errors.append(0.0 if perfect else error)
+            if len(model.stumps) >= rounds[rate]:
+                still_open.discard(m)
     return models
 
 
+def staged_accuracy(binned: BinnedTable, models: dict[tuple, BoostedStumps], stages: Sequence[int]) -> dict[tuple, dict[int, float]]:
+    """Per model and number of first rounds, the share of its test part that is predicted rightly; one pass for all."""
+    columns, width = binned.table.columns, len(stages) + 1
+
+    def add(sums: dict[tuple, np.ndarray], pdf: pd.DataFrame) -> None:
+        cluster, label, test, bins = many.split_batch(pdf, columns)
+        for m, model in models.items():
+            rows = (cluster == m[0]) & ((test >> m[1]) & 1 == 1)
+            votes = np.zeros((int(rows.sum()), len(model.classes)))
+            hits, own = {0: float((label[rows] == 0).sum())}, bins[rows]
+            for n, s in enumerate(model.stumps, 1):
+                votes = votes + np.asarray(s.votes)[(own[:, s.feature] > s.cut).astype(int)]
+                hits[n] = float((votes.argmax(axis=1) == label[rows]).sum())
+            sums[m] += [*(hits[min(n, len(model.stumps))] for n in stages), len(votes)]
+
+    found = many.summed(binned.table, sorted(models), width, add)
+    return {m: {n: float(x[i] / max(x[-1], 1)) for i, n in enumerate(stages)} for m, x in found.items()}
+
+
+def search(df: DataFrame, estimator: AdaBoostClassifier, grid: Sequence[dict], key: str, folds: int) -> list[tuple[dict, float, float]]:
+    """``(point, mean accuracy, its standard deviation)`` of all rates and numbers of rounds over the folds of ``df``.
+
+    All folds and rates are models of one boosting run; shorter models are the first rounds of longer ones.
+    """
+    points = [(p.get(estimator.learningRate, estimator.getOrDefault("learningRate")), p.get(estimator.rounds, estimator.getOrDefault("rounds"))) for p in grid]
+    wanted = {rate: max(n for r, n in points if r == rate) for rate, _ in points}
+    binned = folded_table(df, folds, key, estimator.getOrDefault("maxBins"))
+    binned.table.rows = compact(binned.table.rows, df.count()).persist()
+    try:
+        models = boost_rates(binned, wanted, estimator.getOrDefault("algorithm"))
+        accuracy = staged_accuracy(binned, models, sorted({n for _, n in points}))
+    finally:
+        binned.table.rows.unpersist()
+    scores = []
+    for point, (rate, n) in zip(grid, points):
+        own = [accuracy[(0, s, rate)][n] for s in range(folds)]
+        scores.append((point, statistics.fmean(own), statistics.pstdev(own)))
+    return scores
+
+
 class _BoostParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     rounds = Param(Params._dummy(), "rounds", "boosting rounds (>= 1)", TypeConverters.toInt)
     learningRate = Param(Params._dummy(), "learningRate", "shrinks every stump's vote", TypeConverters.toFloat)
@@ -281,7 +381,7 @@ class AdaBoostClassifier(Estimator, _BoostParams):
         binned = bin_table(table, self.getOrDefault(self.maxBins))
         binned.table.rows = compact(binned.table.rows, df.count()).persist()
         try:
-            return {rate: boost(binned, rounds, rate, self.getOrDefault(self.algorithm))[(0, 0)] for rate, rounds in wanted.items()}
+            return {m[2]: model for m, model in boost_rates(binned, wanted, self.getOrDefault(self.algorithm)).items()}
         finally:
             binned.table.rows.unpersist()
 

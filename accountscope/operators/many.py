@@ -53,9 +53,9 @@ def _test_bits(flags: str | None, n_splits: int) -> Column:
 
 def model_table(
     df: DataFrame, values: Sequence[Column], label: str, classes: list[int], cluster: str | None, clusters: list[int],
-    flags: str | None, n_splits: int,
+    flags: str | None, n_splits: int, carry: Sequence[str] = (),
 ) -> ModelTable:
-    """Narrow, purely numeric training table; ``flags`` names an ``ARRAY<BOOLEAN>`` of test parts."""
+    """Narrow, purely numeric training table; ``flags`` names an ``ARRAY<BOOLEAN>`` of test parts, ``carry`` BIGINT columns to keep."""
     if n_splits > MAX_SPLITS:
         raise ValueError(f"at most {MAX_SPLITS} splits")
     position = F.array_position(F.array(*map(F.lit, classes)), F.col(label).cast("int")) - 1
@@ -65,6 +65,7 @@ def model_table(
         position.cast("int").alias("label"),
         _test_bits(flags, n_splits).alias("test"),
         *[v.cast("double").alias(n) for v, n in zip(values, names)],
+        *carry,
     )
     return ModelTable(rows, names, classes, clusters, n_splits)
 
@@ -76,6 +77,14 @@ def distinct_classes(df: DataFrame, label: str, limit: int = 1000) -> list[int]:
     return sorted(row[0] for row in found)
 
 
+def uniform(rows: np.ndarray, salt: int) -> np.ndarray:
+    """A number in (0, 1) per row id, the same in every task and attempt."""
+    h = rows.astype(np.int64).view(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 + 2.0**-54
+
+
 def split_batch(pdf: pd.DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     cluster, label, test = (pdf[c].to_numpy() for c in ("cluster", "label", "test"))
     return cluster, label, test, pdf[columns].to_numpy()

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import statistics
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accountscope.operators import boost, metrics, splits, svm
+from accountscope.operators import boost, metrics, splits, svm, trees
 from accountscope.session import compact, materialise
 
 # The searched grids.
@@ -28,6 +24,12 @@ RATES = [10.0**e for e in range(-6, 3)]
 PENALTIES = [10.0**e for e in range(-4, 2)]
 ITERATIONS = list(range(300, 1000, 100))
 
+#: Estimators whose grids train in shared passes, as far as these parameters go.
+SHARED = [
+    ((DecisionTreeClassifier, RandomForestClassifier), {"impurity", "maxDepth", "minInstancesPerNode", "numTrees"}, trees.search),
+    (boost.AdaBoostClassifier, {"rounds", "learningRate"}, boost.search),
+]
+
 
 def grid_dt(criteria=CRITERIA, depths=DEPTHS, leaves=LEAVES, seed: int = 42) -> tuple[Estimator, list[dict]]:
     tree = DecisionTreeClassifier(seed=seed)
@@ -35,9 +37,9 @@ def grid_dt(criteria=CRITERIA, depths=DEPTHS, leaves=LEAVES, seed: int = 42) ->
     return tree, grid.addGrid(tree.minInstancesPerNode, leaves).build()
 
 
-def grid_rf(trees=TREES, criteria=CRITERIA, depths=DEPTHS, leaves=LEAVES, seed: int = 42) -> tuple[Estimator, list[dict]]:
+def grid_rf(sizes=TREES, criteria=CRITERIA, depths=DEPTHS, leaves=LEAVES, seed: int = 42) -> tuple[Estimator, list[dict]]:
     forest = RandomForestClassifier(featureSubsetStrategy="sqrt", seed=seed)
-    grid = ParamGridBuilder().addGrid(forest.numTrees, trees).addGrid(forest.impurity, criteria)
+    grid = ParamGridBuilder().addGrid(forest.numTrees, sizes).addGrid(forest.impurity, criteria)
     return forest, grid.addGrid(forest.maxDepth, depths).addGrid(forest.minInstancesPerNode, leaves).build()
 
 
@@ -99,56 +101,21 @@ def grid_report(
     return found, report.unionByName(long(metrics.report_avg(prf), "weighted_", none)).unionByName(cells)
 
 
-def _nested_forests(cached: DataFrame, forest: RandomForestClassifier, grid: list[dict], folds: int, parallelism: int) -> GridResult:
-    """Search over forests: the first trees of a large forest are the smaller forests of the grid.
-
-    One fit and one pass over the left-out fold for every fold and setting of all other parameters.
-    """
-    families: dict[frozenset, list[int]] = {}
-    for i, point in enumerate(grid):
-        families.setdefault(frozenset((p, v) for p, v in point.items() if p.name != "numTrees"), []).append(i)
-    sizes = [point.get(forest.numTrees, forest.getNumTrees()) for point in grid]
-
-    @inheritable_thread_target(cached.sparkSession)
-    def run(task: tuple[frozenset, int]) -> dict[int, float]:
-        family, fold = task
-        members = families[family]
-        largest = forest.copy(dict(family) | {forest.numTrees: max(sizes[i] for i in members)})
-        trees = largest.fit(cached.where(F.col("fold") != fold)).trees
-        scored = cached.where(F.col("fold") == fold).select("features", "label")
-        for k, tree in enumerate(trees):
-            tree.setPredictionCol(f"p{k}").setRawPredictionCol(f"r{k}").setProbabilityCol(f"q{k}")
-            scored = tree.transform(scored).drop(f"p{k}", f"r{k}")
-        votes, hits = None, {}
-        for k in range(len(trees)):
-            own = vector_to_array(F.col(f"q{k}"))
-            votes = own if votes is None else F.zip_with(votes, own, lambda a, b: a + b)
-            hits[k + 1] = F.avg((F.array_position(votes, F.array_max(votes)) - 1 == F.col("label")).cast("double")).alias(f"a{k + 1}")
-        row = scored.agg(*[hits[n] for n in sorted({sizes[i] for i in members})]).first()
-        return {i: row[f"a{sizes[i]}"] or 0.0 for i in members}
-
-    found: dict[int, list[float]] = {i: [] for i in range(len(grid))}
-    with ThreadPool(parallelism) as pool:
-        for part in pool.imap_unordered(run, [(family, fold) for family in families for fold in range(folds)]):
-            for i, accuracy in part.items():
-                found[i].append(accuracy)
-    scores = [(point, statistics.fmean(found[i]), statistics.pstdev(found[i])) for i, point in enumerate(grid)]
-    best = max(range(len(grid)), key=lambda i: (scores[i][1], -i))
-    return GridResult(forest.copy(grid[best]).fit(cached), scores)
-
-
 def grid_search(
     df: DataFrame, estimator: Estimator, grid: list[dict], key: str = "user_id", folds: int = 10, seed: int = 42, parallelism: int = 8
 ) -> GridResult:
     """Mean accuracy of every grid point over stratified folds; the best point is refitted on all rows.
 
-    ``df`` carries ``features`` and ``label``.
+    ``df`` carries ``features`` and ``label``. Trees, forests and boosted models of all points and folds train in shared passes.
     """
     folded = splits.stratified_kfold(df.select(key, "features", "label"), key, "label", folds, seed)
     cached = compact(folded.withColumn("fold", F.col("fold").cast("int")), df.count()).persist()
     try:
-        if isinstance(estimator, RandomForestClassifier) and any(p.name == "numTrees" for point in grid for p in point):
-            return _nested_forests(cached, estimator, grid, folds, parallelism)
+        shared = next((run for kinds, names, run in SHARED if isinstance(estimator, kinds) and {p.name for point in grid for p in point} <= names), None)
+        if shared:
+            scores = shared(cached, estimator, grid, key, folds)
+            best = max(range(len(grid)), key=lambda i: (scores[i][1], -i))
+            return GridResult(estimator.copy(grid[best]).fit(cached), scores)
         search = CrossValidator(
             estimator=estimator,
             estimatorParamMaps=grid,
