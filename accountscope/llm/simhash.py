@@ -47,8 +47,8 @@ def simhash(text: str | None, size: int = 3) -> int:
 
 
 @F.pandas_udf(T.LongType())
-def simhash_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([simhash(t) for t in texts], np.uint64).view(np.int64))
+def simhash_udf(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+    return pd.Series(np.array([simhash(t, n) for t, n in zip(texts, sizes)], np.uint64).view(np.int64))
 
 
 def bands(radius: int) -> list[tuple[int, int]]:
@@ -57,7 +57,7 @@ def bands(radius: int) -> list[tuple[int, int]]:
     return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, smallest node of its component) that connect what the pairs a, b of 0..n-1 connect."""
     label = np.arange(n)
     while True:
@@ -99,7 +99,7 @@ def _tile_links(fps: np.ndarray, side: np.ndarray, band: int, radius: int) -> tu
     once = np.ones(len(a), bool)
     for shift, mask in bands(radius)[:band]:
         once &= (((fps[a] ^ fps[b]) >> np.uint64(shift)) & np.uint64(mask)) != 0
-    nodes, roots = _forest(a[once], b[once], len(fps))
+    nodes, roots = forest(a[once], b[once], len(fps))
     return fps[nodes], fps[roots]
 
 
@@ -162,20 +162,28 @@ def links(fingerprints: DataFrame, radius: int = 2, tile: int = 2048) -> DataFra
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """``id, fp, component_id``: the component's smallest id over links of at most ``radius`` differing bits.
-
-    NULL text counts as empty: fingerprint zero, linked like any other. Repeated rows stay, in one component. NULL ids
-    are never the smallest; a component of NULL ids only has a NULL component id. Other columns are ignored.
-    """
-    own = materialise(docs.select(F.col(id_col).alias("id"), simhash_udf(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")), "simhash")
+def _components(docs: DataFrame, id_col: str, text_col: str, radius: int, size: int) -> DataFrame:
+    """``id, fp, hash, component_id`` of every row; hash tells texts apart."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    fingerprint = simhash_udf(text, F.lit(size))
+    own = materialise(docs.select(F.col(id_col).alias("id"), fingerprint.alias("fp"), F.xxhash64(F.col(text_col)).alias("hash")), "simhash")
     classes = materialise(own.groupBy("fp").agg(F.min("id").alias("head")), "simhash-classes")
     roots = components(links(classes.select("fp"), radius))
     labelled = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "head", F.coalesce("root", "fp").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("head").alias("component_id"))
-    named = materialise(labelled.join(smallest, "root").select("fp", "component_id"), "simhash-components")
-    return own.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = materialise(labelled.join(smallest, "root").select("fp", "root", "component_id"), "simhash-components")
+    return own.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, size: int = 3) -> DataFrame:
+    """``id, fp, component_id``: the component's smallest id over links of at most ``radius`` differing bits.
+
+    Fingerprints are made of shingles of ``size`` words. NULL text counts as empty: fingerprint zero, linked like any
+    other. Repeated rows stay, in one component. NULL ids are never the smallest; a component of NULL ids only has a NULL
+    component id. Other columns are ignored.
+    """
+    return _components(docs, id_col, text_col, radius, size).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def hex64(fp: Column) -> Column:
@@ -183,18 +191,17 @@ def hex64(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """The rows of ``docs``, all columns, reduced to one row of each component: that of the smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, size: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, reduced to one row of each component.
 
-    Of rows with that same id one stays, the first by text. Rows without an id can't be told apart: where a component
-    has no other rows, each different text of theirs stays once.
+    That of the smallest id stays, NULL ids behind all others; of its texts in the component the one with the smallest
+    hash, and of equal rows any one. An id whose texts lie in several components may stay in each of them.
     """
-    def named(value: Column) -> Column:
-        return F.coalesce(value.cast("string"), F.lit("NULL"))
-
-    found = near_duplicates(docs, id_col, text_col, radius)
-    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(named(F.col(id_col)).alias("head")).distinct()
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), named(F.col(id_col)).alias("head"))
-    text = F.col(f"row.{text_col}")
-    first = Window.partitionBy("head", F.when(F.col("head") == "NULL", text)).orderBy(text)
-    return whole.join(heads, "head", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
+    found = _components(docs, id_col, text_col, radius, size)
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("one"))
+    heads = chosen.select(F.struct("one.id", "one.hash").alias("head")).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                        F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash")).alias("head"))
+    stay = whole.join(heads, whole["head"].eqNullSafe(heads["head"]), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("head").orderBy("head"))
+    return stay.withColumn("nth", nth).where("nth = 1").select("row.*")

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from accountscope.llm import graph, mixing, packing, pii, repeats, shingles, simhash
+from accountscope.llm import graph, mixing, packing, pii, repeats, simhash
 
 
 def union_find(pairs):
@@ -116,51 +116,33 @@ def test_one_row_of_each_group_stays(messy, nothing):
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
     found = {r.doc_id: r.component_id for r in simhash.near_duplicates(messy).collect() if r.doc_id is not None}
     assert found[2] == found[3] == found[4] == 2 and found[8] == -9
-    assert ids.count(5) == 1 and 3 not in ids and 4 not in ids and 8 not in ids
+    # The two texts of id 5 are in components of their own: one row of each.
+    assert ids.count(5) == 2 and 3 not in ids and 4 not in ids and 8 not in ids
+    every = simhash._components(messy, "doc_id", "text", 2, 3)
+    assert len(ids) == every.select("root").distinct().count()
     assert simhash.keep_one(nothing).count() == 0 and simhash.near_duplicates(nothing).count() == 0
 
 
-# ---------------------------------------------------------------- Jaccard near-duplicates
+def test_kept_rows_are_one_of_each_component(spark):
+    x, y, z = "a first text of its own", "second words that nobody else has", "third"
+    rows = spark.createDataFrame([(3, x), (5, x), (5, y), (5, y), (None, x), (None, z), (None, z)], "doc_id bigint, text string")
+    assert sorted((tuple(r) for r in simhash.keep_one(rows).collect()), key=str) == [(3, x), (5, y), (None, z)]
 
 
-def plain_shingles(text):
-    ws = (text or "").encode().lower().split()
-    return {tuple(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))}
-
-
-@pytest.mark.parametrize("tile", [256, 3])
-def test_near_dedup_equals_all_jaccard_pairs(spark, docs, messy, tile):
-    rng = random.Random(6)
-    made = []
-    for k in range(12):  # copies with a few words changed, around the limit on both sides
-        base = [f"w{rng.randint(0, 300)}" for _ in range(rng.randint(30, 200))]
-        for c in range(10):
-            t = list(base)
-            for _ in range(c % 5 * len(t) // 60):
-                t[rng.randrange(len(t))] = f"x{rng.randint(0, 10**6)}"
-            made.append((70_000 + 100 * k + c, " ".join(t)))
-    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id bigint, text string")).unionByName(
-        messy.where("doc_id IS NOT NULL AND doc_id <> 5").select((F.col("doc_id") + 200_000).alias("doc_id"), "text"))
-    sets = {r.doc_id: plain_shingles(r.text) for r in every.collect()}
-    ids = sorted(sets)
-    close = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
-    want = union_find([(i, i) for i in ids] + close)
-    found = shingles.near_duplicates(every, cfg=shingles.ShingleConfig(tile=tile)).collect()
-    assert {r.doc_id: r.component_id for r in found} == want
-    assert len(found) == every.count()
-
-
-def test_pipeline_drops_near_copies(spark, folder):
+def test_pipeline_keeps_one_of_each_linked_group(spark, folder, docs):
+    """The stage's groups are those of three-word shingles within two bits."""
     text = " ".join(f"word{i}" for i in range(200))
-    rows = [(1, text), (2, text.replace("word100", "changed")), (3, text.replace("word50 ", "a b c d ")), (4, "another text"), (None, "no id"), (None, "no id")]
-    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), folder).collect()
-    assert sorted((str(r.doc_id) for r in kept)) == ["1", "4", "None"]
-
-
-def test_kept_rows_are_one_of_each_component(spark, folder):
-    x, y = "a first text of its own", "second words that nobody else has"
-    rows = spark.createDataFrame([(3, x), (5, x), (5, y)], "doc_id bigint, text string")
-    assert sorted(tuple(r) for r in shingles.keep_one(rows).collect()) == [(3, x), (5, y)]
+    made = [(90_001, text), (90_002, text.upper()), (90_003, text.replace(" ", "  ")), (90_004, "another text"), (None, "no id"), (None, "no id")]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id bigint, text string"))
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, every, folder).collect()]
+    heads = {}
+    for i, f in ((r.doc_id, plain_simhash(r.text)) for r in every.collect() if r.doc_id is not None):
+        heads[f] = min(i, heads.get(f, i))
+    fps = list(heads)
+    label = union_find([(a, b) for i, a in enumerate(fps) for b in fps[i + 1:] if (a ^ b).bit_count() <= 2] + [(f, f) for f in fps])
+    want = {min(heads[f] for f in fps if label[f] == r) for r in set(label.values())}
+    assert sorted(i for i in kept if i is not None) == sorted(want) and kept.count(None) == 1
+    assert 90_001 in want and 90_002 not in want and 90_003 not in want
 
 
 # ---------------------------------------------------------------- repeats
@@ -208,6 +190,40 @@ def test_repeats_of_frequent_lines_in_varying_order(spark):
     assert got == plain_repeats(dict(made), 50)
 
 
+@pytest.mark.parametrize("chunk", [20, 100_000])
+def test_repeats_at_the_borders_of_tasks(spark, monkeypatch, chunk):
+    """Runs of equal stretches that lie in several tasks lose no repeat, no link and no partner."""
+    monkeypatch.setattr(repeats, "_CHUNK", chunk)
+    rng = random.Random(chunk)
+    lines = [" ".join(f"l{k}w{i}" for i in range(17)) for k in range(6)]
+    made = {k: " ".join(rng.choice(lines) for _ in range(rng.randint(2, 7))) for k in range(150)}
+    copy, own = " ".join(f"c{i}" for i in range(120)), [" ".join(f"o{k}n{i}" for i in range(60)) for k in range(40)]
+    made |= {1000 + k: f"{own[k]} {copy} {own[k]}" if k % 2 else copy for k in range(40)}
+    made |= {2000: copy + " x " + copy}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(list(made.items()), "doc_id bigint, text string")
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        rows = repeats.spans(df).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert covered(rows) == plain_repeats(made, 50)
+    holders = collections.defaultdict(set)  # window -> (document, span)
+    words = {k: t.split() for k, t in made.items()}
+    for r in rows:
+        for s in range(r.start_word, r.end_word - 49):
+            holders[tuple(words[r.doc_id][s:s + 50])].add((r.doc_id, r.start_word))
+    shared = [sorted(h) for h in holders.values() if len(h) > 1]
+    label = union_find([((r.doc_id, r.start_word),) * 2 for r in rows] + [(h[0], x) for h in shared for x in h[1:]])
+    found = {(r.doc_id, r.start_word): r.class_id for r in rows}
+    assert len(set(label.values())) == len(set(found.values())) == len({(label[k], found[k]) for k in found})
+    for r in rows:
+        others = {d for h in shared if (r.doc_id, r.start_word) in h for d, _ in h if d != r.doc_id}
+        assert r.partner_id in others if others else r.partner_id == r.doc_id
+        assert r.n_docs == len({d for (d, _), c in found.items() if c == r.class_id})
+
+
 def test_repeats_keep_the_links_of_each_span(spark):
     a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
     filler = lambda k: [f"f{k}n{i}" for i in range(70)]
@@ -259,7 +275,6 @@ def plain_ids(text):
 
     if not hasattr(plain_ids, "t"):
         plain_ids.t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        plain_ids.t.encode_special_tokens = True
     return [*plain_ids.t.encode(text, add_special_tokens=False).ids, 0]
 
 
@@ -302,6 +317,13 @@ def test_encoder_equals_the_tokenizer(text):
     assert np.frombuffer(plain_ids.e.encode(text), "<u4").tolist() == plain_ids(text)[:-1]
 
 
+@pytest.mark.parametrize("text", ["x<|endoftext|>", "<|endoftext|>", "a b <|endoftext|> c\nd", "<|endoftext|", "a <|endoftext|><|endoftext|>  b"])
+def test_added_tokens_are_the_tokenizers(spark, text):
+    assert np.frombuffer(packing.Encoder("byte_bpe_50k.json").encode(text), "<u4").tolist() == plain_ids(text)[:-1]
+    rows = packing.pack(spark.createDataFrame([(1, text), (2, "plain")], "doc_id bigint, text string")).collect()
+    check_pieces(rows, [(1, text), (2, "plain")])
+
+
 @given(st.lists(st.integers(1, 5000), max_size=120))
 @settings(max_examples=60, deadline=None)
 def test_packer_wastes_nothing(lengths):
