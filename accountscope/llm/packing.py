@@ -70,8 +70,9 @@ class Words(dict):
 
             path = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(str(path))
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        #: Tokens that the tokenizer finds in a text before it cuts it into words.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cores: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -103,7 +104,8 @@ class Encoder:
     """Token ids of whole texts.
 
     A text is cut before single spaces and around single line breaks, where the byte-level pre-tokenizer always ends a
-    token, so the ids of repeated words are looked up; texts with joined white space are encoded whole. The words known so far outlive a task.
+    token, so the ids of repeated words are looked up; texts with
+    joined white space or with a token that was added to the vocabulary are encoded whole. The words known so far outlive a task.
     """
 
     _known: dict[str, Words] = {}
@@ -114,7 +116,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         words = self.words
-        if "\0" in text or _JOINED.search(text):
+        if "\0" in text or _JOINED.search(text) or any(t in text for t in words.added):
             return words.whole(text)
         if len(words) > _CACHED_WORDS:
             words.clear()
