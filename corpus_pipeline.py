@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accountscope.llm import mixing, packing, pii, quality, shingles
+from accountscope.llm import mixing, packing, pii, quality, simhash
 from accountscope.llm.queries import SURROGATE_KEY, prepared
 from accountscope.session import materialise
 
@@ -17,9 +17,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: fingerprints of three-word shingles within two bits, linked."""
     prepared(spark)
-    return shingles.keep_one(docs)
+    return simhash.keep_one(docs, radius=2, size=3)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
