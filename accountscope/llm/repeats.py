@@ -245,15 +245,19 @@ def neighbours(sorted_places: DataFrame, cfg: RepeatConfig) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
         border = np.flatnonzero(np.isin(key, np.array(sorted(ends), np.int64)))
         if len(border):
-            # Of equal surroundings one row speaks for all, which match each other.
             lefts, rights = _running(before[border]), _running(after[border])
-            whole = np.stack([key[border].view(np.uint64), lefts[:, -1], rights[:, -1], n_before[border].astype(np.uint64), n_after[border].astype(np.uint64)], axis=1)
-            _, one = np.unique(whole, axis=0, return_index=True)
             for j in range(room + 1):
-                mine = one[(n_before[border[one]] >= j) & (n_after[border[one]] >= room - j)]
+                mine = np.flatnonzero((n_before[border] >= j) & (n_after[border] >= room - j))
                 x = (lefts[mine, j] * np.uint64(3) + rights[mine, room - j]) * np.uint64(0x9E3779B97F4A7C15) + key[border[mine]].view(np.uint64) * np.uint64(2 * j + 1)
-                b, start = border[mine], at[border[mine]] - j
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.ones(len(b), bool), doc[b], start, start + cfg.length, (x ^ salt).view(np.int64), doc[b], doc[b])], names=names)
+                # Rows of this task that share the passage have met already: one speaks for all.
+                x, first, which = np.unique(x, return_index=True, return_inverse=True)
+                least, most = np.full(len(x), np.iinfo(np.int64).max), np.full(len(x), np.iinfo(np.int64).min)
+                np.minimum.at(least, which, doc[border[mine]])
+                np.maximum.at(most, which, doc[border[mine]])
+                b = border[mine[first]]
+                start = at[b] - j
+                columns = [np.ones(len(b), bool), doc[b], start, start + cfg.length, (x ^ salt).view(np.int64), least, most]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -300,16 +304,17 @@ def spans(docs: DataFrame, cfg: RepeatConfig | None = None, id_col: str = "doc_i
     own = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     sampled = materialise(suffixes(own, cfg), "suffixes")
     keyed = sampled.select("doc", "pos", F.posexplode(F.array("key0", "key1")).alias("side", "key")).where("key IS NOT NULL")
-    often = keyed.groupBy("side", "key").agg(F.count("*").alias("n")).where("n > 1").select("side", "key")
+    # Written first: a join with a table splits a hot key, one with an aggregate of the same shuffle can't.
+    often = materialise(keyed.groupBy("side", "key").agg(F.count("*").alias("n")).where("n > 1").select("side", "key"), "repeated-stretches")
     places = keyed.join(often, ["side", "key"]).groupBy("doc").agg(F.collect_set(F.struct("pos", "side")).alias("at"))
     around = materialise(surroundings(places, own, cfg), "surroundings")
-    release(sampled)
+    release(sampled, often)
     # Sorted by what follows; ranges may part one stretch by its surroundings and documents, so none is a task of its own.
     order = ["side", "key", "after", "before", "doc", "at"]
     found = materialise(neighbours(around.repartitionByRange(*order).sortWithinPartitions(*order), cfg), "matches")
     release(around)
     still = found.where("open")
-    met = still.groupBy("link").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("n > 1").drop("n")
+    met = still.groupBy("link").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1").drop("n")
     closed = found.where("NOT open").unionByName(still.drop("low", "high").join(met, "link"))
     intervals = closed.groupBy("doc", "start", "link").agg(F.max("end").alias("end"), F.min("low").alias("low"), F.max("high").alias("high"))
 
