@@ -121,7 +121,7 @@ def read_csv_many(
 def _fields(value: Column, n: int) -> Column:
     """The first ``n`` fields of a record and its end mark, as an array of strings."""
     ddl = ", ".join(f"`c{i}` STRING" for i in range(n + 1))
-    parsed = F.from_csv(F.concat(value, F.lit("," + _END)), F.lit(ddl), {"escape": '"', "maxCharsPerColumn": "-1"})
+    parsed = F.from_csv(F.concat(value, F.lit("," + _END)), F.lit(ddl), {"escape": '"', "maxCharsPerColumn": "-1", "multiLine": "true", "lineSep": "\n"})
     return F.transform(F.array(parsed), lambda r: F.array(*[r[f"c{i}"] for i in range(n + 1)]))[0]
 
 
@@ -145,10 +145,11 @@ def _read(
         raise ValueError("surplus must be 'skip' or 'fail'")
     wanted = _schema(schema)
     names = wanted.fieldNames()
-    lines = _lines(spark, path).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    lines = _lines(spark, path)
     if multi_line is None:
         multi_line = not lines.where(F.col("value").rlike(_OPENS)).isEmpty()
-    records = _glue(lines) if multi_line else lines
+    # A line break inside a quoted field is part of the value, whichever kind it is.
+    records = (_glue(lines) if multi_line else lines).withColumn("value", F.regexp_replace("value", "\r\\z", ""))
     if header:
         places = broadcast_if_small(_places(records, names))
         records = records.join(places, "file").where(F.col("at") != F.col("head"))

@@ -186,6 +186,40 @@ def test_lda_updates_follow_the_corpus():
     assert [topics.updates(n, cfg) for n in (1, 128, 129, 1_024, 1_300, 39_572)] == [5, 5, 10, 40, 55, 1_550]
 
 
+def test_every_document_is_in_one_batch_of_each_pass(spark):
+    df = spark.range(1000).withColumn("row", F.xxhash64("id"))
+    placed = df.select("id", *[topics.batch_of(F.col("row"), turn, 8).alias(f"b{turn}") for turn in range(3)]).toPandas()
+    for turn in range(3):
+        sizes = placed[f"b{turn}"].value_counts()
+        assert sorted(sizes.index) == list(range(8)) and sizes.sum() == 1000 and sizes.min() > 80
+    assert not (placed["b0"] == placed["b1"]).all()
+
+
+def test_lda_updates_equal_a_plain_loop(spark, corpus):
+    """Batches of whole passes, inferred one document at a time with the textbook's update."""
+    vocabulary = text.vocabulary_list(text.document_freq(corpus))
+    vectors = text.term_vectors(corpus, vocabulary)
+    cfg = FeatureConfig(topics=2, passes=3, batch_size=1000)
+    model = topics.lda_fit(vectors, cfg)
+    x = np.array([r["tf"].toArray() for r in vectors.collect()])
+    weights = np.random.default_rng(cfg.seed).gamma(100.0, 0.01, (2, x.shape[1]))
+    for step in range(3):
+        beta, sums = np.exp(topics._log_shares(weights)), np.zeros_like(weights)
+        for row in x:
+            gamma = np.ones(2)
+            for _ in range(topics.ROUNDS):
+                theta = np.exp(topics._log_shares(gamma[None]))[0]
+                before, gamma = gamma, 0.5 + theta * (beta @ (row / (theta @ beta)))
+                if np.abs(gamma - before).mean() < topics.LEAST_MOVE:
+                    break
+            theta = np.exp(topics._log_shares(gamma[None]))[0]
+            sums += np.outer(theta, row / (theta @ beta)) * beta
+        rate = (cfg.learning_offset + step) ** -cfg.learning_decay
+        weights = (1 - rate) * weights + rate * (0.5 + sums)
+    assert model.weights == pytest.approx(weights, rel=1e-6)
+    assert topics._digamma(np.array([1.0, 0.5, 10.0])) == pytest.approx([-0.5772156649, -1.9635100260, 2.2517525891], abs=1e-9)
+
+
 def test_lda_distributions(spark, corpus):
     vocabulary = text.vocabulary_list(text.document_freq(corpus))
     vectors = text.term_vectors(corpus, vocabulary)

@@ -137,3 +137,10 @@ def test_nested_report(spark, tmp_path):
     sinks.write_json(report, str(tmp_path / "j"))
     (line,) = [r[0] for r in spark.read.text(str(tmp_path / "j")).collect()]
     assert json.loads(line) == {"cluster0": {"m": {"f1_1": "0.21", "mean": "0.50"}, "n": {"f1_0": "1.00"}}}
+
+
+def test_line_breaks_inside_quoted_fields_are_kept(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'id,t\r\n1,"a\r\nb"\r\n2,"c\nd"\r\n3,plain\r\n\r\n4,"e\rf"\r\n5,"end\r\n"\r\n')
+    for multi_line in (None, True):
+        got = {r["id"]: r["t"] for r in csv.read_csv(spark, str(tmp_path / "a.csv"), "id INT, t STRING", multi_line).collect()}
+        assert got == {1: "a\r\nb", 2: "c\nd", 3: "plain", 4: "e\rf", 5: "end\r\n"}
