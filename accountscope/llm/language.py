@@ -130,8 +130,8 @@ def _scaled(x: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
     return x / x.sum(axis=axes, keepdims=True)
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities ``[word, language]`` of chains laid end to end, and the expected number of each transition.
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, block: int = BLOCK, count: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities ``[word, language]`` of chains laid end to end and, on ``count``, the expected number of each transition.
 
     ``lengths`` are those of the chains, none of them 0.
     """
@@ -179,10 +179,12 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     forward, backward = forward[there], backward[there]
     posterior = _scaled(forward * backward, (1,))
 
+    expected = np.zeros((k, k))
+    if not count:
+        return posterior, expected
     later = np.ones(len(scores), bool)
     later[ends - lengths] = False
     here = np.flatnonzero(later)
-    expected = np.zeros((k, k))
     for part in np.array_split(here, max(1, -(-len(here) // 100_000))):
         after = (np.exp(scores[part] - scores[part].max(axis=1, keepdims=True))) * backward[part]
         both = forward[part - 1][:, :, None] * follow * after[:, None, :]
@@ -302,7 +304,7 @@ def label(docs: DataFrame, model: Chain, text_col: str = "text", name: str = "la
             lengths = np.array([len(ws) for ws in texts], np.int64)
             if labels and lengths.any():
                 emitted = scores[np.fromiter((place[w] for ws in texts for w in ws), np.int64, int(lengths.sum()))]
-                posterior, _ = forward_backward(emitted, lengths[lengths > 0], model.transitions)
+                posterior, _ = forward_backward(emitted, lengths[lengths > 0], model.transitions, count=False)
             known, table = place, scores
             if any(len(w) > LONGEST for w in new):
                 keep = [w for w in place if len(w) <= LONGEST]
