@@ -322,3 +322,39 @@ def test_settings_are_checked():
     ):
         with pytest.raises(ValueError):
             make()
+
+
+def dense_start(x, topics):
+    """The start by a dense decomposition: of each pair of vectors the side with the larger product of lengths."""
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    h = np.zeros((topics, x.shape[1]))
+    h[0] = np.sqrt(s[0]) * np.abs(vt[0])
+    for j in range(1, topics):
+        sides = [(np.linalg.norm(np.maximum(sign * u[:, j], 0)), np.maximum(sign * vt[j], 0)) for sign in (1, -1)]
+        length, side = max(sides, key=lambda e: e[0] * np.linalg.norm(e[1]))
+        norm = np.linalg.norm(side)
+        h[j] = np.sqrt(s[j] * length * norm) * side / norm
+    return s, np.where(h < 1e-6, 0, h)
+
+
+@pytest.mark.parametrize("terms", [12, 90])
+def test_nmf_starts_from_the_singular_vectors(spark, terms):
+    rng = np.random.default_rng(5)
+    x = rng.random((150, 6)) @ rng.random((6, terms)) ** 3 + 0.05 * rng.random((150, terms))
+    x[rng.random(x.shape) < 0.4] = 0
+    rows = [(i, [int(t) for t in np.flatnonzero(r)], [float(v) for v in r[r > 0]]) for i, r in enumerate(x)]
+    data = spark.createDataFrame(rows, "user_id INT, terms ARRAY<INT>, values ARRAY<DOUBLE>").repartition(3)
+    values, expected = dense_start(x, 5)
+    found, vectors = nmf.leading_directions(data, terms, 5, passes=60)
+    np.testing.assert_allclose(found, values[:5], rtol=1e-7)
+    np.testing.assert_allclose(vectors.T @ vectors, np.eye(5), atol=1e-9)
+    np.testing.assert_allclose(nmf.svd_start(data, terms, 5, passes=60), expected, atol=1e-4)
+    # Another random basis leads to the same start.
+    np.testing.assert_allclose(nmf.svd_start(data, terms, 5, passes=60, seed=9), expected, atol=1e-4)
+
+
+def test_nmf_start_of_fewer_directions_than_topics(spark):
+    rows = [(i, [0, 2], [float(i), 2.0 * i]) for i in range(1, 9)]
+    data = spark.createDataFrame(rows, "user_id INT, terms ARRAY<INT>, values ARRAY<DOUBLE>")
+    h = nmf.svd_start(data, 3, 3)
+    assert (h[0] > 0).tolist() == [True, False, True] and not h[1:].any()
