@@ -91,7 +91,6 @@ class ClassifyConfig:
     folds: int = 10
     train: float = 0.6
     seed: int = 42
-    parallelism: int = 8
     boosting_rounds: int = 50
     forest_trees: int = 10
     max_depth: int = 30

@@ -1,17 +1,15 @@
 """Per-cluster classifiers over stratified splits.
 
-The assembled table is written once. Trees and forests are independent Spark ML
-fits per (cluster, split), submitted from a small driver thread pool; boosting
-and margins train all clusters and splits in shared passes. Only counts per
-(label, prediction) come back.
+The table is written once, and all clusters and splits of a model train in shared
+passes over it; trees, forests and boosting share one binned table. Only counts
+per (label, prediction) come back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -20,9 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accountscope.config import ClassifyConfig
-from accountscope.operators import boost, many, metrics, splits, svm
+from accountscope.operators import boost, many, metrics, splits, svm, trees
 from accountscope.session import compact, materialise
 
+#: Every tree looks at every row, so a task takes fewer rows than in rounds of boosting or margins.
+ROWS_PER_TASK = 5_000
 #: Megabytes of histograms per pass, so that a level of a tree takes one pass.
 TREE_MEMORY = 1024
 OUTCOMES = "cluster INT, model STRING, split INT, label INT, prediction INT, n BIGINT"
@@ -89,56 +89,14 @@ def model_outcomes(
     flagged = materialise(splits.split_flags(df, key, label, cfg.folds, cfg.test_share, cfg.seed, within="cluster"), "split-table")
     sizes = _cluster_sizes(flagged)
     features = {c: _features_of(cfg, df, c, label) for c in sizes}
-    spark_models = [m for m in cfg.models if m in ("decision_tree", "random_forest")]
-    cached, tasks, found = {}, [], []
-    top = max(many.distinct_classes(flagged, label), default=0)
-    for c in sizes if spark_models else ():
-        table = assemble(flagged.where(F.col("cluster") == c), features[c], label)
-        # Classes stand in the column's metadata, so that no fit looks for them.
-        named = F.col("label").alias("label", metadata={"ml_attr": {"type": "nominal", "vals": [str(x) for x in range(top + 1)]}})
-        narrow = table.select(named, "features", "is_test")
-        cached[c] = compact(narrow, sizes[c]).persist()
-        tasks += [(c, name, s) for name in spark_models for s in range(cfg.folds)]
-
-    @inheritable_thread_target(df.sparkSession)
-    def run(task: tuple[int, str, int]) -> Model:
-        c, name, s = task
-        return make_model(name, cfg).fit(cached[c].where(~F.col("is_test")[s]))
-
-    try:
-        if tasks:
-            with ThreadPool(cfg.parallelism) as pool:
-                fitted = pool.map(run, tasks, chunksize=1)
-            for c in sizes:
-                own = [(name, s, m) for (k, name, s), m in zip(tasks, fitted) if k == c]
-                found += [(c, *row) for row in _test_counts(cached[c], own)]
-    finally:
-        for table in cached.values():
-            table.unpersist()
-    found += _shared_outcomes(flagged, sizes, features, cfg, label)
+    found = _shared_outcomes(flagged.withColumn("row", F.xxhash64(key)), sizes, features, cfg, label)
     return df.sparkSession.createDataFrame(found, OUTCOMES)
 
 
-def _test_counts(table: DataFrame, fitted: list[tuple[str, int, Model]]) -> list[tuple]:
-    """``(model, split, label, prediction, n)`` over the test rows of every split, for all models in one pass."""
-    scored, cells = table, []
-    for i, (name, s, model) in enumerate(fitted):
-        model.setPredictionCol(f"p{i}").setRawPredictionCol("").setProbabilityCol("")
-        scored = model.transform(scored)
-        cell = F.struct(F.lit(name).alias("model"), F.lit(s).alias("split"), F.col(f"p{i}").cast("int").alias("prediction"))
-        cells.append(F.when(F.col("is_test")[s], cell))
-    each = scored.select(F.col("label").cast("int").alias("label"), F.explode(F.array_compact(F.array(*cells))).alias("c"))
-    rows = each.groupBy("c.model", "c.split", "label", "c.prediction").count().collect()
-    return [(r["model"], r["split"], r["label"], r["prediction"], r["count"]) for r in rows]
-
-
 def _shared_outcomes(
     flagged: DataFrame, sizes: dict[int, int], features: dict[int, list[str]], cfg: ClassifyConfig, label: str
 ) -> list[tuple]:
     """Models that train together; clusters are grouped by feature list."""
-    wanted = [m for m in ("adaboosted_dt", "linear_svc") if m in cfg.models]
-    if not wanted:
-        return []
     by_list: dict[tuple, list[int]] = {}
     for c, names in features.items():
         by_list.setdefault(tuple(names), []).append(c)
@@ -146,25 +104,37 @@ def _shared_outcomes(
     found = []
     for names, clusters in by_list.items():
         part = flagged.where(F.col("cluster").isin(clusters))
-        table = many.model_table(part, [F.col(n) for n in names], label, classes, "cluster", clusters, "is_test", cfg.folds)
-        table.rows = compact(table.rows, sum(sizes[c] for c in clusters)).persist()
+        table = many.model_table(
+            part, [F.col(n) for n in names], label, classes, "cluster", clusters, "is_test", cfg.folds, carry=["row"])
+        rows = sum(sizes[c] for c in clusters)
+        table.rows = compact(table.rows, rows, ROWS_PER_TASK).persist()
         try:
-            for name in wanted:
-                found += [(c, name, s, y, p, n) for c, s, y, p, n in _train_together(name, table, cfg)]
+            found += [(c, name, s, y, p, n) for name, (c, s, y, p, n) in _train_together(table, rows, cfg)]
         finally:
             table.rows.unpersist()
     return found
 
 
-def _train_together(name: str, table: many.ModelTable, cfg: ClassifyConfig) -> list[tuple]:
-    if name == "linear_svc":
-        margins = svm.fit_margins(table, standardise=cfg.standardise)
-        return many.test_outcomes(table, {m: margin.vote for m, margin in margins.items()})
+def _train_together(table: many.ModelTable, rows: int, cfg: ClassifyConfig) -> Iterator[tuple[str, tuple]]:
+    """``(model, outcome)``; trees, forests and boosting read the same binned rows."""
+    if "linear_svc" in cfg.models:
+        few = replace(table, rows=compact(table.rows, rows))
+        margins = svm.fit_margins(few, standardise=cfg.standardise)
+        yield from (("linear_svc", o) for o in many.test_outcomes(few, {m: margin.vote for m, margin in margins.items()}))
+    binning = [name for name in cfg.models if name != "linear_svc"]
+    if not binning:
+        return
     binned = boost.bin_table(table, cfg.max_bins)
     binned.table.rows = binned.table.rows.persist()
     try:
-        models = boost.boost(binned, cfg.boosting_rounds, algorithm=cfg.boosting)
-        return many.test_outcomes(binned.table, {m: model.vote for m, model in models.items()})
+        for name in binning:
+            if name == "adaboosted_dt":
+                few = replace(binned, table=replace(binned.table, rows=compact(binned.table.rows, rows)))
+                votes = {m: model.vote for m, model in boost.boost(few, cfg.boosting_rounds, algorithm=cfg.boosting).items()}
+            else:
+                grown = trees.forests_of(binned, cfg.max_depth, cfg.forest_trees if name == "random_forest" else None, cfg.seed)
+                votes = {m: trees.voter(own, len(table.classes)) for m, own in grown.items()}
+            yield from ((name, o) for o in many.test_outcomes(binned.table, votes))
     finally:
         binned.table.rows.unpersist()
 

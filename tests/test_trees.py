@@ -118,6 +118,32 @@ def test_forests_do_not_depend_on_partitions_and_draw_with_replacement(spark):
     assert (drawn[1] == 1).all()
 
 
+def test_trees_of_all_clusters_and_splits_equal_plain_trees(spark):
+    """Models that share every pass learn, and vote, as a plain tree on their own rows does."""
+    x, y = problem(300, 11)
+    rows = [(i, i % 2, int(t), [i % 3 == s for s in range(3)], *map(float, v)) for i, (v, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "row BIGINT, c INT, y INT, flags ARRAY<BOOLEAN>, a DOUBLE, b DOUBLE, d DOUBLE, e DOUBLE").repartition(4)
+    table = many.model_table(df, [F.col(n) for n in "abde"], "y", [0, 1], "c", [0, 1], "flags", 3, carry=["row"])
+    binned = boost.bin_table(table, 32)
+    at = np.arange(len(x))
+    for (c, s), (tree,) in trees.forests_of(binned, 5, None, 1).items():
+        train = (at % 2 == c) & (at % 3 != s)
+        plain = plain_tree(x[train], y[train], "gini", 5, 1)
+        same(plain, nested(tree, binned.thresholds[c]), x[train])
+        bins = np.column_stack([np.searchsorted(binned.thresholds[c][j], x[:, j]) for j in range(4)])
+        node = [0] * len(x)
+        for i in at:
+            while tree.feature[node[i]] >= 0:
+                node[i] = tree.child[node[i]] + int(bins[i, tree.feature[node[i]]] > tree.cut[node[i]])
+        assert trees.voter([tree], 2)(bins).tolist() == [int(np.argmax(tree.counts[n])) for n in node]
+
+
+def test_drawn_pairs_equal_the_whole_draw():
+    rows, bags = np.arange(50) * 7, [3, None, 8]
+    t, r = np.nonzero(np.random.default_rng(1).random((3, 50)) < 0.4)
+    assert (trees._drawn(rows, t, r, bags) == trees._bagged(rows, bags)[t, r]).all()
+
+
 def test_trees_of_one_class_and_of_no_rows(spark):
     binned = boost.folded_table(table_of(spark, [[1], [2], [3], [4]], [1, 1, 1, 1], 2), 2, "user_id", 32)
     (tree,) = trees.grow(binned, [trees.TreeSpec((0, 0))])
