@@ -17,6 +17,8 @@ STATIC_FEATURES = (
     "num_unique_words",
 )
 PERIOD_FEATURES = ("average_tweets_ByDay", "average_tweets_ByHour", "average_tweets_ByMonth")
+#: Column in which readers put where a row stands in its files, when asked for it.
+POSITION = "file_position"
 MODELS = ("decision_tree", "random_forest", "adaboosted_dt", "linear_svc")
 
 
@@ -41,7 +43,8 @@ class PreprocessConfig:
     seed: int = 42
     null_text: str | None = None
     max_part_rows: int = 100_000
-    #: Column of the static table whose smallest value marks the first of several rows of an account.
+    #: Column of the static table whose smallest value marks the first of several rows of an account. None takes
+    #: ``POSITION``, the order of the files, where the table has it, and else the row with the smallest values.
     first_by: str | None = None
     #: Add posts per active day, hour and month to the static features.
     period_features: bool = False

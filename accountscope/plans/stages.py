@@ -4,21 +4,38 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accountscope.config import ClassifyConfig, ClusterConfig, FeatureConfig, PreprocessConfig, RunConfig
+from accountscope.config import POSITION, ClassifyConfig, ClusterConfig, FeatureConfig, PreprocessConfig, RunConfig
 from accountscope.operators import classify, cluster, collate, prep, scores, splits, text, topics
 from accountscope.session import materialise
+from accountscope.sources.arff import read_arff
+from accountscope.sources.csv import read_csv
+
+# Columns of a file of posts.
+POSTS = "UserID STRING, TweetID STRING, Tweet STRING, CreatedAt STRING"
+
+
+def read_raw(
+    spark: SparkSession, static: str, polluters: str, legitimate: str, posts: str = POSTS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three inputs of stage 1 from an ARFF file and two CSV files or folders; ``posts`` are the columns of the latter.
+
+    Of several static rows of an account the first in the file is kept.
+    """
+    return read_arff(spark, static, position=POSITION), read_csv(spark, polluters, posts), read_csv(spark, legitimate, posts)
 
 
 def preprocess_static(static_raw: DataFrame, order: str | None = None) -> DataFrame:
     """Renamed static features with a BIGINT id and an INT label, one row per account.
 
     ``order`` names the column that decides which of several rows is first;
-    without it all columns do, in their own order.
+    without it ``POSITION`` does, which :func:`read_raw` adds, and in a table
+    without that all columns do, in their own order.
     """
     named = prep.cast_label(prep.coerce_id(prep.rename_static(static_raw)))
+    order = order or (POSITION if POSITION in named.columns else None)
     ranks = [order] if order else [c for c in named.columns if c != "user_id"]
     one = prep.dedup_key(named, "user_id", *ranks)
     return one.drop(order) if order else one

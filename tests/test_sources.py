@@ -76,6 +76,19 @@ def test_first_row_in_file_order(spark, tmp_path):
     assert [(r.user_id, r.user_type, r.n) for r in static.collect()] == [(7, 1, 9.0)] and "at" not in static.columns
 
 
+def test_default_settings_keep_the_first_row_of_the_file(spark, tmp_path):
+    declared = "@relation t\n@attribute UserID numeric\n@attribute UserType {0,1}\n@attribute n REAL\n@data\n"
+    (tmp_path / "x.arff").write_text(declared + "7,1,9\n8,0,5\n7,1,1\n8,0,2\n9,1,3\n")
+    for name, user in (("p", 7), ("l", 8)):
+        (tmp_path / f"{name}.csv").write_text(f"UserID,TweetID,Tweet,CreatedAt\n{user},1,hello,2010-01-01 00:00:00\n")
+    raw = stages.read_raw(spark, *(str(tmp_path / n) for n in ("x.arff", "p.csv", "l.csv")))
+    static, documents = stages.preprocess(*raw)
+    assert sorted((r.user_id, r.n) for r in static.collect()) == [(7, 9.0), (8, 5.0)]
+    assert static.columns == ["user_id", "user_type", "n"] and documents.count() == 2
+    unordered = stages.preprocess_static(raw[0].drop("file_position"))
+    assert sorted((r.user_id, r.n) for r in unordered.collect()) == [(7, 1.0), (8, 2.0), (9, 3.0)]
+
+
 def test_typed_columns(spark, tmp_path):
     (tmp_path / "x.csv").write_text("k,v\n1,2.5\nx,\n")
     rows = csv.read_csv(spark, str(tmp_path), "k BIGINT, v DOUBLE").collect()
