@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 from compare import compare, oracle
@@ -95,7 +96,7 @@ def test_changed_sections_locate_the_edit(spark):
 
 
 def plain_scan(text):
-    low = text.lower()
+    low = re.sub("[A-Z]", lambda m: m.group().lower(), text)
     ws = [w for w in re.split(licenses.WORD_GAPS, low) if w]
     places = []
     for i in range(len(ws)):
@@ -103,10 +104,10 @@ def plain_scan(text):
             if ws[i:i + len(phrase.split())] == phrase.split():
                 places.append((i, label))
     labels, score = {x for _, x in places}, 1.0 if places else 0.0
-    for block in low.split("\n"):
-        have = {w for w in re.split(licenses.WORD_GAPS, block) if w}
-        for label, template in licenses.TEMPLATES:
-            need = set(licenses.template_words(template))
+    lines = [{w for w in re.split(licenses.WORD_GAPS, block) if w} for block in low.split("\n")]
+    for label, template in licenses.TEMPLATES:
+        need, run = set(licenses.template_words(template)), len(licenses.words_of(template))
+        for have in lines + [set(ws[i:i + run]) for i in range(len(ws))]:
             share = len(have & need) / len(need)
             if share >= licenses.THRESHOLD:
                 labels.add(label)
@@ -121,9 +122,20 @@ LICENSED = [
     "mit license MIT-LICENSE; the Apache license. General Public License mit",
     "redistribution and use in source or binary forms, with or without modification, are permitted provided the following conditions are met",
     "public license general", "licensed under cc by\n4.0", "İMIT license K license",
+    "licensed\n\nunder cc 1 2 3 4 5 6 7 8 by 4.0", "of the and to in by " * 40 + "licensed under\ncc by the 4.0",
 ]
 
 
+@pytest.mark.parametrize("width", [24, 72])
+def test_wrapped_notices_keep_their_labels(spark, width):
+    notices = [(k, label, t) for k, (label, t) in enumerate(licenses.TEMPLATES)]
+    rows = [(k, "Some words of the program before. " + "\n# ".join(textwrap.wrap("It says: " + t + " And more follows it.", width))) for k, _, t in notices]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for k, label, _ in notices:
+        assert label in found[k].labels.split(",") and found[k].score == 1.0
+    assert {k: plain_scan(t)[-2:] for k, t in rows} == {k: (r.labels, r.score) for k, r in found.items()}
+
+
 def test_licenses_equal_brute_force(spark, docs, messy):
     more = spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(LICENSED)], "doc_id bigint, text string")
     every = docs.select("doc_id", "text").unionByName(more).unionByName(messy.select("doc_id", "text"))
