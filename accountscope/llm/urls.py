@@ -2,8 +2,10 @@
 
 Path segments become template segments: digits and long hexadecimal runs are variable as such; where a node has many
 children, those with a small share of it are too. Siblings whose shares of bad urls don't differ significantly are
-merged. A template's purity is its share of bad labelled urls, smoothed towards its parent's, from the host's root
-down; a host is smoothed towards all hosts. Templates above the threshold are rejected.
+merged. The same tree is built for every registered domain and for all hosts together. A template's purity is its share
+of bad labelled urls, smoothed towards that of the same template one level up, on its domain or on all hosts, and of its
+parent on the same host where that has labels. So labels speak for hosts without any through the templates they share.
+Templates above the threshold are rejected.
 """
 
 from __future__ import annotations
@@ -41,6 +43,10 @@ class TreeConfig:
     reject: float = 0.8
 
 
+#: Longer than any host.
+MAX_HOST = 1 << 30
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://``."""
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), _UPPER, _LOWER)
@@ -87,8 +93,28 @@ def templates(patterns: DataFrame, cfg: TreeConfig) -> DataFrame:
     return rows.select("host", "segs", "nodes", "n", "bad", "good")
 
 
-def purities(tree: DataFrame, cfg: TreeConfig) -> DataFrame:
-    """``host, node, group, purity`` for every node: siblings merged, shares smoothed from the root down."""
+def domain_of(host: Column) -> Column:
+    """The last two labels of a host, without its port; numeric addresses and shorter hosts are their own."""
+    name = F.regexp_replace(host, r":[0-9]*$", "")
+    return F.when(name.rlike(r"^[0-9.]+$|^\["), name).otherwise(F.regexp_extract(name, r"([^.]*\.)?[^.]*$", 0))
+
+
+def scoped(patterns: DataFrame) -> DataFrame:
+    """The patterns of all hosts (``0:``), of every domain (``1:<domain>``) and of every host (``2:<host>``), with the
+    name of the scope one level ``up``."""
+    domain = F.concat(F.lit("1:"), domain_of(F.col("host")))
+    names = F.array(F.struct(F.lit("0:").alias("host"), F.lit(None).cast("string").alias("up")),
+                    F.struct(domain.alias("host"), F.lit("0:").alias("up")),
+                    F.struct(F.concat(F.lit("2:"), F.col("host")).alias("host"), domain.alias("up")))
+    each = patterns.select(F.explode(names).alias("s"), "segs", "n", "bad", "good")
+    return each.groupBy("s.host", "s.up", "segs").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
+
+
+def purities(tree: DataFrame, ups: DataFrame, cfg: TreeConfig) -> DataFrame:
+    """``host, node, purity`` for every node of every scope: siblings merged, shares smoothed from the outermost root.
+
+    ``ups`` has ``host, up``, a row per scope.
+    """
     at = tree.select("host", F.posexplode("nodes").alias("level", "node"), "bad", "good", "nodes")
     parent = F.when(F.col("level") == 0, "").otherwise(F.get("nodes", F.col("level") - 1))
     nodes = at.withColumn("parent", parent).groupBy("host", "level", "parent", "node").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
@@ -102,27 +128,54 @@ def purities(tree: DataFrame, cfg: TreeConfig) -> DataFrame:
     error = F.sqrt(pooled * (1 - pooled) * (1 / labelled + 1 / before_n))
     step = F.coalesce((rate - before_bad / before_n) > cfg.z * error, F.lit(False))
     known = nodes.where(labelled > 0).withColumn("step", step).withColumn("group", F.sum(F.col("step").cast("int")).over(order).cast("string"))
-    # Nothing tells unlabelled siblings apart, nor from their parent.
-    grouped = known.drop("step").unionByName(nodes.where(labelled == 0).withColumn("group", F.lit("none")))
-    grouped = materialise(grouped, "url-nodes")
+    # Siblings without labels stay apart: each has the templates of its own one level up.
+    grouped = known.drop("step").unionByName(nodes.where(labelled == 0).withColumn("group", F.concat(F.lit("/"), F.col("node"))))
+    roots = tree.groupBy("host").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).select(
+        "host", F.lit(-1).alias("level"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("node"), "bad", "good", F.lit("0").alias("group"))
+    grouped = materialise(grouped.unionByName(roots), "url-nodes")
     merged = grouped.groupBy("host", "level", "parent", "group").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
-    everywhere = grouped.where("level = 0").groupBy("host").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
-    total = everywhere.agg(F.sum("b"), F.sum("g")).first()
-    base = ((total[0] or 0) + 1) / ((total[0] or 0) + (total[1] or 0) + 2)
 
-    def smooth(b: Column, g: Column, towards: Column) -> Column:
-        return (b + cfg.prior * towards) / (b + g + cfg.prior)
+    # What every node is called one level up, weighed by the urls that both hold.
+    inner, outer = tree.join(ups, "host"), tree.select(F.col("host").alias("up"), "segs", F.col("nodes").alias("up_nodes"))
+    both = inner.join(outer, ["up", "segs"]).select("host", "up", "n", F.explode(F.arrays_zip(
+        F.concat(F.array(F.lit("")), "nodes").alias("node"), F.concat(F.array(F.lit("")), "up_nodes").alias("up_node"))).alias("z"))
+    links = materialise(both.groupBy("host", "up", "z.node", "z.up_node").agg(F.sum("n").alias("n")), "url-links")
 
-    above = everywhere.select("host", F.lit("").alias("node"), smooth(F.col("b"), F.col("g"), F.lit(base)).alias("purity"))
-    found = None
-    for level in range(cfg.depth + 1):
-        over = above.select("host", F.col("node").alias("parent"), F.col("purity").alias("over"))
-        here = merged.where(F.col("level") == level).join(over, ["host", "parent"])
-        here = here.select("host", "parent", "group", smooth(F.col("b"), F.col("g"), F.col("over")).alias("purity"))
-        own = grouped.where(F.col("level") == level).join(here, ["host", "parent", "group"]).select("host", "node", "group", "purity")
-        above = materialise(own, "url-purity")
-        found = above if found is None else found.unionByName(above)
-    return found
+    total = grouped.where("level = -1 AND host = '0:'").agg(F.sum("bad"), F.sum("good")).first()
+    base = ((total[0] or 0) + 1) / ((total[0] or 0) + (total[1] or 0) + 2)
+    outside, found = None, None
+    for scope in "012":
+        own, groups = (t.where(F.col("host").startswith(f"{scope}:")) for t in (grouped, merged))
+        if outside is not None:
+            over = outside.select(F.col("host").alias("up"), F.col("node").alias("up_node"), F.col("purity").alias("over"))
+            share = links.join(over, ["up", "up_node"]).groupBy("host", "node").agg(
+                F.sum("n").alias("m"), F.sum(F.col("n") * F.col("over")).alias("mo"))
+            shares = own.join(share, ["host", "node"]).groupBy("host", "level", "parent", "group").agg(
+                (F.sum("mo") / F.sum("m")).alias("wide"))
+        above, here_all = None, None
+        for level in range(-1, cfg.depth + 1):
+            here = groups.where(F.col("level") == level)
+            same = F.col("host").eqNullSafe(F.col("sh")) & F.col("parent").eqNullSafe(F.col("sp")) & F.col("group").eqNullSafe(F.col("sg"))
+            if outside is not None:
+                s = shares.where(F.col("level") == level).select(
+                    F.col("host").alias("sh"), F.col("parent").alias("sp"), F.col("group").alias("sg"), "wide")
+                here = here.join(s, same).drop("sh", "sp", "sg")
+            else:
+                here = here.withColumn("wide", F.lit(None).cast("double"))
+            if above is not None:
+                here = here.join(above.select("host", F.col("node").alias("parent"), F.col("purity").alias("over"), "labelled"), ["host", "parent"])
+            else:
+                here = here.withColumns({"over": F.lit(float(base)), "labelled": F.lit(0).cast("bigint")})
+            towards = F.when(F.col("wide").isNull(), F.col("over")).when(F.col("labelled") > 0, (F.col("wide") + F.col("over")) / 2).otherwise(F.col("wide"))
+            purity = (F.col("b") + cfg.prior * towards) / (F.col("b") + F.col("g") + cfg.prior)
+            here = here.select(F.col("host").alias("sh"), F.col("parent").alias("sp"), F.col("group").alias("sg"), purity.alias("purity"))
+            out = own.where(F.col("level") == level).join(here, same).select(
+                "host", "node", "purity", (F.col("bad") + F.col("good")).alias("labelled"))
+            above = materialise(out, "url-purity")
+            here_all = above if here_all is None else here_all.unionByName(above)
+        outside = here_all
+        found = outside if found is None else found.unionByName(outside)
+    return found.select("host", "node", "purity")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, labels: DataFrame | None = None,
@@ -146,9 +199,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, lab
     bad = F.coalesce(F.col("label") == 1, F.col("verdict") == "block", F.lit(False)).cast("int")
     good = F.coalesce(F.col("label") == 0, F.col("verdict") == "allow", F.lit(False)).cast("int")
     patterns = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.sum(bad).alias("bad"), F.sum(good).alias("good"))
-    tree = templates(materialise(patterns, "url-patterns"), cfg)
-    purity = purities(tree, cfg).select("host", "node", "purity")
-    leaf = tree.select("host", "segs", F.element_at("nodes", -1).alias("node")).join(purity, ["host", "node"])
+    scopes = materialise(scoped(patterns), "url-patterns")
+    tree = templates(scopes.drop("up"), cfg)
+    purity = purities(tree, scopes.where("up IS NOT NULL").select("host", "up").distinct(), cfg)
+    leaf = tree.where("host LIKE '2:%'").select("host", "segs", F.element_at("nodes", -1).alias("node")).join(purity, ["host", "node"])
+    leaf = leaf.withColumn("host", F.substring("host", 3, MAX_HOST))
     leaf = broadcast_if_small(leaf.select(F.col("host").alias("h"), F.col("segs").alias("s"), F.col("node").alias("template"), "purity"))
     judged = rows.join(leaf, (rows["host"] == leaf["h"]) & (rows["segs"] == leaf["s"]), "left")
     method = F.when(F.col("purity") >= cfg.reject, "block").otherwise("allow")

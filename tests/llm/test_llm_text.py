@@ -296,6 +296,99 @@ def test_urls_equal_plain_rules(spark, folder):
     assert urls.judge(every.where("false")).count() == 0
 
 
+def plain_purities(rows, cfg=urls.TreeConfig()):
+    """(host, path) -> smoothed purity, for rows of (host, path, verdict of a rule): recursion over each scope's tree."""
+    def shape(path):
+        parts = path[1:] if path.startswith("/") else path
+        out = [re.sub(r"\*(?:[-_.,:]?\*)+", "*", re.sub(r"[0-9a-fA-F]{16,}|[0-9]+", "*", p)) for p in parts.split("/")]
+        return tuple(out[:cfg.depth] + ["**"]) if len(out) > cfg.depth else tuple(out)
+
+    def domain(host):
+        return "1:" + ".".join(re.sub(":[0-9]*$", "", host).split(".")[-2:])
+
+    scopes = [{}, {}, {}]
+    for host, path, verdict in rows:
+        for scope, name in enumerate(("0:", domain(host), "2:" + host)):
+            n = scopes[scope].setdefault(name, {}).setdefault(shape(path), [0, 0, 0])
+            for i, hit in enumerate((1, verdict == "block", verdict == "allow")):
+                n[i] += hit
+    bad, good = (sum(v[i] for v in scopes[0]["0:"].values()) for i in (1, 2))
+    base = (bad + 1) / (bad + good + 2)
+    names, outer = {}, {}
+
+    def add(patterns, i):
+        return sum(v[i] for v in patterns.values())
+
+    def visit(name, at, level, patterns, towards, labelled, up, purity):
+        """Name the children of a node, merge them, and go on below each."""
+        kids = {}
+        for segs, v in patterns.items():
+            if len(segs) > level:
+                kids.setdefault(segs[level], {})[segs] = v
+        whole = sum(add(k, 0) for k in kids.values())
+        nodes = {}
+        for seg, own in kids.items():
+            small = len(kids) > cfg.branches and add(own, 0) < cfg.min_share * whole and seg != "**"
+            nodes.setdefault(at + "/" + ("*" if small else seg), {}).update(own)
+        known = sorted((add(p, 1) / (add(p, 1) + add(p, 2)), node) for node, p in nodes.items() if add(p, 1) + add(p, 2))
+        groups = [[node] for node in nodes if not add(nodes[node], 1) + add(nodes[node], 2)]
+        for k, (rate, node) in enumerate(known):
+            b, n = add(nodes[node], 1), add(nodes[node], 1) + add(nodes[node], 2)
+            if k:
+                was = nodes[known[k - 1][1]]
+                b0, n0 = add(was, 1), add(was, 1) + add(was, 2)
+                pooled = (b + b0 + 1) / (n + n0 + 2)
+                apart = b / n - b0 / n0 > cfg.z * (pooled * (1 - pooled) * (1 / n + 1 / n0)) ** 0.5
+            if not k or apart:
+                groups.append([])
+            groups[-1].append(node)
+        for group in groups:
+            b, g = (sum(add(nodes[node], i) for node in group) for i in (1, 2))
+            goal = towards
+            if up is not None:
+                pairs = [(v[0], outer[up, names[up, segs][level]]) for node in group for segs, v in nodes[node].items()]
+                wide = sum(n * x for n, x in pairs) / sum(n for n, _ in pairs)
+                goal = (wide + towards) / 2 if labelled else wide
+            for node in group:
+                purity[name, node] = (b + cfg.prior * goal) / (b + g + cfg.prior)
+                for segs in nodes[node]:
+                    names.setdefault((name, segs), []).append(node)
+                visit(name, node, level + 1, nodes[node], purity[name, node], add(nodes[node], 1) + add(nodes[node], 2), up, purity)
+
+    for scope in range(3):
+        purity = {}
+        for name, patterns in scopes[scope].items():
+            b, g = add(patterns, 1), add(patterns, 2)
+            up = None if scope == 0 else "0:" if scope == 1 else domain(name[2:])
+            purity[name, ""] = (b + cfg.prior * (base if up is None else outer[up, ""])) / (b + g + cfg.prior)
+            visit(name, "", 0, patterns, purity[name, ""], b + g, up, purity)
+        outer.update(purity)
+    return {(h, p): outer["2:" + h, names["2:" + h, shape(p)][-1]] for h, p, _ in rows}
+
+
+def test_url_verdicts_equal_brute_force(spark, folder):
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    crowded = [(20_000 + k, f"http://w{k % 3}.many.org:80/{'es' if k % 5 else 'x' + chr(97 + k % 26) + 'yz'[k % 2]}/{k}") for k in range(150)]
+    every = pages.unionByName(spark.createDataFrame(crowded, "page_id bigint, url string"))
+    rules = [*urls.RULES, ("block", "many.org:80", "/es/1"), ("allow", "many.org:80", "/x")]
+    out = urls.judge(every, rules=rules).collect()
+    want = plain_purities([(r.host, r.path, r.verdict if r.rule else None) for r in out])
+    for r in out:
+        assert r.purity == pytest.approx(want[r.host, r.path], abs=1e-9), (r.host, r.path)
+        assert r.rule or r.verdict == ("block" if r.purity >= urls.TreeConfig().reject else "allow")
+
+
+def test_url_templates_speak_for_hosts_without_labels(spark):
+    rows = [(f"http://{h}.example.org/{s}/{i}", None) for h in "abc" for s in ("es", "fr") for i in range(30)]
+    rows += [(f"http://other.net/{s}/{i}", v) for s, v in (("es", "block"), ("fr", "allow"), ("new", "allow")) for i in range(3)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id bigint, url string")
+    out = {r.page_id: r for r in urls.judge(pages, rules=[("allow", "org", "/"), ("block", "example.org", "/es/")]).collect()}
+    assert {out[i].verdict for i, (u, v) in enumerate(rows) if v == "block"} == {"block"}
+    assert {out[i].verdict for i, (u, v) in enumerate(rows) if v == "allow"} == {"allow"}
+    assert all(out[i].rule is None for i, (_, v) in enumerate(rows) if v)
+    assert len({round(out[i].purity, 6) for i, (_, v) in enumerate(rows) if v}) == 3
+
+
 def test_url_templates_learn_from_labels(spark):
     rows, labels = [], []
     for k in range(400):
