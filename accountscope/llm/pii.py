@@ -4,7 +4,8 @@ An entity's characters are read as digits of a mixed-radix number (decimal digit
 bytes, ...), which a keyed Feistel network permutes. So a surrogate keeps type, script, length and layout; equal
 entities get equal surrogates everywhere without any table, different ones never meet, and none is its own surrogate.
 Check digits are computed anew. Names keep their title and last vowel, hence their gender, and letters stay vowels or
-consonants. ``check_distinct`` counts entities against surrogates over the whole corpus.
+consonants. The words of a name that a document shows after a title are replaced everywhere in it, by the same
+surrogates, unless the document also uses the word in lower case. ``check_distinct`` counts entities against surrogates over the whole corpus.
 """
 
 from __future__ import annotations
@@ -31,7 +32,13 @@ ACCENTED_VOWELS = "àáâãäåèéêëìíîïòóôõöøùúûüýÿ"
 CYRILLIC_VOWELS, CYRILLIC_CONSONANTS = "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщъь"
 GREEK_VOWELS, GREEK_CONSONANTS = "αεηιουω", "βγδζθκλμνξπρστφχψ"
 
+# Letters of scripts without case, by their ranges.
+UNCASED = ["".join(map(chr, range(a, b + 1))) for a, b in (
+    (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x0621, 0x063A), (0x0641, 0x064A), (0x05D0, 0x05EA), (0x0904, 0x0939))]
+
 TITLES = r"(?:Mr|Mrs|Ms|Mx)\.|\bMiss|Herrn?|Frau|Mme|Mlle|Monsieur|Madame|Señora?|г-н|г-жа|Κύριος|Κυρία"
+#: A letter that is no small one.
+_CAPITAL = r"[^\W\d_a-zß-ÿα-ωά-ώа-џ]"
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -41,7 +48,7 @@ PATTERNS = {
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[.-])[0-9]{3,4}[ .-][0-9]{3,4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)",
     "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
-    "name": rf"(?<!\w)(?:{TITLES})[ \u00a0](?P<name>[^\W\d_a-zà-ÿ][\w'’-]+(?:[ \u00a0][^\W\d_a-zà-ÿ][\w'’-]+){{0,2}})",
+    "name": rf"(?<!\w)(?:{TITLES})[ \u00a0](?P<name>{_CAPITAL}[\w'’-]+(?:[ \u00a0]{_CAPITAL}[\w'’-]+){{0,2}})",
 }
 _FIND = re.compile("|".join(f"(?P<k_{kind}>{p})" for kind, p in PATTERNS.items()))
 #: Nothing is found in a text without one of these; it is passed through unread.
@@ -49,6 +56,7 @@ _HINT = re.compile(rf"[0-9@]|(?:{TITLES})|AKIA|ASIA|(?i:token|password|passwd|se
 #: Between the digit groups of a match that was none after all, a hyphen is a border too.
 _LOOSE = {k: p.replace(r"(?<![\w-])", r"(?<!\w)").replace(r"(?![\w-])", r"(?!\w)") if k in ("ssn", "card") else p for k, p in PATTERNS.items()}
 _INSIDE = re.compile("|".join(f"(?P<k_{kind}>{p})" for kind, p in _LOOSE.items()))
+_WORD = re.compile(r"[^\W\d_][\w'’-]*")
 _ONE = {k: re.compile(p) for k, p in _LOOSE.items()}
 
 
@@ -138,9 +146,9 @@ def surrogate(p: Permutation, kind: str, value: str) -> tuple[str, str, str] | N
     if kind == "email":
         canonical = value.lower()
         dot = canonical.rindex(".")
-        alphabets = [DIGITS, LOWER, ACCENTED, GREEK, CYRILLIC]
+        alphabets = [DIGITS, LOWER, ACCENTED, GREEK, CYRILLIC, *UNCASED]
         out = _spell(p, kind, canonical[:dot], alphabets) + canonical[dot:]
-        return canonical, out, _recased(value, out)
+        return (canonical, out, _recased(value, out)) if out != canonical else None
     if kind == "card":
         digits = re.sub(r"[ -]", "", value)
         if luhn_digit(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
@@ -175,7 +183,8 @@ def surrogate(p: Permutation, kind: str, value: str) -> tuple[str, str, str] | N
     if kind == "name":
         words = re.split("([ \u00a0])", value)
         made = [w if w.isspace() else _name(p, w) for w in words]
-        return value.lower(), "".join(made).lower(), "".join(made)
+        out = "".join(made)
+        return (value.lower(), out.lower(), out) if out != value else None
     keep = set(range(4)) if kind == "access_key" else frozenset()
     alphabets = [HEX] if kind == "secret" and not set(value) - set(HEX) else [DIGITS, LOWER, UPPER]
     out = _spell(p, kind, value, alphabets, keep)
@@ -183,12 +192,11 @@ def surrogate(p: Permutation, kind: str, value: str) -> tuple[str, str, str] | N
 
 
 def _name(p: Permutation, word: str) -> str:
-    low = word.lower()
-    if len(low) != len(word):
-        return word
+    # A capital without a single small letter stays as it is.
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in word)
     vowels = VOWELS + ACCENTED_VOWELS + CYRILLIC_VOWELS + GREEK_VOWELS
     keep = {len(low) - 1} if low[-1] in vowels and len(low) > 2 else set()
-    alphabets = [VOWELS, CONSONANTS, ACCENTED_VOWELS, CYRILLIC_VOWELS, CYRILLIC_CONSONANTS, GREEK_VOWELS, GREEK_CONSONANTS]
+    alphabets = [VOWELS, CONSONANTS, ACCENTED_VOWELS, CYRILLIC_VOWELS, CYRILLIC_CONSONANTS, GREEK_VOWELS, GREEK_CONSONANTS, *UNCASED]
     return _recased(word, _spell(p, "name", low, alphabets, keep))
 
 
@@ -219,9 +227,8 @@ def replace_entities(p: Permutation, text: str) -> tuple[str, list[tuple[str, st
     """The text with surrogates, and its entities as (kind, canonical, surrogate)."""
     if not _HINT.search(text):
         return text, []
-    found: list[tuple[str, str, str]] = []
-    parts: list[str] = []
-    at = place = inside = 0
+    spans: list[tuple[int, int, str, tuple[str, str, str]]] = []
+    place = inside = 0
     while True:
         m = (_INSIDE if place < inside else _FIND).search(text, place)
         if m and place < inside <= m.start():
@@ -230,17 +237,46 @@ def replace_entities(p: Permutation, text: str) -> tuple[str, list[tuple[str, st
             break
         kind = next(k for k in PATTERNS if m.group(f"k_{k}") is not None)
         start, end = m.span(kind) if kind in ("secret", "name") else m.span()
-        place, made = m.end(), surrogate(p, kind, text[start:end])
+        place = m.end()
+        if kind == "name" and text[start:end].endswith(("'s", "’s")):
+            end -= 2
+        made = surrogate(p, kind, text[start:end])
         if made is None:
             # No such entity: others may begin here, or anywhere within.
             inside = max(inside, m.end())
             kind, end, made = _other(p, text, m.start(), kind)
             place = end if made else m.start() + 1
         if made is not None:
-            parts += [text[at:start], made[2]]
-            at = end
-            found.append((kind, made[0], made[1]))
-    return "".join([*parts, text[at:]]) if parts else text, found
+            spans.append((start, end, kind, made))
+    spans = sorted(spans + _mentions(p, text, spans), key=lambda e: e[0])
+    parts, at = [], 0
+    for start, end, _, made in spans:
+        parts += [text[at:start], made[2]]
+        at = end
+    return "".join([*parts, text[at:]]), [(kind, made[0], made[1]) for _, _, kind, made in spans]
+
+
+def _mentions(p: Permutation, text: str, spans: list[tuple[int, int, str, tuple[str, str, str]]]) -> list[tuple]:
+    """Spans, outside of ``spans``, where words of the names among these stand again, as written or in capitals."""
+    names = {w for start, end, kind, _ in spans if kind == "name" for w in re.split("[ \u00a0]", text[start:end]) if len(w) > 2}
+    if not names:
+        return []
+    forms = {f for w in names for f in (w, w.upper())}
+    lowered = {w.lower() for w in names}
+    common = {m.group() for m in _WORD.finditer(text) if m.group() in lowered}
+    taken, k, found = sorted((s, e) for s, e, _, _ in spans), 0, []
+    for m in _WORD.finditer(text):
+        start, word = m.start(), m.group()
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        if k < len(taken) and taken[k][0] < m.end():
+            continue
+        word = word[:-2] if word.endswith(("'s", "’s")) and word not in forms else word.rstrip("'’-")
+        if word in forms and word.lower() not in common:
+            made = surrogate(p, "name", word)
+            if made is not None:
+                found.append((start, start + len(word), "name", made))
+    return found
 
 
 OUT = T.StructType([

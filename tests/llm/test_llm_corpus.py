@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 import zlib
 
 import numpy as np
@@ -420,6 +421,57 @@ def test_clean_text_is_left_alone():
         assert pii.replace_entities(P, t) == (t, [])
 
 
+def test_names_are_replaced_wherever_they_stand():
+    for text, names, kept in (
+        ("Mr. John Smith came. John Smith left; Smith's wife saw JOHN.", ["John", "Smith", "JOHN"], ["came", "left", "wife"]),
+        ("Frau Müller und Müller, auch Müllers Haus", ["Müller"], ["und", "Müllers"]),
+        ("Smith rang Mrs. Smith’s door", ["Smith"], ["rang", "door"]),
+        ("Mr. Will said he will. Will he?", [], ["will", "Will he?"]),
+    ):
+        done, found = pii.replace_entities(P, text)
+        ws = re.findall(r"\w+", done)
+        assert not set(names) & set(ws) and all(k in done for k in kept), done
+        assert len({s for k, e, s in found if " " not in e}) == len({e for k, e, _ in found if " " not in e})
+    done, _ = pii.replace_entities(P, "Mr. John Smith came. John Smith left")
+    first, second = re.fullmatch(r"Mr\. (.+) came\. (.+) left", done).groups()
+    assert first == second
+
+
+def test_no_entity_is_its_own_surrogate():
+    for text, own in (("mail 用户@例子.公司 now", "用户@例子.公司"), ("Mr. İlker rang", "İlker"), ("Herr 王伟明 kam", "王伟明")):
+        done, found = pii.replace_entities(P, text)
+        assert own not in done and len(found) == 1 and found[0][1] != found[0][2], done
+    assert pii.replace_entities(P, "г-н сказал что 1") == ("г-н сказал что 1", [])
+
+
+def test_planted_entities_leave_nothing_behind():
+    """A plain search for what was planted, and a comparison of all that was not."""
+    rng = random.Random(4)
+    makes = {
+        "email": lambda: f"{''.join(rng.choices('abcdefgh', k=6))}{rng.randrange(99)}@mail{rng.randrange(99)}.example.com",
+        "address": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)),
+        "ssn": lambda: f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        "phone": lambda: f"+1 {rng.randrange(200, 999)} {rng.randrange(200, 999)} {rng.randrange(1000, 9999)}",
+        "access_key": lambda: "AKIA" + "".join(rng.choices("ABCDEFGHJK23456789", k=16)),
+        "name": lambda: rng.choice("BDGKLMNP") + "".join(rng.choices("aeioulnrst", k=7)),
+    }
+    seen = {}
+    for _ in range(300):
+        kinds = rng.choices(sorted(makes), k=rng.randrange(1, 6))
+        values = [makes[k]() for k in kinds]
+        again = rng.sample(range(len(values)), k=rng.randrange(len(values) + 1))
+        pieces = [f"plain {'words' * (i % 3)} before {'Mrs. ' if kinds[i] == 'name' else ''}" for i in range(len(values))] + ["and again "] * len(again)
+        order = [*range(len(values)), *again]
+        done, found = pii.replace_entities(P, "; ".join(a + values[i] for a, i in zip(pieces, order)) + "; end")
+        texts = done.split("; ")
+        assert len(found) == len(order) and len(texts) == len(order) + 1
+        for a, i, t in zip(pieces, order, texts):
+            assert t.startswith(a) and values[i] not in done
+            assert seen.setdefault((kinds[i], values[i]), t[len(a):]) == t[len(a):]
+    images = [(k, s) for (k, _), s in seen.items()]
+    assert len(images) == len(set(images))
+
+
 def test_masked_documents(spark, docs, messy, nothing):
     out = pii.masked(messy, "k")
     assert out.columns == messy.columns
