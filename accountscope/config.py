@@ -99,6 +99,8 @@ class ClassifyConfig:
     max_depth: int = 30
     #: Candidate thresholds of a feature in all tree models, plus one; exact where it has no more distinct values.
     max_bins: int = 32
+    #: Let decision trees try every distinct value instead of ``max_bins``.
+    exact_cuts: bool = False
     #: "SAMME.R" boosts class probabilities, "SAMME" class votes.
     boosting: str = "SAMME.R"
     #: Scale columns before fitting margins.

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accountscope.config import ClassifyConfig
-from accountscope.operators import boost, many, metrics, splits, svm, trees
+from accountscope.operators import boost, exact, many, metrics, splits, svm, trees
 from accountscope.session import compact, materialise
 
 #: Every tree looks at every row, so a task takes fewer rows than in rounds of boosting or margins.
@@ -121,7 +121,10 @@ def _train_together(table: many.ModelTable, rows: int, cfg: ClassifyConfig) -> I
         few = replace(table, rows=compact(table.rows, rows))
         margins = svm.fit_margins(few, standardise=cfg.standardise)
         yield from (("linear_svc", o) for o in many.test_outcomes(few, {m: margin.vote for m, margin in margins.items()}))
-    binning = [name for name in cfg.models if name != "linear_svc"]
+    exactly = cfg.exact_cuts and "decision_tree" in cfg.models
+    if exactly:
+        yield from (("decision_tree", o) for o in exact.outcomes(table, cfg.max_depth))
+    binning = [name for name in cfg.models if name != "linear_svc" and not (exactly and name == "decision_tree")]
     if not binning:
         return
     binned = boost.bin_table(table, cfg.max_bins)

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accountscope.functions import text as tx
-from accountscope.session import BROADCAST_ROWS, broadcast_if_small, materialise
+from accountscope.operators.prefix import running_totals
+from accountscope.session import BROADCAST_ROWS, broadcast_if_small, materialise, release
 
 #: Largest vocabulary a driver-side model may hold.
 MAX_TERMS = 1_000_000
@@ -155,6 +156,33 @@ def term_vectors(terms: DataFrame, vocabulary: list[str], key: str = "user_id",
     return single.unionByName(several.groupBy(key).agg(Summarizer.sum(F.col("tf")).alias("tf")))
 
 
+def term_ids(frequencies: DataFrame) -> DataFrame:
+    """``<term, id, df>``: dense ids from 0 in alphabetical order, for dictionaries of any size. Written once.
+
+    The order is that of :func:`vocabulary_list`, but no list of terms reaches the driver.
+    """
+    counted = frequencies.select("term", "df", F.lit(1).cast("bigint").alias("n"))
+    numbered = running_totals(counted, [], "term", ["n"])
+    ids = materialise(numbered.select("term", (F.col("n_to") - 1).alias("id"), "df"), "term-ids")
+    release(numbered)
+    return ids
+
+
+def indexed_terms(measure: DataFrame, ids: DataFrame, value: str = "tf", documents: DataFrame | None = None, key: str = "user_id") -> DataFrame:
+    """``<key, ids ARRAY<BIGINT>, value ARRAY>``: the non-zero entries of each document's vector, ids ascending.
+
+    ``measure`` has a row per document and term; terms without an id are left out. A document has at most as many
+    entries as the dictionary. Documents without entries have empty arrays when ``documents`` are given.
+    """
+    coded = measure.join(broadcast_if_small(ids.select("term", "id")), "term")
+    gathered = coded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", value))).alias("e"))
+    if documents is not None:
+        every = documents.select(key).distinct() if "part" in documents.columns else documents.select(key)
+        gathered = every.join(gathered, key, "left")
+    entries = F.coalesce("e", F.array().cast(gathered.schema["e"].dataType))
+    return gathered.select(key, F.transform(entries, lambda e: e["id"]).alias("ids"), F.transform(entries, lambda e: e[value]).alias(value))
+
+
 def tfidf(tf: DataFrame, pruned: DataFrame, documents: int, key: str = "user_id") -> DataFrame:
     """Smoothed TF-IDF ``<key, term, weight>`` with L2-normalised rows.
 

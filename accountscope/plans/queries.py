@@ -12,7 +12,7 @@ from accountscope.config import MODELS, ClassifyConfig, ClusterConfig, FeatureCo
 from accountscope.functions import text as tx
 from accountscope.functions.arrays import rounded
 from accountscope.operators import (
-    boost, classify, cluster, collate, metrics, nmf, prep, scores, splits, text, topics, tuning,
+    boost, classify, cluster, collate, exact, metrics, nmf, prep, scores, splits, text, topics, tuning,
 )
 from accountscope.plans import bindings as b
 from accountscope.plans import stages
@@ -499,6 +499,27 @@ def term_freq(spark, folder):
     return text.keep_terms(text.term_freq(terms, "doc_id"), kept)
 
 
+_IDS_SQL = f"WITH {b.SQL_TF}, ids AS (SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS id FROM df)"
+
+
+@query(_IDS_SQL + " SELECT term, id, df FROM ids")
+def term_ids(spark, folder):
+    """The dictionary of all terms, unpruned."""
+    return text.term_ids(text.document_freq(b.document_terms(spark, folder), "doc_id"))
+
+
+@query(_IDS_SQL + """, entries AS (
+  SELECT doc_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, string_agg(tf::VARCHAR, ',' ORDER BY id) AS tf
+  FROM tf JOIN ids USING (term) GROUP BY doc_id)
+SELECT doc_id, md5(coalesce(ids, '')) AS ids, md5(coalesce(entries.tf, '')) AS tf FROM documents LEFT JOIN entries USING (doc_id)""")
+def indexed_terms(spark, folder):
+    """Term counts of all documents by dictionary id."""
+    terms = materialise(b.document_terms(spark, folder), "terms")
+    ids = text.term_ids(text.document_freq(terms, "doc_id"))
+    made = text.indexed_terms(text.term_freq(terms, "doc_id"), ids, documents=terms, key="doc_id")
+    return made.select("doc_id", *[F.md5(F.array_join(F.col(c).cast("array<string>"), ",")).alias(c) for c in ("ids", "tf")])
+
+
 def _tfidf(spark, folder) -> tuple[DataFrame, DataFrame]:
     terms = b.document_terms(spark, folder)
     n = text.document_count(terms, "doc_id")
@@ -773,6 +794,28 @@ def boost_one_round(spark, folder):
     return _one_split(spark, folder, classify.make_model("adaboosted_dt", ClassifyConfig(boosting_rounds=1)))
 
 
+@query("""
+WITH base AS (SELECT left(o_orderpriority, 1)::INTEGER AS cluster, o_totalprice AS x, (o_orderstatus = 'F')::INTEGER AS y FROM orders),
+per AS (SELECT cluster, x, sum(1 - y)::DOUBLE AS a, sum(y)::DOUBLE AS b FROM base GROUP BY cluster, x),
+cuts AS (
+  SELECT cluster, x, sum(a) OVER w AS la, sum(b) OVER w AS lb, sum(a) OVER p AS a, sum(b) OVER p AS b, lead(x) OVER w AS nx
+  FROM per WINDOW w AS (PARTITION BY cluster ORDER BY x), p AS (PARTITION BY cluster)),
+gini AS (
+  SELECT *, round(((la + lb - (la * la + lb * lb) / (la + lb)) +
+    (a - la + b - lb - ((a - la) * (a - la) + (b - lb) * (b - lb)) / (a - la + b - lb))) / (a + b), 12) AS cost
+  FROM cuts WHERE nx IS NOT NULL)
+SELECT cluster, round(x + (nx - x) / 2, 6) AS cut, a::BIGINT AS n_0, b::BIGINT AS n_1 FROM gini
+QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY cost, x) = 1""")
+def exact_cut(spark, folder):
+    """The best of all cuts of a feature with a value per order, for a tree per priority, against all cuts tried in SQL."""
+    rows = b.table(spark, folder, "orders").select(
+        F.substring("o_orderpriority", 1, 1).cast("bigint").alias("model"), F.lit(1).cast("bigint").alias("node"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.array("o_totalprice").alias("x"))
+    found = exact.best_cuts(rows, 2)
+    return found.select(
+        F.col("model").cast("int").alias("cluster"), F.round("cut", 6).alias("cut"), F.col("counts")[0].alias("n_0"), F.col("counts")[1].alias("n_1"))
+
+
 _BY_LANGUAGE = "SELECT lang AS g, quality, toxic FROM labels JOIN documents USING (doc_id)"
 
 
