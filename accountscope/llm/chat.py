@@ -99,12 +99,15 @@ def conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", r
 
 
 def digest(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """What the formatted text gives back: turns by the parser, learned text by the loss mask."""
+    """What the formatted text gives back: turns by the parser, learned text by the loss mask. Text that has no turns is an error."""
     def learned(segments: Column) -> Column:
         return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["value"])), "")
 
-    read = formatted.select(conv, F.length("formatted").cast("bigint").alias("formatted_chars"),
-                            parse(F.col("formatted")).alias("turns"), learned(F.col("segments")).alias("learned"))
+    parsed = parse(F.col("formatted"))
+    failed = F.raise_error(F.concat(F.lit("not a formatted conversation: "), F.coalesce(F.col(conv).cast("string"), F.lit("NULL"))))
+    read = formatted.select(conv, F.length("formatted").cast("bigint").alias("formatted_chars"), parsed.alias("turns"),
+                            learned(F.col("segments")).alias("learned"))
+    read = read.withColumn("turns", F.coalesce("turns", failed.cast(read.schema["turns"].dataType)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         conv, F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

@@ -164,15 +164,16 @@ def shuffled(docs: DataFrame, cfg: MixConfig | None = None, id_col: str = "doc_i
     def named(value: Column) -> Column:
         return F.coalesce(value.cast("string"), F.lit("NULL"))
 
-    # Rows that share an id are matched by their rank in size, so that each gets the draws of a row of its size.
-    nth = F.row_number().over(Window.partitionBy("own").orderBy("size", "row"))
-    numbered = plan.documents.select(named(F.col("id")).alias("own"), "size", "row").withColumn("own_nth", nth).join(per, "row").select("own", "own_nth", "draws")
+    # Rows that share an id are matched among those of their size; so an id with very many rows is many groups.
+    nth = F.row_number().over(Window.partitionBy("own", "own_size").orderBy("row"))
+    ranked = plan.documents.select(named(F.col("id")).alias("own"), F.col("size").alias("own_size"), "row").withColumn("own_nth", nth)
+    numbered = ranked.join(per, "row").select("own", "own_size", "own_nth", "draws")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), named(F.col(id_col)).alias("key"))
     text = F.col(f"row.{text_col}")
-    same = Window.partitionBy("key").orderBy(F.size(words(text)), text)
-    whole = whole.withColumn("nth", F.row_number().over(same))
-    # The rank is compared by a difference, so that ids alone decide where rows go and texts stay where they are.
-    out = whole.join(numbered, (whole["key"] == numbered["own"]) & (F.col("nth") - F.col("own_nth") == 0))
+    whole = whole.withColumn("words", F.size(words(text)).cast("bigint"))
+    whole = whole.withColumn("nth", F.row_number().over(Window.partitionBy("key", "words").orderBy(text)))
+    # The rank is compared by a difference, so that id and size alone decide where rows go and texts stay where they are.
+    out = whole.join(numbered, (whole["key"] == numbered["own"]) & (whole["words"] == numbered["own_size"]) & (F.col("nth") - F.col("own_nth") == 0))
     placed = out.select("row", F.explode("draws").alias("d"))
     dealt = placed.repartition(cfg.shards, F.col("d.shard")).sortWithinPartitions("d.shard", "d.at")
     return dealt.select("row.*")

@@ -11,6 +11,7 @@ surrogates, unless the document also uses the word in lower case. ``check_distin
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 
 import pandas as pd
@@ -24,6 +25,8 @@ ROUNDS = 6
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
 LEADING = "23456789"
+NOT_LEADING = "01"
+HEX_LEADING = "123456789abcdef"
 ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
 CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
@@ -43,16 +46,23 @@ PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "secret": r"""(?i:\b(?:token|password|passwd|secret|api[_-]?key)\b)\s*[=:]\s*["']?(?P<secret>[^\s"']{8,})["']?""",
+    "vendor_key": r"(?<![\w-])(?:gh[opsur]_[0-9A-Za-z]{20,}|github_pat_[0-9A-Za-z_]{20,}|glpat-[\w-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[\w-]{35})(?![\w-])",
+    "login": r"(?<=://)[^\s/:@]*:(?P<login>[^\s/@]+)@",
+    "bearer": r"(?i:\bbearer)\s+(?=[^\s]*[0-9])(?P<bearer>[\w.~+/-]{16,}=*)",
+    "secret": r"""(?i:(?<![^\W_])(?:token|password|passwd|passphrase|pwd|secret|api[_-]?key)\b)\s*(?:[=:]|is\s(?=\s*["']?[^\s"']*[0-9]))\s*["']?(?P<secret>[^\s"']{8,})["']?""",
+    "address6": r"(?:(?<![\w:.])|(?<=[g-zG-Z]:))(?=[:A-Fa-f]*[0-9])(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{1,4}:){7})(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])",
     "address": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[.-])[0-9]{3,4}[ .-][0-9]{3,4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)",
+    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[.-])[0-9]{3,4}[ .-][0-9]{3,4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)|(?<![\w+])(?<![0-9][ .-])(?:[2-9][0-9]{2} [0-9]{3} [0-9]{4}|0[0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4})(?!\w|[ .-][0-9])",
     "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
     "name": rf"(?<!\w)(?:{TITLES})[ \u00a0](?P<name>{_CAPITAL}[\w'’-]+(?:[ \u00a0]{_CAPITAL}[\w'’-]+){{0,2}})",
 }
 _FIND = re.compile("|".join(f"(?P<k_{kind}>{p})" for kind, p in PATTERNS.items()))
 #: Nothing is found in a text without one of these; it is passed through unread.
-_HINT = re.compile(rf"[0-9@]|(?:{TITLES})|AKIA|ASIA|(?i:token|password|passwd|secret|key)")
+_HINT = re.compile(rf"[0-9@]|(?:{TITLES})|AKIA|ASIA|gh[opsur]_|github_pat_|glpat-|xox[abprs]-|AIza|(?i:token|password|passwd|passphrase|pwd|secret|key)")
+#: Kinds whose entity is a part of the match.
+_PART = ("secret", "name", "bearer", "login")
+_VENDOR = re.compile("gh[opsur]_|github_pat_|glpat-|xox[abprs]-|AIza")
 #: Between the digit groups of a match that was none after all, a hyphen is a border too.
 _LOOSE = {k: p.replace(r"(?<![\w-])", r"(?<!\w)").replace(r"(?![\w-])", r"(?!\w)") if k in ("ssn", "card") else p for k, p in PATTERNS.items()}
 _INSIDE = re.compile("|".join(f"(?P<k_{kind}>{p})" for kind, p in _LOOSE.items()))
@@ -99,11 +109,11 @@ class Permutation:
 
 
 def _spell(p: Permutation, kind: str, text: str, alphabets: list[str], keep: set[int] = frozenset(),
-           lead: set[int] = frozenset()) -> str:
-    """``text`` with every character of an alphabet permuted among it; ``keep`` stay, ``lead`` are first digits 2 to 9."""
+           lead: set[int] = frozenset(), leading: tuple[str, ...] = (LEADING, NOT_LEADING)) -> str:
+    """``text`` with every character of an alphabet permuted among it; ``keep`` stay, those at ``lead`` have alphabets of their own."""
     digits, radices, places = [], [], []
     for i, c in enumerate(text):
-        own = [LEADING, *alphabets] if i in lead else alphabets
+        own = leading if i in lead else alphabets
         found = next((a for a in own if c in a), None) if i not in keep else None
         if found:
             digits.append(found.index(c))
@@ -160,6 +170,18 @@ def surrogate(p: Permutation, kind: str, value: str) -> tuple[str, str, str] | N
         octets = [int(x) for x in value.split(".")]
         out = ".".join(map(str, p.apply(octets, [256] * 4, b"address")))
         return ".".join(map(str, octets)), out, out
+    if kind == "address6":
+        try:
+            canonical = ipaddress.IPv6Address(value).compressed
+        except ValueError:
+            return None
+        groups = [g for g in canonical.split(":") if g]
+        # Times of day and scoped names have fewer groups; loopback and the like are nobody's.
+        if len(groups) < 2 or (len(groups) == 2 and len(groups[0]) < 4):
+            return None
+        starts = {m.start() for m in re.finditer(r"(?<![0-9a-f])[0-9a-f]", canonical)}
+        out = _spell(p, kind, canonical, [HEX], lead=starts, leading=(HEX_LEADING,))
+        return canonical, out, out.upper() if value.isupper() else out
     if kind == "phone":
         # The country code stays; the rest is the number, however it is written.
         head = re.match(r"\+[0-9]{1,3}(?=[ .(-])|", value).group()
@@ -167,7 +189,9 @@ def surrogate(p: Permutation, kind: str, value: str) -> tuple[str, str, str] | N
         if not 7 <= len(number) <= 15:
             return None
         # Ten digits are area, exchange and line: the first two begin with 2 to 9.
-        out = _spell(p, kind, number, [DIGITS], lead={0, 3} if len(number) == 10 else frozenset())
+        # A trunk zero stays.
+        lead = {0, 3} if len(number) == 10 else frozenset()
+        out = _spell(p, kind, number, [DIGITS], {0} if number[0] == "0" and not lead else frozenset(), lead)
         return head + number, head + out, head + _refill(value[len(head):], out)
     if kind == "ssn":
         out = _spell(p, kind, value, [DIGITS])
@@ -185,10 +209,11 @@ def surrogate(p: Permutation, kind: str, value: str) -> tuple[str, str, str] | N
         made = [w if w.isspace() else _name(p, w) for w in words]
         out = "".join(made)
         return (value.lower(), out.lower(), out) if out != value else None
-    keep = set(range(4)) if kind == "access_key" else frozenset()
+    prefix = _VENDOR.match(value) if kind == "vendor_key" else None
+    keep = set(range(prefix.end() if prefix else 4 if kind == "access_key" else 0))
     alphabets = [HEX] if kind == "secret" and not set(value) - set(HEX) else [DIGITS, LOWER, UPPER]
     out = _spell(p, kind, value, alphabets, keep)
-    return value, out, out
+    return (value, out, out) if out != value else None
 
 
 def _name(p: Permutation, word: str) -> str:
@@ -210,7 +235,7 @@ def _other(p: Permutation, text: str, start: int, rejected: str) -> tuple[str, i
         m = _ONE[kind].match(text, start)
         if not m:
             continue
-        if kind in ("secret", "name"):  # begin with a word of their own, where nothing that is rejected can
+        if kind in _PART:  # begin with a word of their own, where nothing that is rejected can
             continue
         ends = [m.end()]
         if kind in ("card", "iban", "phone"):
@@ -236,7 +261,7 @@ def replace_entities(p: Permutation, text: str) -> tuple[str, list[tuple[str, st
         if not m:
             break
         kind = next(k for k in PATTERNS if m.group(f"k_{k}") is not None)
-        start, end = m.span(kind) if kind in ("secret", "name") else m.span()
+        start, end = m.span(kind) if kind in _PART else m.span()
         place = m.end()
         if kind == "name" and text[start:end].endswith(("'s", "’s")):
             end -= 2

@@ -444,6 +444,44 @@ def test_no_entity_is_its_own_surrogate():
     assert pii.replace_entities(P, "г-н сказал что 1") == ("г-н сказал что 1", [])
 
 
+@pytest.mark.parametrize("text, kind, own", [
+    ("host 2001:db8::1.", "address6", "2001:db8::1"),
+    ("[FE80::A1B2:0:3]:80", "address6", "FE80::A1B2:0:3"),
+    ("ip:2001:db8:0:1:2:3:4:5", "address6", "2001:db8:0:1:2:3:4:5"),
+    ("Authorization: Bearer abcDEF1234567890xyz", "bearer", "abcDEF1234567890xyz"),
+    ("ghp_abcdefghijklmnopqrstuvwxyz0123456789", "vendor_key", "abcdefghijklmnopqrstuvwxyz0123456789"),
+    ("postgres://bob:hunter2@db.example.org/x", "login", "hunter2"),
+    ("pwd=abcd1234", "secret", "abcd1234"),
+    ("access_token: abcdefgh12", "secret", "abcdefgh12"),
+    ("the password is tr0ub4dor&3", "secret", "tr0ub4dor&3"),
+    ("call 020 7946 0958 now", "phone", "020 7946 0958"),
+    ("call 555 123 4567 now", "phone", "555 123 4567"),
+])
+def test_further_kinds(text, kind, own):
+    done, found = pii.replace_entities(P, text)
+    assert [k for k, _, _ in found] == [kind] and own not in done and len(done) == len(text)
+    at = text.index(own)
+    assert done[:at] == text[:at] and done[at + len(own):] == text[at + len(own):]
+    again, refound = pii.replace_entities(P, done)
+    assert [k for k, _, _ in refound] == [kind] and again != done  # a surrogate is of the kind it stands for
+
+
+def test_one_address_has_one_surrogate():
+    done, found = pii.replace_entities(P, "2001:db8::1 2001:0DB8:0:0:0:0:0:1 2001:db8:0::1")
+    assert len(set(done.lower().split())) == 1 and len({e for _, e, _ in found}) == 1
+
+
+def test_numbers_that_start_with_zero_stay_apart():
+    made = [pii.surrogate(P, "phone", f"{a}{b:02d} 123 4567")[1] for a in range(10) for b in range(100)]
+    assert len(set(made)) == 1000
+
+
+def test_text_that_only_looks_like_entities():
+    for t in ("at 12:30:45 and 10:20::", "abc::def a::b std::vector ::1", "password is required now", "bearer responsibilities-and-more",
+              "mac 00:1b:44:11:3a:b7", "123 456 7890 1", "555 123 4567 8", "see ://a:---@b"):
+        assert pii.replace_entities(P, t) == (t, [])
+
+
 def test_planted_entities_leave_nothing_behind():
     """A plain search for what was planted, and a comparison of all that was not."""
     rng = random.Random(4)
@@ -517,6 +555,18 @@ def test_shards_get_exact_numbers_of_blocks(spark, docs):
     assert {r.shard for r in mixing.block_shards(goals, one).collect()} == {0}
 
 
+def test_mixed_rows_under_one_id(docs):
+    """All documents without an id: what is taken of every text is what the plan draws for texts of its size."""
+    same = docs.withColumn("doc_id", F.lit(None).cast("bigint"))
+    cfg = mixing.MixConfig(shards=4, blocks_per_shard=8)
+    plan = mixing.mix(same, cfg)
+    sized = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).alias("size")
+    drawn = plan.draws.join(plan.documents.select("row", "size"), "row").groupBy("size").count()
+    mixed = mixing.shuffled(same, cfg).select(sized).groupBy("size").count()
+    assert sorted(map(tuple, mixed.collect())) == sorted((r[0], r[1]) for r in drawn.collect())
+    assert mixing.shuffled(same, cfg).join(same, ["text"], "left_anti").count() == 0
+
+
 def test_mixed_rows_are_the_draws(spark, docs, messy, nothing):
     want = {r.doc_id: r.taken for r in mixing.report(docs).collect()}
     rows = mixing.shuffled(docs)

@@ -62,6 +62,15 @@ def test_fingerprints_equal_brute_force(spark, docs):
     assert got == want
 
 
+def test_fingerprints_without_ids_have_a_next_text_too(spark, docs):
+    """Rows without an id fill several ranges; together they form one cycle behind those with one."""
+    some = docs.select(F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("doc_id"), F.concat("text", F.lit(" "), "doc_id").alias("text"))
+    pairs = [(r.id, r.text, r.next_text, r.own) for r in fingerprints.with_next(some).withColumn("own", F.xxhash64("text")).collect()]
+    order = sorted(pairs, key=lambda r: (r[0] is None, -(r[0] or 0), r[3]))
+    assert len(order) == some.count()
+    assert [r[2] for r in order] == [r[1] for r in order[1:] + order[:1]]
+
+
 def test_fingerprints_of_messy_rows(messy, nothing):
     rows = fingerprints.edit_report(messy).collect()
     assert len(rows) == messy.count()
@@ -414,3 +423,9 @@ def test_url_templates_learn_from_labels(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, folder, name):
     assert compare(spark, oracle(folder), folder, name) == ""
+
+
+def test_text_without_turns_is_an_error(spark):
+    broken = spark.createDataFrame([(1, "no turn at all", [("no turn at all", False)])], "conv_id bigint, formatted string, segments array<struct<value:string,loss:boolean>>")
+    with pytest.raises(Exception, match="not a formatted conversation: 1"):
+        chat.digest(broken).collect()
