@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,19 +58,46 @@ PATTERNS = {
     "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
     "name": rf"(?<!\w)(?:{TITLES})[ \u00a0](?P<name>{_CAPITAL}[\w'’-]+(?:[ \u00a0]{_CAPITAL}[\w'’-]+){{0,2}})",
 }
-_FIND = re.compile("|".join(f"(?P<k_{kind}>{p})" for kind, p in PATTERNS.items()))
-#: Nothing is found in a text without one of these; it is passed through unread.
-_HINT = re.compile(rf"[0-9@]|(?:{TITLES})|AKIA|ASIA|gh[opsur]_|github_pat_|glpat-|xox[abprs]-|AIza|(?i:token|password|passwd|passphrase|pwd|secret|key)")
+#: Literals of which a text holds one if it holds such an entity; in any case for the last two.
+_HINTS = {
+    "email": ("@",),
+    "access_key": ("AKIA", "ASIA"),
+    "vendor_key": ("gho_", "ghp_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "xox", "AIza"),
+    "login": ("://",),
+    "name": ("Mr.", "Mrs.", "Ms.", "Mx.", "Miss", "Herr", "Frau", "Mme", "Mlle", "Monsieur", "Madame", "Señor", "г-н", "г-жа", "Κύριος", "Κυρία"),
+    "bearer": ("bearer",),
+    "secret": ("token", "password", "passwd", "passphrase", "pwd", "secret", "api"),
+}
+_FOLDED = ("bearer", "secret")
+_DIGIT = re.compile("[0-9]")
 #: Kinds whose entity is a part of the match.
 _PART = ("secret", "name", "bearer", "login")
 _VENDOR = re.compile("gh[opsur]_|github_pat_|glpat-|xox[abprs]-|AIza")
 #: Between the digit groups of a match that was none after all, a hyphen is a border too.
 _LOOSE = {k: p.replace(r"(?<![\w-])", r"(?<!\w)").replace(r"(?![\w-])", r"(?!\w)") if k in ("ssn", "card") else p for k, p in PATTERNS.items()}
-_INSIDE = re.compile("|".join(f"(?P<k_{kind}>{p})" for kind, p in _LOOSE.items()))
 _WORD = re.compile(r"[^\W\d_][\w'’-]*")
 _ONE = {k: re.compile(p) for k, p in _LOOSE.items()}
 
 
+def _kinds(text: str) -> tuple[str, ...]:
+    """Kinds of entities that the text may hold: the others need a literal or a digit that it lacks."""
+    folded, digit = text.casefold().replace("ı", "i"), _DIGIT.search(text) is not None
+
+    def possible(kind: str) -> bool:
+        if kind not in _HINTS:
+            return digit and (kind != "address6" or ":" in text)
+        return any(h in (folded if kind in _FOLDED else text) for h in _HINTS[kind])
+
+    return tuple(filter(possible, PATTERNS))
+
+
+@lru_cache(maxsize=None)
+def _finders(kinds: tuple[str, ...]) -> tuple[re.Pattern, re.Pattern]:
+    """Search for any of the kinds, and the same within a match that was none after all."""
+    plain, loose = ("|".join(f"(?P<k_{kind}>{patterns[kind]})" for kind in kinds) for patterns in (PATTERNS, _LOOSE))
+    return re.compile(plain), re.compile(loose)
+
+
 class Permutation:
     """Keyed permutation, without fixed points, of numbers in any mixed radix."""
 
@@ -250,17 +278,19 @@ def _other(p: Permutation, text: str, start: int, rejected: str) -> tuple[str, i
 
 def replace_entities(p: Permutation, text: str) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and its entities as (kind, canonical, surrogate)."""
-    if not _HINT.search(text):
+    kinds = _kinds(text)
+    if not kinds:
         return text, []
+    find, within = _finders(kinds)
     spans: list[tuple[int, int, str, tuple[str, str, str]]] = []
     place = inside = 0
     while True:
-        m = (_INSIDE if place < inside else _FIND).search(text, place)
+        m = (within if place < inside else find).search(text, place)
         if m and place < inside <= m.start():
-            m = _FIND.search(text, place)
+            m = find.search(text, place)
         if not m:
             break
-        kind = next(k for k in PATTERNS if m.group(f"k_{k}") is not None)
+        kind = next(k for k in kinds if m.group(f"k_{k}") is not None)
         start, end = m.span(kind) if kind in _PART else m.span()
         place = m.end()
         if kind == "name" and text[start:end].endswith(("'s", "’s")):
