@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 PIECES = ("id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, context bigint, step bigint")
 
-#: White space before more of it or the end: there the pre-tokenizer may join it across a cut.
-_JOINED = re.compile(r"\s(?=\s|\Z)")
+#: White space before more of it or the end, or at the start of a line: there the pre-tokenizer may join it across a cut.
+_JOINED = re.compile(r"\s(?=\s|\Z)|\A[^\S ]")
 #: Words that a Python worker remembers before it forgets them all.
 _CACHED_WORDS = 600_000
 
@@ -57,6 +57,10 @@ _SPACE = chr(_LETTERS[0x20])
 _MARKS = ".,;:!?"
 
 
+class Joined(Exception):
+    """A word with white space that may belong to its neighbours."""
+
+
 class Words(dict):
     """Ids of words, each after the space before it, as little-endian 32-bit bytes; new ones are encoded when asked for."""
 
@@ -90,6 +94,8 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         if not word:
             return b""
+        if word != "\n" and _JOINED.search(word):
+            raise Joined
         core = word.rstrip(_MARKS)
         if core.removeprefix(" ").isalpha():
             tail = word[len(core):]  # marks after letters are the next pre-token
@@ -104,8 +110,9 @@ class Encoder:
     """Token ids of whole texts.
 
     A text is cut before single spaces and around single line breaks, where the byte-level pre-tokenizer always ends a
-    token, so the ids of repeated words are looked up; texts with
-    joined white space or with a token that was added to the vocabulary are encoded whole. The words known so far outlive a task.
+    token, so the ids of repeated words are looked up; texts with joined white space, which shows in a word of theirs or
+    behind a line break, or with a token that was added to the vocabulary are encoded whole. The words known so far
+    outlive a task.
     """
 
     _known: dict[str, Words] = {}
@@ -116,12 +123,15 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         words = self.words
-        if "\0" in text or _JOINED.search(text) or any(t in text for t in words.added):
+        if "\0" in text or "\n " in text or "\n\n" in text or text[-1:].isspace() or any(t in text for t in words.added):
             return words.whole(text)
         if len(words) > _CACHED_WORDS:
             words.clear()
             words.cores.clear()
-        return b"".join(map(words.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
+        try:
+            return b"".join(map(words.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
+        except Joined:
+            return words.whole(text)
 
 
 @dataclass
