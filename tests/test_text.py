@@ -98,3 +98,31 @@ def test_lemmatise(spark, limit):
     lemmas = spark.createDataFrame([("cats", "n", "cat"), ("ran", "v", "run")], "token STRING, pos STRING, lemma STRING")
     found = {r[0]: r[1] for r in text.lemmatize_dict(tokens, lemmas, limit=limit).collect()}
     assert found == {1: ["cat", "ran", "cat", "x"], 2: []}
+
+
+def term_rows():
+    rng = random.Random(3)
+    words = lambda n: [rng.choice(["a", "b", "c d", "é", ""]) for _ in range(n)]
+    rows = [(k, words(rng.choice([0, 1, 2, 30]))) for k in range(40)]
+    return rows + [(90, None), (91, []), (92, [None, "a", None, "a"])]
+
+
+def test_terms_of_documents_in_one_row_are_not_shuffled(spark):
+    tf = text.term_freq(spark.createDataFrame(term_rows(), "user_id INT, terms ARRAY<STRING>"))
+    assert "Exchange" not in tf._jdf.queryExecution().executedPlan().toString()
+    counts = text.row_entropy_tf(tf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(user_id" in counts and ", term" not in counts.split("hashpartitioning(user_id", 1)[1].split(")")[0]
+
+
+@pytest.mark.parametrize("limit", [200_000, 1])
+def test_term_freq_adds_up_rows_of_a_key(spark, monkeypatch, limit):
+    from collections import Counter
+
+    monkeypatch.setattr(text, "BROADCAST_ROWS", limit)
+    rows = term_rows() + [(3, ["a", "z", "z"]), (None, ["a"]), (None, ["a", "b"]), (91, []), (5, None), (5, ["a"])]
+    for made in (rows, term_rows()):
+        want = Counter((k, t) for k, ts in made for t in ts or [] if t is not None)
+        tf = text.term_freq(spark.createDataFrame(made, "user_id INT, terms ARRAY<STRING>"))
+        assert tf.dtypes == [("user_id", "int"), ("term", "string"), ("tf", "bigint")]
+        found = [tuple(r) for r in tf.collect()]
+        assert len(found) == len(want) and {r[:2]: r[2] for r in found} == want
