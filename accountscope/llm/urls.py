@@ -110,6 +110,11 @@ def scoped(patterns: DataFrame) -> DataFrame:
     return each.groupBy("s.host", "s.up", "segs").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
 
 
+def _same() -> Column:
+    """The group of siblings of a row is that of ``sh, sp, sg``."""
+    return F.col("host").eqNullSafe(F.col("sh")) & F.col("parent").eqNullSafe(F.col("sp")) & F.col("group").eqNullSafe(F.col("sg"))
+
+
 def purities(tree: DataFrame, ups: DataFrame, cfg: TreeConfig) -> DataFrame:
     """``host, node, purity`` for every node of every scope: siblings merged, shares smoothed from the outermost root.
 
@@ -143,38 +148,30 @@ def purities(tree: DataFrame, ups: DataFrame, cfg: TreeConfig) -> DataFrame:
 
     total = grouped.where("level = -1 AND host = '0:'").agg(F.sum("bad"), F.sum("good")).first()
     base = ((total[0] or 0) + 1) / ((total[0] or 0) + (total[1] or 0) + 2)
-    outside, found = None, None
-    for scope in "012":
-        own, groups = (t.where(F.col("host").startswith(f"{scope}:")) for t in (grouped, merged))
-        if outside is not None:
-            over = outside.select(F.col("host").alias("up"), F.col("node").alias("up_node"), F.col("purity").alias("over"))
-            share = links.join(over, ["up", "up_node"]).groupBy("host", "node").agg(
+    # A share waits for its parent's and for that of the same level one scope up. So nodes whose scope and level add up
+    # to the same number are one wave, and a wave needs no more than the one before it.
+    wave = F.substring("host", 1, 1).cast("int") + F.col("level") + 1
+    above, found = None, None
+    for nth in range(cfg.depth + 4):
+        own, here = (t.where(wave == nth) for t in (grouped, merged))
+        if above is None:
+            here = here.withColumns({"wide": F.lit(None).cast("double"), "over": F.lit(float(base)), "labelled": F.lit(0).cast("bigint")})
+        else:
+            outside = above.select(F.col("host").alias("up"), F.col("node").alias("up_node"), F.col("purity").alias("over"))
+            share = links.join(outside, ["up", "up_node"]).groupBy("host", "node").agg(
                 F.sum("n").alias("m"), F.sum(F.col("n") * F.col("over")).alias("mo"))
-            shares = own.join(share, ["host", "node"]).groupBy("host", "level", "parent", "group").agg(
-                (F.sum("mo") / F.sum("m")).alias("wide"))
-        above, here_all = None, None
-        for level in range(-1, cfg.depth + 1):
-            here = groups.where(F.col("level") == level)
-            same = F.col("host").eqNullSafe(F.col("sh")) & F.col("parent").eqNullSafe(F.col("sp")) & F.col("group").eqNullSafe(F.col("sg"))
-            if outside is not None:
-                s = shares.where(F.col("level") == level).select(
-                    F.col("host").alias("sh"), F.col("parent").alias("sp"), F.col("group").alias("sg"), "wide")
-                here = here.join(s, same).drop("sh", "sp", "sg")
-            else:
-                here = here.withColumn("wide", F.lit(None).cast("double"))
-            if above is not None:
-                here = here.join(above.select("host", F.col("node").alias("parent"), F.col("purity").alias("over"), "labelled"), ["host", "parent"])
-            else:
-                here = here.withColumns({"over": F.lit(float(base)), "labelled": F.lit(0).cast("bigint")})
-            towards = F.when(F.col("wide").isNull(), F.col("over")).when(F.col("labelled") > 0, (F.col("wide") + F.col("over")) / 2).otherwise(F.col("wide"))
-            purity = (F.col("b") + cfg.prior * towards) / (F.col("b") + F.col("g") + cfg.prior)
-            here = here.select(F.col("host").alias("sh"), F.col("parent").alias("sp"), F.col("group").alias("sg"), purity.alias("purity"))
-            out = own.where(F.col("level") == level).join(here, same).select(
-                "host", "node", "purity", (F.col("bad") + F.col("good")).alias("labelled"))
-            above = materialise(out, "url-purity")
-            here_all = above if here_all is None else here_all.unionByName(above)
-        outside = here_all
-        found = outside if found is None else found.unionByName(outside)
+            s = own.join(share, ["host", "node"]).groupBy(
+                F.col("host").alias("sh"), F.col("parent").alias("sp"), F.col("group").alias("sg")).agg((F.sum("mo") / F.sum("m")).alias("wide"))
+            here = here.join(s, _same(), "left").drop("sh", "sp", "sg")
+            parents = above.select("host", F.col("node").alias("parent"), F.col("purity").alias("over"), "labelled")
+            here = here.join(parents, ["host", "parent"], "left").withColumns({  # a root has none
+                "over": F.coalesce("over", F.lit(float(base))), "labelled": F.coalesce("labelled", F.lit(0))})
+        towards = F.when(F.col("wide").isNull(), F.col("over")).when(F.col("labelled") > 0, (F.col("wide") + F.col("over")) / 2).otherwise(F.col("wide"))
+        purity = (F.col("b") + cfg.prior * towards) / (F.col("b") + F.col("g") + cfg.prior)
+        here = here.select(F.col("host").alias("sh"), F.col("parent").alias("sp"), F.col("group").alias("sg"), purity.alias("purity"))
+        out = own.join(here, _same()).select("host", "node", "purity", (F.col("bad") + F.col("good")).alias("labelled"))
+        above = materialise(out, "url-purity")
+        found = above if found is None else found.unionByName(above)
     return found.select("host", "node", "purity")
 
 

@@ -429,3 +429,13 @@ def test_text_without_turns_is_an_error(spark):
     broken = spark.createDataFrame([(1, "no turn at all", [("no turn at all", False)])], "conv_id bigint, formatted string, segments array<struct<value:string,loss:boolean>>")
     with pytest.raises(Exception, match="not a formatted conversation: 1"):
         chat.digest(broken).collect()
+
+
+def test_purities_need_a_table_for_each_wave_only(spark, monkeypatch):
+    """Scopes and levels in waves: 8 tables of a depth of 4, not one for each scope and level (18)."""
+    made, write = [], urls.materialise
+    monkeypatch.setattr(urls, "materialise", lambda df, name: made.append(name) or write(df, name))
+    rows = [(k, f"https://h{k % 3}.example.{('org', 'com')[k % 2]}/{('es', 'fr', 'x')[k % 3]}/{k}/a/b/c") for k in range(30)] + [(30, None)]
+    found = urls.judge(spark.createDataFrame(rows, "page_id bigint, url string")).collect()
+    assert made.count("url-purity") == urls.TreeConfig().depth + 4
+    assert len(found) == 31 and all(r["purity"] is not None and 0 < r["purity"] < 1 for r in found)
