@@ -54,7 +54,8 @@ def _byte_letters() -> dict[int, int]:
 
 _LETTERS = _byte_letters()
 _SPACE = chr(_LETTERS[0x20])
-_MARKS = ".,;:!?"
+#: What may end a word and is neither letter, number, white space nor an apostrophe, which may begin a pre-token of letters.
+_MARKS = ".,;:!?#$%&*|<>=+-/()[]{}\"@^~`_\\"
 
 
 class Joined(Exception):
@@ -77,31 +78,24 @@ class Words(dict):
         self.model = self.tokenizer.model
         #: Tokens that the tokenizer finds in a text before it cuts it into words.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cores: dict[str, bytes] = {}
+        self.packed = [struct.pack("<I", k) for k in range(max(self.tokenizer.get_vocab().values()) + 1)]
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _core(self, core: str) -> bytes:
-        """A run of letters, with or without the space before it, is one pre-token: only the model has to see it."""
-        found = self.cores.get(core)
-        if found is None:
-            spelled = core.replace(" ", _SPACE) if core.isascii() else core.encode().decode("latin-1").translate(_LETTERS)
-            ids = [t.id for t in self.model.tokenize(spelled)]
-            found = self.cores[core] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
-
     def __missing__(self, word: str) -> bytes:
         if not word:
             return b""
-        if word != "\n" and _JOINED.search(word):
-            raise Joined
         core = word.rstrip(_MARKS)
-        if core.removeprefix(" ").isalpha():
-            tail = word[len(core):]  # marks after letters are the next pre-token
-            ids = self._core(core) + (self[tail] if tail else b"")
-        else:
+        if not core.removeprefix(" ").isalpha():
+            if word != "\n" and _JOINED.search(word):
+                raise Joined
             ids = self.whole(word)
+        elif core != word:  # marks after letters are the next pre-token
+            ids = self[core] + self[word[len(core):]]
+        else:  # a run of letters, with or without the space before it, is one pre-token: only the model has to see it
+            spelled = core.replace(" ", _SPACE) if core.isascii() else core.encode().decode("latin-1").translate(_LETTERS)
+            ids = b"".join([self.packed[t.id] for t in self.model.tokenize(spelled)])
         self[word] = ids
         return ids
 
@@ -127,7 +121,6 @@ class Encoder:
             return words.whole(text)
         if len(words) > _CACHED_WORDS:
             words.clear()
-            words.cores.clear()
         try:
             return b"".join(map(words.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
         except Joined:

@@ -318,6 +318,20 @@ def test_encoder_equals_the_tokenizer(text):
     assert np.frombuffer(plain_ids.e.encode(text), "<u4").tolist() == plain_ids(text)[:-1]
 
 
+@given(st.text(alphabet=st.sampled_from(list("abé' ²\u0301" + packing._MARKS)), max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_marks_behind_words_equal_the_tokenizers(text):
+    assert np.frombuffer(packing.Encoder("byte_bpe_50k.json").encode(text), "<u4").tolist() == plain_ids(text)[:-1]
+
+
+def test_words_with_marks_behind_them_need_the_model_only(monkeypatch):
+    words, asked, whole = packing.Words("byte_bpe_50k.json"), [], packing.Words.whole
+    monkeypatch.setattr(packing.Words, "whole", lambda self, text: asked.append(text) or whole(self, text))
+    for word in (" to###", " zahl###", "Wort)", " (x", " zahl"):
+        assert words[word] == whole(words, word)
+    assert asked == ["###", ")", " (x"]
+
+
 @pytest.mark.parametrize("text", ["x<|endoftext|>", "<|endoftext|>", "a b <|endoftext|> c\nd", "<|endoftext|", "a <|endoftext|><|endoftext|>  b"])
 def test_added_tokens_are_the_tokenizers(spark, text):
     assert np.frombuffer(packing.Encoder("byte_bpe_50k.json").encode(text), "<u4").tolist() == plain_ids(text)[:-1]
