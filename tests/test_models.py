@@ -220,6 +220,71 @@ def test_lda_updates_equal_a_plain_loop(spark, corpus):
     assert topics._digamma(np.array([1.0, 0.5, 10.0])) == pytest.approx([-0.5772156649, -1.9635100260, 2.2517525891], abs=1e-9)
 
 
+def _plain_lda(vectors, cfg):
+    """The textbook's updates, one document after the other, batch by batch."""
+    n = vectors.count()
+    batches = -(-n // cfg.batch_size)
+    placed = [topics.batch_of(F.xxhash64("user_id"), turn, batches, cfg.seed) for turn in range(cfg.passes)]
+    rows = [(r["tf"].toArray(), r["b"]) for r in vectors.withColumn("b", F.array(*placed)).collect()]
+    weights = np.random.default_rng(cfg.seed).gamma(100.0, 0.01, (cfg.topics, len(rows[0][0])))
+    alpha = 1 / cfg.topics
+    for step in range(cfg.passes * batches):
+        turn, batch = divmod(step, batches)
+        own = [x for x, b in rows if b[turn] == batch]
+        if not own:
+            continue
+        beta, sums = np.exp(topics._log_shares(weights)), np.zeros_like(weights)
+        for x in own:
+            gamma = np.ones(cfg.topics)
+            for _ in range(topics.ROUNDS):
+                theta = np.exp(topics._log_shares(gamma[None]))[0]
+                before, gamma = gamma, alpha + theta * (beta @ (x / (theta @ beta)))
+                if np.abs(gamma - before).mean() < topics.LEAST_MOVE:
+                    break
+            theta = np.exp(topics._log_shares(gamma[None]))[0]
+            sums += np.outer(theta, x / (theta @ beta)) * beta
+        rate = (cfg.learning_offset + step) ** -cfg.learning_decay
+        weights = (1 - rate) * weights + rate * (alpha + n / len(own) * sums)
+    return weights
+
+
+@pytest.mark.parametrize("per_job, per_task", [(20_000, 1_500), (21, 1_500), (20_000, 3)])
+def test_lda_batches_follow_one_another(spark, corpus, monkeypatch, per_job, per_task):
+    """All batches in one job, a few in each, or every batch dealt out to tasks: the updates are the same."""
+    monkeypatch.setattr(topics, "DOCUMENTS_PER_JOB", per_job)
+    monkeypatch.setattr(topics, "DOCUMENTS_PER_TASK", per_task)
+    vectors = text.term_vectors(corpus, text.vocabulary_list(text.document_freq(corpus)))
+    cfg = FeatureConfig(topics=3, passes=2, batch_size=7)
+    assert topics.lda_fit(vectors, cfg).weights == pytest.approx(_plain_lda(vectors, cfg), rel=1e-6)
+
+
+def test_lda_takes_fewer_jobs_than_updates(spark, corpus):
+    vectors = text.term_vectors(corpus, text.vocabulary_list(text.document_freq(corpus)))
+    cfg = FeatureConfig(topics=2, passes=2, batch_size=1)
+    spark.sparkContext.setJobGroup("lda", "lda")
+    try:
+        topics.lda_fit(vectors, cfg)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("lda"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert topics.updates(41, cfg) == 82 and 0 < jobs < 41
+
+
+def test_inference_over_tables_and_lists_is_the_same(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = topics.TopicModel(rng.gamma(2.0, 3.0, (3, 30)), 1 / 3)
+    sizes = np.array([4, 0, 30, 1, 9])
+    terms = np.concatenate([rng.permutation(30)[:n] for n in sizes])
+    counts = rng.integers(1, 9, len(terms)).astype(float)
+    found = topics.infer(model, terms, counts, sizes)
+    monkeypatch.setattr(topics, "CELLS_PER_TERM", 0)
+    lists = topics.infer(model, terms, counts, sizes)
+    assert found[0] == pytest.approx(lists[0]) and found[1] == pytest.approx(lists[1])
+    assert found[0].sum(axis=1) == pytest.approx([counts[:4].sum() + 1, 1, counts[4:34].sum() + 1, counts[34] + 1, counts[35:].sum() + 1])
+    alone = topics.infer(model, terms[4:34], counts[4:34], sizes[2:3])
+    assert found[0][2] == pytest.approx(alone[0][0])
+
+
 def test_lda_distributions(spark, corpus):
     vocabulary = text.vocabulary_list(text.document_freq(corpus))
     vectors = text.term_vectors(corpus, vocabulary)
