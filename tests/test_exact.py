@@ -1,5 +1,6 @@
 """Exact cuts, running totals and the term dictionary, against plain Python."""
 
+import os
 from itertools import accumulate
 
 import numpy as np
@@ -10,6 +11,7 @@ from test_trees import plain_tree
 from accountscope.config import ClassifyConfig
 from accountscope.operators import classify, exact, text
 from accountscope.operators.prefix import running_totals
+from accountscope.session import scratch_root
 
 
 def nested(nodes, node=1):
@@ -117,3 +119,24 @@ def test_dictionary_and_indexed_terms_equal_vectors(spark):
         assert indexed.pop(r["user_id"]) == (list(r["tf"].indices), list(r["tf"].values))
     assert not indexed
     assert text.term_ids(frequencies.limit(0)).count() == 0
+
+
+def test_dictionary_is_written_once_over_many_ranges(spark):
+    """Ids are dense and alphabetical over all ranges; neither they nor the join that uses them write another copy."""
+    rng = np.random.default_rng(4)
+    words = sorted({"".join(rng.choice(list("abcé Z"), rng.integers(1, 7))) for _ in range(900)})
+    docs = [(d, [str(w) for w in rng.choice(words, 40)]) for d in range(60)]
+    terms = spark.createDataFrame(docs, "user_id BIGINT, terms ARRAY<STRING>")
+    folder = f"{scratch_root(spark)}/accountscope/{spark.sparkContext.applicationId}"
+    written = lambda: {x for x in os.listdir(folder)} if os.path.isdir(folder) else set()
+    frequencies, measure = text.document_freq(terms), text.term_freq(terms)
+    start = written()
+    ids = text.term_ids(frequencies)
+    used = sorted({w for _, own in docs for w in own})
+    assert {r["term"]: (r["id"], r["df"]) for r in ids.collect()} == {w: (i, sum(w in own for _, own in docs)) for i, w in enumerate(used)}
+    begun = written()
+    made = text.indexed_terms(measure, ids, documents=terms)
+    found = {r["user_id"]: dict(zip(r["ids"], r["tf"])) for r in made.collect()}
+    assert found == {d: {i: own.count(w) for i, w in enumerate(used) if w in own} for d, own in docs}
+    assert sorted(x.rsplit("-", 1)[0] for x in begun - start) == ["join-side", "term-ids"]
+    assert written() == begun
